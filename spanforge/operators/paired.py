@@ -52,12 +52,11 @@ def bootstrap_interval(
     packed = diffs.groupBy(key).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("set_index", "diff"))), lambda s: s["diff"]).alias("v")
     )
-    # Replicates start as blocks of 100 spread over tasks.
-    spark = diffs.sparkSession
-    starts = spark.range(0, n_bootstrap, 100).withColumnRenamed("id", "at").repartition()
-    n = F.size("v")
-    draws = packed.join(starts, F.lit(True)).select(
-        key, "v", F.explode(F.sequence("at", F.least(F.col("at") + 99, F.lit(n_bootstrap - 1)))).alias("rep")
+    # Replicates are cut into blocks of 100 that spread over tasks.
+    n, last = F.size("v"), n_bootstrap - 1
+    blocks = packed.select(key, "v", F.explode(F.sequence(F.lit(0), F.lit(last), F.lit(100))).alias("at"))
+    draws = blocks.repartition(key, "at").select(
+        key, "v", F.explode(F.sequence("at", F.least(F.col("at") + 99, F.lit(last)))).alias("rep")
     )
 
     def pick(slot):
