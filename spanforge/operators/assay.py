@@ -96,16 +96,29 @@ def group_ids(df: DataFrame, token: str, offset: int = 0, out: str = "GroupID")
     return ranked.select(token, (F.col("rank") + F.lit(offset)).cast("bigint").alias(out))
 
 
+def listed_sequences(records: DataFrame) -> DataFrame:
+    """Unique and ambiguous sequences of a permissive FASTA table, by accession."""
+    named = records.select(accession_of(F.col("header")).alias("ProteinID"), "sequence")
+    return resolve_sequences(named, "ProteinID")
+
+
+def scored_sequences(records: DataFrame) -> DataFrame:
+    """Unique and ambiguous sequences of a strict FASTA table, by header id."""
+    named = records.select(fullname_part(F.col("header"), 1).alias("ProteinID"), "sequence")
+    return resolve_sequences(named, "ProteinID")
+
+
 def quarantine_listed(
     metadata: DataFrame,
     reactive: DataFrame,
     nonreactive: DataFrame,
-    records: DataFrame,
+    sequences: DataFrame,
     kind: str,
 ) -> DataFrame:
     """Selected code-list rows with their label and, if unusable, a ``reason``.
 
-    ``records`` is a permissive FASTA table; rows are matched by accession.
+    The sequence is read where it is joined (length and derived peptide) and not
+    carried on, so later shuffles move no sequence text.
     """
     if kind not in GROUP_COLUMNS:
         raise ValueError(f"unsupported kind {kind!r}; expected one of {sorted(GROUP_COLUMNS)}")
@@ -126,8 +139,6 @@ def quarantine_listed(
         "LabelSource",
         "source_order",
     )
-    sequences = resolve_sequences(records.select(accession_of(F.col("header")).alias("ProteinID"), "sequence"),
-                                  "ProteinID")
     rows = rows.join(sequences, "ProteinID", "left")
     start, stop = whole_number(F.col("_start")), whole_number(F.col("_stop"))
     length = F.length("sequence").cast("bigint")
@@ -155,14 +166,13 @@ def quarantine_listed(
         (F.col("LabelSource") == "reactive").cast("byte").alias("Def epitope"),
         F.lit(0).cast("byte").alias("Uncertain"),
         (F.col("LabelSource") == "nonreactive").cast("byte").alias("Not epitope"),
-        "sequence",
         "source_order",
         reason.alias("reason"),
         example.alias("example"),
     )
 
 
-def quarantine_scored(metadata: DataFrame, classes: DataFrame, records: DataFrame) -> DataFrame:
+def quarantine_scored(metadata: DataFrame, classes: DataFrame, sequences: DataFrame) -> DataFrame:
     """Designed-library rows with their class and, if unusable, a ``reason``.
 
     The first usable row of a protein (in source order) fixes its family; later
@@ -183,9 +193,6 @@ def quarantine_scored(metadata: DataFrame, classes: DataFrame, records: DataFram
     )
     named = named.withColumn("ProteinID", F.coalesce(clean_text(F.col("_id")), F.lit("")))
     named = named.withColumn("GroupToken", F.coalesce(clean_text(F.col("_family")), F.lit("")))
-    sequences = resolve_sequences(
-        records.select(fullname_part(F.col("header"), 1).alias("ProteinID"), "sequence"), "ProteinID"
-    )
     rows = named.join(sequences, "ProteinID", "left")
     code, protein, family = F.col("CodeName"), F.col("ProteinID"), F.col("GroupToken")
     start, stop, length = F.col("AlignStart"), F.col("AlignStop"), F.length("sequence").cast("bigint")
@@ -199,7 +206,7 @@ def quarantine_scored(metadata: DataFrame, classes: DataFrame, records: DataFram
         ("missing_zscore", F.col("Def epitope").isNull(), code),
     ])
     rows = rows.withColumn("reason", reason).withColumn("example", example)
-    return first_family_wins(rows).drop("_id", "_family", "ambiguous")
+    return first_family_wins(rows.drop("_id", "_family", "ambiguous", "sequence"))
 
 
 def first_family_wins(

@@ -12,8 +12,10 @@ from spanforge.operators.assay import (
     classify_reactivity,
     group_ids,
     labelled_codes,
+    listed_sequences,
     quarantine_listed,
     quarantine_scored,
+    scored_sequences,
     whole_number,
 )
 from spanforge.operators.quality import (
@@ -24,6 +26,7 @@ from spanforge.operators.quality import (
     guard_single_group,
     resolve_sequences,
 )
+from spanforge.session import cut_lineage
 from spanforge.sources.fasta import read_fasta
 from spanforge.sources.sinks import write_prepared
 from spanforge.sources.tables import (
@@ -56,8 +59,13 @@ class Prepared:
         write_prepared(self.contract, self.embedding_names, self.targets, self.summary, path)
 
 
-def finalize(rows: DataFrame, kind: str, offset: int = 0) -> Prepared:
-    """Turn quarantined rows into the contract, its FASTA targets and its summary."""
+def finalize(rows: DataFrame, sequences: DataFrame, kind: str, offset: int = 0) -> Prepared:
+    """Turn quarantined rows into the contract, its FASTA targets and its summary.
+
+    The rows feed several checks and outputs, so their joins are run once and
+    cut off at a checkpoint.
+    """
+    rows = cut_lineage(rows)
     kept = rows.filter(F.col("reason").isNull())
     if kept.isEmpty():
         raise ValueError(f"no rows left after normalisation for {kind}")
@@ -71,7 +79,9 @@ def finalize(rows: DataFrame, kind: str, offset: int = 0) -> Prepared:
     names = contract.select(
         "ProteinID", F.col("FullName").alias("Name"), F.col("GroupID").alias("Family")
     ).distinct()
-    targets = kept.groupBy("ProteinID").agg(F.min("FullName").alias("header"), F.min("sequence").alias("sequence"))
+    targets = names.select("ProteinID", F.col("Name").alias("header")).join(
+        sequences.select("ProteinID", "sequence"), "ProteinID"
+    )
     dropped = drop_report(rows)
     per_protein = contract.groupBy("ProteinID").agg(F.count(F.lit(1)).alias("n"))
     counts = per_protein.agg(
@@ -105,14 +115,16 @@ def prepare_scored(
         nonreactive_max=nonreactive_max,
         max_subjects=max_subjects or None,
     )
-    return finalize(quarantine_scored(metadata, classes, records), "pv1")
+    sequences = scored_sequences(records)
+    return finalize(quarantine_scored(metadata, classes, sequences), sequences, "pv1")
 
 
 def prepare_listed(
     metadata: DataFrame, reactive: DataFrame, nonreactive: DataFrame, records: DataFrame, kind: str, offset: int = 0
 ) -> Prepared:
     """Code-list source: labels from two lists, group ids from cluster tokens."""
-    return finalize(quarantine_listed(metadata, reactive, nonreactive, records, kind), kind, offset)
+    sequences = listed_sequences(records)
+    return finalize(quarantine_listed(metadata, reactive, nonreactive, sequences, kind), sequences, kind, offset)
 
 
 def prepare_dataset(
@@ -204,7 +216,7 @@ def prepare_evaluation(
         ("ambiguous_protein", F.col("ambiguous"), F.col("ProteinID")),
         ("out_of_bounds_align", bad_bounds(start, stop, length), F.col("CodeName")),
     ])
-    judged = rows.withColumn("reason", reason).withColumn("example", example)
+    judged = cut_lineage(rows.withColumn("reason", reason).withColumn("example", example).drop("sequence", "ambiguous"))
     bad_codes = judged.filter(F.col("reason") == "out_of_bounds_align").select("CodeName").distinct()
     bad_codes = bad_codes.withColumn("_bad", F.lit(True))
     judged = judged.join(bad_codes, "CodeName", "left")
@@ -226,7 +238,7 @@ def prepare_evaluation(
         "ProteinID",
         (F.col("AlignStop") - F.col("AlignStart")).alias("PeptideLen"),
     )
-    targets = kept.groupBy("ProteinID").agg(F.min("sequence").alias("sequence")).withColumn(
+    targets = kept.select("ProteinID").distinct().join(sequences.select("ProteinID", "sequence"), "ProteinID").withColumn(
         "header", build_fullname_oxx(F.col("ProteinID"), F.lit(oxx))
     )
     # Rows are reduced to (reason, example) before distinct examples are counted.
