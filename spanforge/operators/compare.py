@@ -172,12 +172,12 @@ def enrichment_checkpoints(curve: DataFrame) -> DataFrame:
 
 def table_fingerprint(df: DataFrame, digits: int = 12) -> DataFrame:
     """Order-insensitive content hash: numbers at ``digits`` significant digits,
-    rows hashed one by one and summed, so no row order or single task is needed."""
+    rows hashed one by one (md5) and summed, so no row order or single task is needed."""
     cells = []
     for field in df.schema.fields:
         c = F.col(f"`{field.name}`")
         if field.dataType.typeName() in ("double", "float"):
             c = F.format_string(f"%.{digits - 1}e", c)
-        cells.append(F.coalesce(c.cast("string"), F.lit("\u0000")))
-    digest = F.xxhash64(*cells).cast("decimal(38,0)")
+        cells.append(F.coalesce(c.cast("string"), F.lit("null")))
+    digest = F.conv(F.substring(F.md5(F.concat_ws("|", *cells)), 1, 12), 16, 10).cast("decimal(38,0)")
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(digest).cast("string").alias("fingerprint"))

@@ -101,15 +101,22 @@ def merge_segments(segments: DataFrame, *, id_col: str = "id", block: int = BLOC
 
 def segments_from_labels(labels: DataFrame, *, id_col: str = "id") -> DataFrame:
     """Binary or three-way label arrays (``array<byte>`` of 0/1) to segments of one position each run."""
-    runs = F.expr("filter(sequence(0, size(y) - 1), i -> i = 0 or y[i] <> y[i - 1])")
-    cut = labels.filter(F.size("y") > 0).select(id_col, "y", F.size("y").alias("n"), runs.alias("at"))
-    parts = cut.select(id_col, "y", "n", "at", F.posexplode("at").alias("k", "start"))
-    stop = F.coalesce(F.get(F.col("at"), F.col("k") + 1), F.col("n"))
+    # Every value beside its predecessor; positions where they differ start a run.
+    # The array is read a fixed number of times, never once per element.
+    before = F.concat(F.array(F.lit(None).cast("int")), F.slice(F.col("y"), F.lit(1), F.size("y") - 1).cast("array<int>"))
+    pairs = F.zip_with(F.col("y").cast("array<int>"), before, lambda v, u: F.struct(v.alias("v"), u.alias("u")))
+    starts = F.transform(
+        pairs,
+        lambda pair, i: F.when(pair["u"].isNull() | (pair["u"] != pair["v"]), F.struct(i.alias("at"), pair["v"].alias("v"))),
+    )
+    cut = labels.filter(F.size("y") > 0).select(id_col, F.size("y").alias("n"), F.array_compact(starts).alias("runs"))
+    parts = cut.select(id_col, "n", "runs", F.posexplode("runs").alias("k", "run"))
+    stop = F.coalesce(F.get(F.col("runs"), F.col("k") + 1)["at"], F.col("n"))
     return parts.select(
         id_col,
-        F.col("start").cast("bigint").alias("start"),
+        F.col("run.at").cast("bigint").alias("start"),
         stop.cast("bigint").alias("stop"),
-        F.when(F.get(F.col("y"), F.col("start")) == 1, "def").otherwise("not").alias("label"),
+        F.when(F.col("run.v") == 1, "def").otherwise("not").alias("label"),
     )
 
 

@@ -38,7 +38,8 @@ def shape_frame(df: DataFrame, spec: str) -> DataFrame:
 
 def shape_sql(sql: str, spec: str) -> str:
     out = []
-    for name, kind in _columns(spec):
+    for plain, kind in _columns(spec):
+        name = f'"{plain}"'
         if kind == "i":
             c = f"CAST({name} AS BIGINT)"
         elif kind == "d":
