@@ -8,12 +8,15 @@ from pyspark.sql import types as T
 
 from spanforge.functions.stats import finite_or_null, open_unit_or_null
 from spanforge.functions.text import optional_int, resolve_path
+from spanforge.operators.metrics import check_probability
 from spanforge.operators.quality import is_ok
 
 # Ensemble rules and the default decision threshold.
 AGGREGATIONS = ("majority", "mean-prob")
 DEFAULT_THRESHOLD = 0.5
 
+MASK_CHUNK = 4096
+
 _MEMBER = T.StructType([
     T.StructField(name, T.StringType())
     for name in ("status", "checkpoint", "fold_index", "member_index", "threshold")
@@ -112,8 +115,7 @@ def vote(
     if aggregation not in AGGREGATIONS:
         raise ValueError(f"aggregation must be one of {AGGREGATIONS}")
     for t in thresholds.values():
-        if not 0.0 < t < 1.0:
-            raise ValueError("each threshold must be in (0, 1)")
+        check_probability(t, "threshold")
     n = len(thresholds)
     if n < 1:
         raise ValueError("at least one member is required")
@@ -128,11 +130,34 @@ def vote(
         needed = votes_needed(n)
         return combined.withColumn("pred", (F.col("votes") >= needed).cast("int"))
     cut = ensemble_threshold if ensemble_threshold is not None else sum(thresholds.values()) / n
-    if not 0.0 < cut < 1.0:
-        raise ValueError("ensemble_threshold must be in (0, 1)")
+    check_probability(cut, "ensemble_threshold")
     return combined.withColumn("pred", (F.col("p") >= F.lit(cut)).cast("int"))
 
 
+def vote_wide(
+    scores: DataFrame,
+    thresholds: dict[str, float],
+    *,
+    aggregation: str = "majority",
+    ensemble_threshold: float | None = None,
+) -> DataFrame:
+    """The same vote where a row already holds all members' probabilities ``ps``,
+    in the order of ``thresholds``: row-local, without a shuffle."""
+    if aggregation not in AGGREGATIONS:
+        raise ValueError(f"aggregation must be one of {AGGREGATIONS}")
+    limits = [check_probability(t, "threshold") for t in thresholds.values()]
+    n = len(limits)
+    members = [F.get(F.col("ps"), F.lit(i)) for i in range(n)]
+    votes = sum(((p >= t).cast("int") for p, t in zip(members, limits)), F.lit(0))
+    mean = sum(members[1:], members[0]) / n
+    if aggregation == "majority" or n == 1:
+        hit = votes >= votes_needed(n)
+    else:
+        cut = ensemble_threshold if ensemble_threshold is not None else sum(limits) / n
+        hit = mean >= check_probability(cut, "ensemble_threshold")
+    return scores.select("id", "pos", mean.alias("p"), votes.alias("votes"), hit.cast("int").alias("pred"))
+
+
 def member_predictions(scores: DataFrame, thresholds: dict[str, float]) -> DataFrame:
     """Each member's own 0/1 prediction, for per-member evaluation."""
     table = F.create_map(*[F.lit(x) for pair in thresholds.items() for x in pair])
@@ -142,15 +167,24 @@ def member_predictions(scores: DataFrame, thresholds: dict[str, float]) -> DataF
 
 def prediction_payload(voted: DataFrame, threshold: float | None = None, *, id_col: str = "id") -> DataFrame:
     """Mask string and summary per sequence from per-position predictions."""
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "pred")))
-    flags = F.transform(ordered, lambda s: F.when(s["pred"] == 1, "1").otherwise("0"))
-    return voted.groupBy(id_col).agg(
-        F.array_join(flags, "").alias("binary_mask"),
-        F.count(F.lit(1)).alias("length"),
-        F.sum("pred").alias("n_epitopes"),
-        F.avg("pred").alias("frac_epitope"),
-        F.avg("p").alias("p_epitope_mean"),
-        F.max("p").alias("p_epitope_max"),
+    # Chunks first: a sequence holding a third of all positions is spread over
+    # tasks, and the second step moves one character per position.
+    parts = voted.groupBy(id_col, F.floor(F.col("pos") / MASK_CHUNK).alias("_c")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "pred"))),
+                                 lambda s: F.when(s["pred"] == 1, "1").otherwise("0")), "").alias("bits"),
+        F.count(F.lit(1)).alias("n"),
+        F.sum("pred").alias("ones"),
+        F.sum("p").alias("p_sum"),
+        F.max("p").alias("p_max"),
+    )
+    whole = F.array_sort(F.collect_list(F.struct("_c", "bits")))
+    return parts.groupBy(id_col).agg(
+        F.array_join(F.transform(whole, lambda s: s["bits"]), "").alias("binary_mask"),
+        F.sum("n").alias("length"),
+        F.sum("ones").alias("n_epitopes"),
+        (F.sum("ones") / F.sum("n")).alias("frac_epitope"),
+        (F.sum("p_sum") / F.sum("n")).alias("p_epitope_mean"),
+        F.max("p_max").alias("p_epitope_max"),
     ).withColumn("threshold", F.lit(threshold).cast("double"))
 
 

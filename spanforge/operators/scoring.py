@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -37,6 +37,23 @@ def packed_batches(lengths: Sequence[int], budget: int, per_item: int = MAX_TOKE
     return out
 
 
+def _vector_list(rows: np.ndarray) -> pa.Array:
+    """A (n, dim) matrix as an Arrow list column, without Python objects per row."""
+    n, dim = rows.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dim),
+                                    pa.array(np.ascontiguousarray(rows, dtype=float).reshape(-1)))
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """An Arrow list column of equal-length vectors as a (n, dim) matrix."""
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1).astype(float)
+
+
+def _sql_type(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
 def embed_windows(
     sequences: DataFrame,
     embed: Callable[[Sequence[str]], Sequence[np.ndarray]],
@@ -46,72 +63,90 @@ def embed_windows(
     window: int = WINDOW,
     stride: int = STRIDE,
 ) -> DataFrame:
-    """Embed every sequence; ``(id, start, stop, handle, vectors, error)`` per window.
+    """Embed every sequence: ``(id, pos, shared, vec, error)`` per window position.
 
     Short sequences are one window. Long ones are cut into overlapping windows
-    first, so a very long sequence spreads over tasks. Tasks hold windows of
-    similar length, fill token-packed batches and report a failing batch item by
-    item instead of failing the job.
+    first, so a very long sequence spreads over tasks; ``shared`` tells whether
+    other windows cover the position too. Tasks hold windows of similar length,
+    fill token-packed batches and turn a failing item into one error row instead
+    of failing the job.
     """
     n = F.length("sequence").cast("bigint")
     sized = sequences.filter(n > 0).select("id", "sequence", n.alias("length"))
-    short = sized.filter(n <= max_tokens).select("id", F.lit(0).cast("bigint").alias("start"),
-                                                 n.alias("stop"), "sequence", F.lit("short").alias("handle"))
-    spans = sized.filter(n > max_tokens)
-    cut = spans.select("id", "sequence", F.explode(window_spans(F.col("length"), window, stride)).alias("w"))
-    long = cut.select(
-        "id",
-        "w.start",
-        "w.stop",
-        F.substring("sequence", (F.col("w.start") + 1).cast("int"), (F.col("w.stop") - F.col("w.start")).cast("int"))
-        .alias("sequence"),
-        F.lit("long").alias("handle"),
+    spans = F.when(n <= max_tokens, window_spans(F.col("length"), None)).otherwise(
+        window_spans(F.col("length"), window, stride)
     )
-    work = short.unionByName(long)
+    cut = sized.select("id", "sequence", "length", F.explode(spans).alias("w"))
+    text = F.substring("sequence", (F.col("w.start") + 1).cast("int"), (F.col("w.stop") - F.col("w.start")).cast("int"))
+    work = cut.select("id", F.col("w.start").alias("start"), "length", text.alias("sequence"))
     work = work.repartitionByRange(F.length("sequence"), F.xxhash64("id", "start")).sortWithinPartitions(
         F.length("sequence")
     )
+    id_type = _sql_type(sequences, "id")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            batches = packed_batches([len(s) for s in frame["sequence"]], budget, max_tokens)
-            for _, part in frame.groupby(batches, sort=True):
-                yield _embed_batch(part, embed)
-
-    def _embed_batch(part: pd.DataFrame, fn) -> pd.DataFrame:
+    def attempt(texts: list[str]) -> list:
+        """Vectors of a batch; on failure one by one, with the error text in place."""
         try:
-            vectors, errors = list(fn(list(part["sequence"]))), [None] * len(part)
+            return list(embed(texts))
         except Exception:
-            vectors, errors = [], []
-            for s in part["sequence"]:
+            out = []
+            for t in texts:
                 try:
-                    vectors.append(fn([s])[0])
-                    errors.append(None)
+                    out.append(embed([t])[0])
                 except Exception as exc:
-                    vectors.append(None)
-                    errors.append(str(exc))
-        listed = [None if v is None else np.asarray(v, dtype=float).tolist() for v in vectors]
-        return pd.DataFrame({
-            "id": part["id"].to_numpy(), "start": part["start"].to_numpy(), "stop": part["stop"].to_numpy(),
-            "handle": part["handle"].to_numpy(), "vectors": listed, "error": errors,
-        })
-
-    id_type = sequences.schema["id"].dataType.simpleString()
-    return work.mapInPandas(
-        run,
-        f"id {id_type}, start bigint, stop bigint, handle string, vectors array<array<double>>, error string",
-    )
+                    out.append(str(exc))
+            return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            texts, starts = batch.column("sequence").to_pylist(), batch.column("start").to_pylist()
+            lengths, ids = batch.column("length").to_pylist(), batch.column("id")
+            packed = np.array(packed_batches([len(t) for t in texts], budget, max_tokens))
+            for number in range(packed[-1] + 1):
+                rows = np.flatnonzero(packed == number)
+                found = attempt([texts[i] for i in rows])
+                good = [(i, np.asarray(v, dtype=float)) for i, v in zip(rows, found) if not isinstance(v, str)]
+                bad = [(i, v) for i, v in zip(rows, found) if isinstance(v, str)]
+                if good:
+                    owner = np.repeat([i for i, _ in good], [len(v) for _, v in good])
+                    pos = np.concatenate([starts[i] + np.arange(len(v)) for i, v in good])
+                    total = np.array(lengths)[owner]
+                    yield pa.RecordBatch.from_arrays(
+                        [ids.take(pa.array(owner)), pa.array(pos),
+                         pa.array((total > max_tokens) & (covering_windows(pos, total, window, stride) > 1)),
+                         _vector_list(np.concatenate([v for _, v in good])), pa.nulls(len(pos), pa.string())],
+                        ["id", "pos", "shared", "vec", "error"],
+                    )
+                if bad:
+                    yield pa.RecordBatch.from_arrays(
+                        [ids.take(pa.array([i for i, _ in bad])), pa.nulls(len(bad), pa.int64()),
+                         pa.nulls(len(bad), pa.bool_()), pa.nulls(len(bad), pa.list_(pa.float64())),
+                         pa.array([v for _, v in bad], pa.string())],
+                        ["id", "pos", "shared", "vec", "error"],
+                    )
+
+    return work.mapInArrow(run, f"id {id_type}, pos bigint, shared boolean, vec array<double>, error string")
+
+
+def covering_windows(pos: np.ndarray, length: np.ndarray, window: int, stride: int) -> np.ndarray:
+    """How many windows of a sequence contain each position."""
+    last = np.maximum(0, np.minimum(-(-(length - window) // stride), (length - 1) // stride))
+    high = np.minimum(pos // stride, last)
+    low = np.maximum(0, (pos - window) // stride + 1)
+    return high - low + 1
 
 
 def stitch(windows: DataFrame, lengths: DataFrame | None = None, *, feature: str = "none") -> DataFrame:
-    """Position vectors ``(id, pos, vec)``; overlapping windows are averaged."""
-    rows = windows.filter(F.col("error").isNull()).select(
-        "id", "start", "handle", F.posexplode("vectors").alias("i", "vec")
-    ).select("id", "handle", (F.col("start") + F.col("i")).alias("pos"), "vec")
-    whole = rows.filter(F.col("handle") == "short").select("id", "pos", "vec")
-    # Only long sequences have overlaps, so only they shuffle.
-    merged = average_vectors(rows.filter(F.col("handle") == "long")).select("id", "pos", "vec")
-    out = whole.unionByName(merged)
+    """Position vectors ``(id, pos, vec)``; positions in several windows are averaged.
+
+    Only those positions shuffle: all others are final where they were computed.
+    """
+    rows = windows.filter(F.col("error").isNull())
+    single = rows.filter(~F.col("shared")).select("id", "pos", "vec")
+    merged = average_vectors(rows.filter(F.col("shared"))).select("id", "pos", "vec")
+    out = single.unionByName(merged)
     if feature == "none":
         return out
     if lengths is None:
@@ -191,58 +226,77 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return np.where(z >= 0, 1.0 / (1.0 + np.exp(-np.abs(z))), np.exp(-np.abs(z)) / (1.0 + np.exp(-np.abs(z))))
 
 
-def score_dense(vectors: DataFrame, heads: Mapping[str, Mapping]) -> DataFrame:
-    """``(id, pos, member, p)`` for all members in one pass over the vectors."""
-    heads = dict(heads)
+def score_members(vectors: DataFrame, heads: Mapping[str, Mapping]) -> DataFrame:
+    """``(id, pos, ps)``: the probabilities of all members, in member order, in one pass."""
+    chosen = list(heads.values())
+    id_type = _sql_type(vectors, "id")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if len(frame) == 0:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
                 continue
-            x = np.stack(frame["vec"].to_numpy()).astype(float)
-            for member, head in heads.items():
-                yield pd.DataFrame({"id": frame["id"], "pos": frame["pos"], "member": member,
-                                    "p": _sigmoid(dense_forward(x, head))})
+            x = _matrix(batch.column("vec"))
+            ps = np.stack([_sigmoid(dense_forward(x, head)) for head in chosen], axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("pos"), _vector_list(ps)],
+                                             ["id", "pos", "ps"])
+
+    rows = vectors.select("id", F.col("pos").cast("bigint").alias("pos"), F.col("vec").cast("array<double>").alias("vec"))
+    return rows.mapInArrow(run, f"id {id_type}, pos bigint, ps array<double>")
 
-    id_type = vectors.schema["id"].dataType.simpleString()
-    return vectors.select("id", "pos", "vec").mapInPandas(run, f"id {id_type}, pos bigint, member string, p double")
+
+def by_member(scores: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Member probabilities as rows ``(id, pos, member, p)``."""
+    table = F.array(*[F.lit(str(n)) for n in names])
+    return scores.select("id", "pos", F.posexplode("ps").alias("at", "p")).select(
+        "id", "pos", F.get(table, F.col("at")).alias("member"), "p"
+    )
 
 
-def score_conv(
+def score_dense(vectors: DataFrame, heads: Mapping[str, Mapping]) -> DataFrame:
+    """``(id, pos, member, p)`` of dense heads."""
+    return by_member(score_members(vectors, heads), list(heads))
+
+
+def score_members_conv(
     vectors: DataFrame, lengths: DataFrame, heads: Mapping[str, Mapping], *, block: int = 4096
 ) -> DataFrame:
-    """Conv-context heads (``{"conv": [...], **dense head}``), exact at any length.
+    """``(id, pos, ps)`` of conv-context heads (``{"conv": [...], **dense head}``).
 
     Positions are grouped in blocks that borrow the neighbours the stacked
     kernels reach, so a group holds ``block + 2 x reach`` rows whatever the
-    sequence length.
+    sequence length, and the result does not depend on the block size.
     """
-    heads = dict(heads)
-    reach = max(sum(np.asarray(c["w"]).shape[2] // 2 for c in h["conv"]) for h in heads.values())
+    chosen = list(heads.values())
+    reach = max(sum(np.asarray(c["w"]).shape[2] // 2 for c in h["conv"]) for h in chosen)
     if reach >= block:
         raise ValueError("block must exceed the reach of the kernels")
-    sized = vectors.select("id", "pos", "vec").join(lengths.select("id", "length"), "id")
-    home = F.floor(F.col("pos") / block)
-    near = F.array_distinct(F.array(home, F.floor((F.col("pos") - reach) / block), F.floor((F.col("pos") + reach) / block)))
-    spread = sized.withColumn("_b", F.explode(F.filter(near, lambda b: b >= 0)))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        b, pos = int(pdf["_b"].iloc[0]), pdf["pos"].to_numpy()
-        low = b * block - reach
-        size = block + 2 * reach
-        x = np.zeros((size, len(pdf["vec"].iloc[0])))
-        x[pos - low] = np.stack(pdf["vec"].to_numpy())
+    sized = vectors.select(
+        "id", F.col("pos").cast("bigint").alias("pos"), F.col("vec").cast("array<double>").alias("vec")
+    ).join(lengths.select("id", F.col("length").cast("bigint").alias("length")), "id")
+    near = F.sequence(F.greatest(F.lit(0), F.floor((F.col("pos") - reach) / block)), F.floor((F.col("pos") + reach) / block))
+    spread = sized.withColumn("_b", F.explode(near))
+    id_type = _sql_type(vectors, "id")
+
+    def run(group: pa.Table) -> pa.Table:
+        pos = group.column("pos").to_numpy()
+        b, length = group.column("_b")[0].as_py(), group.column("length")[0].as_py()
+        vec = _matrix(group.column("vec"))
+        low, size = b * block - reach, block + 2 * reach
+        x = np.zeros((size, vec.shape[1]))
+        x[pos - low] = vec
         where = np.arange(low, low + size)
-        inside = ((where >= 0) & (where < int(pdf["length"].iloc[0]))).astype(float)
-        own = pos[pos // block == b]
-        frames = []
-        for member, head in heads.items():
-            local = conv_features(x, head["conv"], inside)
-            both = np.concatenate([x, local], axis=1)[own - low]
-            frames.append(pd.DataFrame({"id": pdf["id"].iloc[0], "pos": own, "member": member,
-                                        "p": _sigmoid(dense_forward(both, head))}))
-        return pd.concat(frames)
-
-    id_type = vectors.schema["id"].dataType.simpleString()
-    return spread.groupBy("id", "_b").applyInPandas(run, f"id {id_type}, pos bigint, member string, p double")
+        inside = ((where >= 0) & (where < length)).astype(float)
+        own = np.sort(pos[pos // block == b])
+        ps = np.stack([
+            _sigmoid(dense_forward(np.concatenate([x, conv_features(x, head["conv"], inside)], axis=1)[own - low], head))
+            for head in chosen
+        ], axis=1) if len(own) else np.zeros((0, len(chosen)))
+        ids = pa.array([group.column("id")[0].as_py()] * len(own), group.column("id").type)
+        return pa.table([ids, pa.array(own), _vector_list(ps)], ["id", "pos", "ps"])
+
+    return spread.groupBy("id", "_b").applyInArrow(run, f"id {id_type}, pos bigint, ps array<double>")
+
+
+def score_conv(vectors: DataFrame, lengths: DataFrame, heads: Mapping[str, Mapping], *, block: int = 4096) -> DataFrame:
+    """``(id, pos, member, p)`` of conv-context heads."""
+    return by_member(score_members_conv(vectors, lengths, heads, block=block), list(heads))

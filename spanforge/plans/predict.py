@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.functions.text import clean_sequence
-from spanforge.operators.ensemble import AGGREGATIONS, prediction_payload, vote, votes_needed
-from spanforge.operators.scoring import embed_windows, failed_ids, score_conv, score_dense, stitch
+from spanforge.operators.ensemble import AGGREGATIONS, prediction_payload, vote_wide, votes_needed
+from spanforge.operators.scoring import embed_windows, failed_ids, score_members, score_members_conv, stitch
 from spanforge.sources.fasta import fasta_lines, read_fasta
 
 
@@ -46,15 +46,15 @@ class Predictor:
         return given if given is not None else sum(self.thresholds.values()) / len(self.thresholds)
 
     def score(self, sequences: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Member probabilities per position and the failed ids, for ``(id, sequence)``."""
+        """Member probabilities ``(id, pos, ps)`` and the failed ids, for ``(id, sequence)``."""
         cleaned = sequences.select("id", clean_sequence(F.col("sequence")).alias("sequence"))
         windows = embed_windows(cleaned, self.embed)
         lengths = cleaned.select("id", F.length("sequence").cast("bigint").alias("length")).filter("length > 0")
         vectors = stitch(windows, lengths, feature=self.length_feature)
         if any("conv" in h for h in self.heads.values()):
-            scores = score_conv(vectors, lengths, self.heads)
+            scores = score_members_conv(vectors, lengths, self.heads)
         else:
-            scores = score_dense(vectors, self.heads)
+            scores = score_members(vectors, self.heads)
         blank = cleaned.filter(F.length("sequence") == 0).select("id", F.lit("empty after cleaning").alias("error"))
         return scores, failed_ids(windows).unionByName(blank)
 
@@ -63,8 +63,8 @@ class Predictor:
         scores, failures = self.score(sequences)
         # A sequence with one failed window has gaps: it is a failure as a whole.
         scores = scores.join(failures.select("id").distinct(), "id", "left_anti")
-        voted = vote(scores, dict(self.thresholds), aggregation=self.aggregation,
-                     ensemble_threshold=self.ensemble_threshold)
+        limits = {name: self.thresholds[name] for name in self.heads}
+        voted = vote_wide(scores, limits, aggregation=self.aggregation, ensemble_threshold=self.ensemble_threshold)
         payload = prediction_payload(voted, self._reported_threshold())
         n = len(self.heads)
         meta = F.create_map(*[F.lit(str(x)) for kv in (self.meta or {"engine": "spanforge"}).items() for x in kv])
@@ -85,7 +85,7 @@ class Predictor:
             F.lit("single-checkpoint" if n == 1 else "ensemble-manifest").alias("artifact_mode"),
             F.lit(n).alias("n_members"),
             F.lit(needed).cast("int").alias("votes_needed"),
-            F.array(*[F.lit(float(t)) for t in self.thresholds.values()]).alias("member_thresholds"),
+            F.array(*[F.lit(float(t)) for t in limits.values()]).alias("member_thresholds"),
             meta.alias("meta"),
         )
         return results, failures

@@ -15,6 +15,7 @@ from spanforge.functions.stats import finite_or_null
 from spanforge.operators.ensemble import best_trial
 from spanforge.operators.metrics import evaluate, select_thresholds
 from spanforge.operators.quality import run_status
+from spanforge.session import cut_lineage
 
 
 def weighted_examples(examples: DataFrame) -> DataFrame:
@@ -39,6 +40,7 @@ def cross_validate(
     after another, each distributed; what returns to the driver is one row per run.
     """
     params = dict(params or {})
+    plan = cut_lineage(plan)  # read once per run and by the run rows
     runs = plan.select("run_index", "set_index", "fold_index", "split_seed", "train_seed").distinct().orderBy(
         "run_index"
     ).collect()
@@ -59,6 +61,7 @@ def cross_validate(
             vector_to_array(F.col("probability"))[1].alias("p"),
         )
         scored = out if scored is None else scored.unionByName(out)
+    scored = cut_lineage(scored)  # feeds the threshold search and both metric passes
     picked = select_thresholds(scored, [policy], ["run_index"]).select(
         "run_index", F.col("threshold").alias("Threshold"), F.col("policy").alias("ThresholdPolicy"),
         F.col("status").alias("ThresholdStatus"), F.col("pred_pos_frac").alias("ThresholdPredPosFrac"),

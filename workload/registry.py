@@ -2,6 +2,7 @@
 
 A column spec such as ``"fold:s tp:i auc:d"`` shapes both sides the same way:
 text, 64-bit integers, and doubles rounded to nine places with NaN as null.
+Engines break exact rounding ties differently, so doubles are nudged first.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ def shape_frame(df: DataFrame, spec: str) -> DataFrame:
             c = c.cast("bigint")
         elif kind == "d":
             c = c.cast("double")
-            c = F.round(F.when(~F.isnan(c), c), 9) + 0.0
+            c = F.round(F.when(~F.isnan(c), c) + 3e-13, 9) + 0.0
         elif kind == "b":
             c = c.cast("boolean")
         else:
@@ -44,7 +45,7 @@ def shape_sql(sql: str, spec: str) -> str:
             c = f"CAST({name} AS BIGINT)"
         elif kind == "d":
             v = f"CAST({name} AS DOUBLE)"
-            c = f"round(CASE WHEN isnan({v}) THEN NULL ELSE {v} END, 9) + 0.0"
+            c = f"round(CASE WHEN isnan({v}) THEN NULL ELSE {v} END + 3e-13, 9) + 0.0"
         elif kind == "b":
             c = f"CAST({name} AS BOOLEAN)"
         else:
