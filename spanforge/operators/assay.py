@@ -141,7 +141,7 @@ def quarantine_listed(
     )
     rows = rows.join(sequences, "ProteinID", "left")
     start, stop = whole_number(F.col("_start")), whole_number(F.col("_stop"))
-    length = F.length("sequence").cast("bigint")
+    length = F.col("length")
     derived = F.when(
         F.col("_peptide") == "", F.substring("sequence", (start + 1).cast("int"), (stop - start).cast("int"))
     ).otherwise(F.col("_peptide"))
@@ -195,7 +195,7 @@ def quarantine_scored(metadata: DataFrame, classes: DataFrame, sequences: DataFr
     named = named.withColumn("GroupToken", F.coalesce(clean_text(F.col("_family")), F.lit("")))
     rows = named.join(sequences, "ProteinID", "left")
     code, protein, family = F.col("CodeName"), F.col("ProteinID"), F.col("GroupToken")
-    start, stop, length = F.col("AlignStart"), F.col("AlignStop"), F.length("sequence").cast("bigint")
+    start, stop, length = F.col("AlignStart"), F.col("AlignStop"), F.col("length")
     reason, example = first_reason([
         ("invalid_fullname", F.col("_family").isNull(), code),
         ("invalid_family", ~is_digits(family), F.concat_ws(":", protein, family)),
@@ -206,7 +206,7 @@ def quarantine_scored(metadata: DataFrame, classes: DataFrame, sequences: DataFr
         ("missing_zscore", F.col("Def epitope").isNull(), code),
     ])
     rows = rows.withColumn("reason", reason).withColumn("example", example)
-    return first_family_wins(rows.drop("_id", "_family", "ambiguous", "sequence"))
+    return first_family_wins(rows.drop("_id", "_family", "ambiguous", "sequence", "length"))
 
 
 def first_family_wins(

@@ -62,14 +62,12 @@ def compare_peptides(peptides: DataFrame, masks: DataFrame, segments: DataFrame
     if segments is None:
         rows = rows.withColumn("LabelOnes", F.lit(None).cast("bigint"))
     else:
-        spans = rows.select(
-            "row_id", F.col("ProteinID").alias("id"), F.col("AlignStart").alias("start"), F.col("AlignStop").alias("stop")
-        )
+        # Painted labels cover whole sequences, so a peptide that meets no segment
+        # at all belongs to a sequence without labels.
+        spans = peptides.select("row_id", F.col("ProteinID").alias("id"), start.alias("start"), stop.alias("stop"))
         named = segments.withColumnRenamed("ProteinID", "id")
-        sums = overlap_sum(spans, named.filter(F.col("label") == "def"), row_key="row_id", out="LabelOnes")
-        labelled = named.select(F.col("id").alias("ProteinID")).distinct().withColumn("_known", F.lit(True))
-        rows = rows.join(sums.select("row_id", "LabelOnes"), "row_id").join(labelled, "ProteinID", "left")
-        rows = rows.withColumn("LabelOnes", F.when(F.col("_known"), F.col("LabelOnes"))).drop("_known")
+        sums = overlap_sum(spans, named, row_key="row_id", counted=F.col("label") == "def", out="LabelOnes")
+        rows = rows.join(sums.select("row_id", "LabelOnes"), "row_id")
     expected = F.coalesce("LabelOnes", "ExpectedOnesRule")
     delta = F.col("PredOnes") - expected
     return rows.select(

@@ -202,42 +202,41 @@ def overlap_sum(
     segments: DataFrame,
     *,
     row_key: str,
+    counted: Column | None = None,
     id_col: str = "id",
     out: str = "n_overlap",
     chunk: int = CHUNK,
 ) -> DataFrame:
-    """Positions of ``segments`` inside each span, spans without any kept as 0.
+    """Positions of the ``counted`` segments inside each span.
 
-    ``segments`` must not overlap each other. Both sides are cut into position
-    chunks and joined on (id, chunk): a span meets at most ``chunk`` segments per
-    chunk it touches, however many spans or segments the sequence has.
+    A span that meets no segment at all gets null, one that meets only uncounted
+    segments 0. ``segments`` must not overlap each other. Both sides are cut into
+    position chunks and joined on (id, chunk): a span meets at most ``chunk``
+    segments per chunk it touches, however many spans or segments the id has.
     """
     edge = F.lit(chunk).cast("bigint")
+    weight = F.lit(1) if counted is None else counted.cast("int")
 
-    def pieces(df: DataFrame, *keep: str) -> DataFrame:
-        cut = df.select(*keep, id_col, "start", "stop", F.explode(_blocks(F.col("start"), F.col("stop"), chunk))
-                        .alias("_c"))
-        return cut.select(
-            *keep,
-            id_col,
-            "_c",
-            F.greatest(F.col("start").cast("bigint"), F.col("_c") * edge).alias("_from"),
-            F.least(F.col("stop").cast("bigint"), (F.col("_c") + 1) * edge).alias("_to"),
-        )
+    def pieces(df: DataFrame, *keep: Column | str) -> DataFrame:
+        cut = df.select(*keep, id_col, "start", "stop", F.explode(_blocks(F.col("start"), F.col("stop"), chunk)).alias("_c"))
+        low = F.greatest(F.col("start").cast("bigint"), F.col("_c") * edge)
+        high = F.least(F.col("stop").cast("bigint"), (F.col("_c") + 1) * edge)
+        return cut.withColumns({"_low": low, "_high": high}).drop("start", "stop")
 
     left = pieces(spans, row_key)
-    right = pieces(segments).select(id_col, "_c", F.col("_from").alias("_s"), F.col("_to").alias("_e"))
-    shared = F.greatest(F.lit(0), F.least("_to", "_e") - F.greatest("_from", "_s"))
-    met = left.join(right, [id_col, "_c"]).groupBy(row_key).agg(F.sum(shared).alias(out))
-    joined = spans.join(met, row_key, "left")
-    return joined.withColumn(out, F.coalesce(F.col(out), F.lit(0)))
+    right = pieces(segments, weight.alias("_weight")).withColumnsRenamed({"_low": "_s", "_high": "_e"})
+    meets = (F.col("_s") < F.col("_high")) & (F.col("_e") > F.col("_low"))
+    shared = (F.least("_high", "_e") - F.greatest("_low", "_s")) * F.col("_weight")
+    met = left.join(right, [id_col, "_c"]).filter(meets).groupBy(row_key).agg(F.sum(shared).alias(out))
+    return spans.join(met, row_key, "left")
 
 
 def window_support(windows: DataFrame, segments: DataFrame, *, id_col: str = "id") -> DataFrame:
     """Valid positions per window; a zero marks a window that trains on nothing."""
     keyed = windows.withColumn("_w", F.struct(id_col, "start"))
     valid = segments.filter(F.col("label") != "uncertain")
-    return overlap_sum(keyed, valid, row_key="_w", id_col=id_col, out="n_valid").drop("_w")
+    sums = overlap_sum(keyed, valid, row_key="_w", id_col=id_col, out="n_valid")
+    return sums.withColumn("n_valid", F.coalesce("n_valid", F.lit(0))).drop("_w")
 
 
 def label_strings(segments: DataFrame, *, id_col: str = "id", chunk: int | None = None) -> DataFrame:

@@ -71,13 +71,18 @@ def score_counts(scores: DataFrame, keys: Sequence[str] = (), y: str = "y", p: s
     )
 
 
+def score_bounds(scores: DataFrame, p: str = "p", n_blocks: int | None = None) -> list[Column]:
+    """Block bounds of the scores, for callers that build several curves of one table."""
+    return numeric_bounds(scores, -F.col(p).cast("double"), n_blocks)
+
+
 def operating_points(
-    scores: DataFrame, keys: Sequence[str] = (), y: str = "y", p: str = "p", n_blocks: int | None = None
+    scores: DataFrame, keys: Sequence[str] = (), y: str = "y", p: str = "p", bounds: Sequence[Column] | None = None
 ) -> DataFrame:
     """One row per distinct score, descending: cumulative ``tp``/``fp`` at that
     threshold, the class totals, and the counts of the following point."""
     counts = score_counts(scores, keys, y, p)
-    bounds = numeric_bounds(scores, -F.col(p).cast("double"), n_blocks)
+    bounds = score_bounds(scores, p) if bounds is None else bounds
     points = prefix_sums(
         counts,
         [-F.col("threshold")],
@@ -162,7 +167,7 @@ def select_thresholds(
     min_precision: float = 0.25,
     min_recall: float = 0.80,
     fixed_threshold: float = 0.50,
-    n_blocks: int | None = None,
+    bounds: Sequence[Column] | None = None,
 ) -> DataFrame:
     """Decision threshold per policy (and key), all searching policies in one pass.
 
@@ -179,7 +184,7 @@ def select_thresholds(
     parts = []
     searching = [name for name in policies if name != "fixed"]
     if searching:
-        rows = candidate_rows(operating_points(scores, keys, y, p, n_blocks), keys)
+        rows = candidate_rows(operating_points(scores, keys, y, p, bounds), keys)
         picks = []
         for name in searching:
             key, met = _policy_key(name, min_precision, min_recall)
@@ -270,14 +275,14 @@ def _on_roc_corner() -> Column:
 
 
 def ranking_metrics(
-    scores: DataFrame, keys: Sequence[str] = (), y: str = "y", p: str = "p", n_blocks: int | None = None
+    scores: DataFrame, keys: Sequence[str] = (), y: str = "y", p: str = "p", bounds: Sequence[Column] | None = None
 ) -> DataFrame:
     """ROC AUC, average precision, PR trapezoid and the area left of FPR 0.10.
 
     Every point carries its predecessor implicitly (running counts minus its own
     counts), so all areas are plain sums over the points of a key.
     """
-    points = operating_points(scores, keys, y, p, n_blocks)
+    points = operating_points(scores, keys, y, p, bounds)
     pos, neg, tp, fp = (F.col(c).cast("double") for c in ("pos", "neg", "tp", "fp"))
     n_pos, n_neg = F.col("n_pos").cast("double"), F.col("n_neg").cast("double")
     roc_area = neg * (tp - pos / 2.0)
@@ -317,10 +322,10 @@ def ranking_metrics(
 
 
 def roc_points(
-    scores: DataFrame, keys: Sequence[str] = (), y: str = "y", p: str = "p", n_blocks: int | None = None
+    scores: DataFrame, keys: Sequence[str] = (), y: str = "y", p: str = "p", bounds: Sequence[Column] | None = None
 ) -> DataFrame:
     """ROC corners (``fpr``, ``tpr``) from (0,0); keys with a single class give no rows."""
-    points = operating_points(scores, keys, y, p, n_blocks)
+    points = operating_points(scores, keys, y, p, bounds)
     kept = points.filter(_on_roc_corner() & (F.col("n_pos") > 0) & (F.col("n_neg") > 0))
     first = F.col("tp") + F.col("fp") == F.col("pos") + F.col("neg")
     here = F.struct("threshold", F.col("fp").alias("fp"), F.col("tp").alias("tp"))
@@ -340,11 +345,11 @@ def roc_points(
 
 
 def pr_points(
-    scores: DataFrame, keys: Sequence[str] = (), y: str = "y", p: str = "p", n_blocks: int | None = None
+    scores: DataFrame, keys: Sequence[str] = (), y: str = "y", p: str = "p", bounds: Sequence[Column] | None = None
 ) -> DataFrame:
     """Every precision/recall point in ascending recall, led by (recall 0, precision 1).
     Without positives recall is 1 everywhere but at that leading point."""
-    points = operating_points(scores, keys, y, p, n_blocks)
+    points = operating_points(scores, keys, y, p, bounds)
     first = F.col("tp") + F.col("fp") == F.col("pos") + F.col("neg")
     lead = F.struct(F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("recall"), F.lit(1.0).alias("precision"))
     here = F.struct(
@@ -356,16 +361,23 @@ def pr_points(
     return exploded.select(*keys, "c.*")
 
 
-def downsample_curve(points: DataFrame, keys: Sequence[str] = (), max_points: int = 2048) -> DataFrame:
-    """Evenly spaced points of a curve (descending ``threshold``), ends included, with their ``idx``."""
-    ranked = prefix_sums(points, [-F.col("threshold")], {"n": F.lit(1)}, keys)
+def downsample_curve(
+    points: DataFrame, keys: Sequence[str] = (), max_points: int = 2048, bounds: Sequence[Column] | None = None
+) -> DataFrame:
+    """Evenly spaced points of a curve (descending ``threshold``), ends included, with
+    their ``idx``. The bounds the curve was built with spare another pass over it."""
+    order = -F.col("threshold")
+    bounds = numeric_bounds(points, order) if bounds is None else bounds
+    ranked = prefix_sums(points, [order], {"n": F.lit(1)}, keys, block=search_block(order, bounds))
     indexed = ranked.withColumn("idx", F.col("cum_n") - 1)
     return keep_downsampled(indexed, "idx", "total_n", max_points).drop("cum_n", "total_n")
 
 
-def curve_summary(scores: DataFrame, keys: Sequence[str] = (), y: str = "y", p: str = "p") -> DataFrame:
+def curve_summary(
+    scores: DataFrame, keys: Sequence[str] = (), y: str = "y", p: str = "p", bounds: Sequence[Column] | None = None
+) -> DataFrame:
     """Scalar part of the curve payloads: availability, reason, baseline, AP, trapezoid."""
-    m = ranking_metrics(scores, keys, y, p)
+    m = ranking_metrics(scores, keys, y, p, bounds)
     total = F.col("n_pos") + F.col("n_neg")
     single = (F.col("n_pos") == 0) | (F.col("n_neg") == 0)
     return m.select(
@@ -384,7 +396,8 @@ def curve_summary(scores: DataFrame, keys: Sequence[str] = (), y: str = "y", p:
 
 
 def evaluate(
-    scores: DataFrame, keys: Sequence[str] = (), y: str = "y", p: str = "p", pred: str = "pred"
+    scores: DataFrame, keys: Sequence[str] = (), y: str = "y", p: str = "p", pred: str = "pred",
+    bounds: Sequence[Column] | None = None,
 ) -> DataFrame:
     """Complete evaluation per key: counts, confusion family and ranking metrics."""
     keys = list(keys)
@@ -409,7 +422,7 @@ def evaluate(
         *[F.when(missing, NAN).otherwise(row[c]).alias(c) for c in ("precision", "recall", "f1", "mcc")],
         *[c.alias(name) for name, c in extended.items()],
     )
-    ranked = ranking_metrics(scores, keys, y, p).drop("n_pos", "n_neg")
+    ranked = ranking_metrics(scores, keys, y, p, bounds).drop("n_pos", "n_neg")
     return basics.join(ranked, keys) if keys else basics.crossJoin(F.broadcast(ranked))  # one row each
 
 

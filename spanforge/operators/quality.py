@@ -47,13 +47,15 @@ def bad_bounds(start: Column, stop: Column, length: Column) -> Column:
 
 
 def resolve_sequences(records: DataFrame, id_col: str, sequence: str = "sequence") -> DataFrame:
-    """``(id, sequence, ambiguous)``: an id with differing sequences is ambiguous.
-    Comparing the smallest and largest sequence decides it in one combinable pass."""
+    """``(id, sequence, ambiguous, length)``: an id with differing sequences is ambiguous.
+    Comparing the smallest and largest sequence decides it in one combinable pass;
+    the length is counted here once, not on every row that joins."""
     low, high = F.min(sequence), F.max(sequence)
     return (
         records.filter(F.col(id_col).isNotNull() & (F.col(id_col) != ""))
         .groupBy(id_col)
         .agg(low.alias(sequence), (low != high).alias("ambiguous"))
+        .withColumn("length", F.length(sequence).cast("bigint"))
     )
 
 

@@ -63,11 +63,12 @@ def embed_windows(
     window: int = WINDOW,
     stride: int = STRIDE,
 ) -> DataFrame:
-    """Embed every sequence: ``(id, pos, shared, vec, error)`` per window position.
+    """Embed every sequence: ``(id, pos, share, vec, error)`` per window position.
 
     Short sequences are one window. Long ones are cut into overlapping windows
-    first, so a very long sequence spreads over tasks; ``shared`` tells whether
-    other windows cover the position too. Tasks hold windows of similar length,
+    first, so a very long sequence spreads over tasks; ``share`` is 0 where one
+    window alone covers the position, else the 1-based number of this window
+    among those that do. Tasks hold windows of similar length,
     fill token-packed batches and turn a failing item into one error row instead
     of failing the job.
     """
@@ -76,9 +77,13 @@ def embed_windows(
     spans = F.when(n <= max_tokens, window_spans(F.col("length"), None)).otherwise(
         window_spans(F.col("length"), window, stride)
     )
-    cut = sized.select("id", "sequence", "length", F.explode(spans).alias("w"))
-    text = F.substring("sequence", (F.col("w.start") + 1).cast("int"), (F.col("w.stop") - F.col("w.start")).cast("int"))
-    work = cut.select("id", F.col("w.start").alias("start"), "length", text.alias("sequence"))
+    # Window texts are cut inside the row, so no copy of the whole text per window.
+    texts = F.transform(
+        spans,
+        lambda w: F.struct(w["start"].alias("start"), F.substring(
+            F.col("sequence"), (w["start"] + 1).cast("int"), (w["stop"] - w["start"]).cast("int")).alias("sequence")),
+    )
+    work = sized.select("id", "length", F.explode(texts).alias("w")).select("id", "w.start", "length", "w.sequence")
     work = work.repartitionByRange(F.length("sequence"), F.xxhash64("id", "start")).sortWithinPartitions(
         F.length("sequence")
     )
@@ -113,39 +118,49 @@ def embed_windows(
                     owner = np.repeat([i for i, _ in good], [len(v) for _, v in good])
                     pos = np.concatenate([starts[i] + np.arange(len(v)) for i, v in good])
                     total = np.array(lengths)[owner]
+                    low, high = covering_windows(pos, total, window, stride)
+                    among = np.array(starts)[owner] // stride - low + 1
+                    share = np.where((total > max_tokens) & (high > low), among, 0).astype(np.int32)
                     yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array(owner)), pa.array(pos),
-                         pa.array((total > max_tokens) & (covering_windows(pos, total, window, stride) > 1)),
-                         _vector_list(np.concatenate([v for _, v in good])), pa.nulls(len(pos), pa.string())],
-                        ["id", "pos", "shared", "vec", "error"],
+                        [ids.take(pa.array(owner)), pa.array(pos), pa.array(share), _vector_list(np.concatenate([v for _, v in good])), pa.nulls(len(pos), pa.string())],
+                        ["id", "pos", "share", "vec", "error"],
                     )
                 if bad:
                     yield pa.RecordBatch.from_arrays(
                         [ids.take(pa.array([i for i, _ in bad])), pa.nulls(len(bad), pa.int64()),
-                         pa.nulls(len(bad), pa.bool_()), pa.nulls(len(bad), pa.list_(pa.float64())),
+                         pa.nulls(len(bad), pa.int32()), pa.nulls(len(bad), pa.list_(pa.float64())),
                          pa.array([v for _, v in bad], pa.string())],
-                        ["id", "pos", "shared", "vec", "error"],
+                        ["id", "pos", "share", "vec", "error"],
                     )
 
-    return work.mapInArrow(run, f"id {id_type}, pos bigint, shared boolean, vec array<double>, error string")
+    return work.mapInArrow(run, f"id {id_type}, pos bigint, share int, vec array<double>, error string")
 
 
-def covering_windows(pos: np.ndarray, length: np.ndarray, window: int, stride: int) -> np.ndarray:
-    """How many windows of a sequence contain each position."""
+def covering_windows(pos: np.ndarray, length: np.ndarray, window: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the first and the last window of a sequence that contain each position."""
     last = np.maximum(0, np.minimum(-(-(length - window) // stride), (length - 1) // stride))
-    high = np.minimum(pos // stride, last)
-    low = np.maximum(0, (pos - window) // stride + 1)
-    return high - low + 1
+    return np.maximum(0, (pos - window) // stride + 1), np.minimum(pos // stride, last)
 
 
-def stitch(windows: DataFrame, lengths: DataFrame | None = None, *, feature: str = "none") -> DataFrame:
+def stitch(
+    windows: DataFrame, lengths: DataFrame | None = None, *, feature: str = "none", window: int = WINDOW,
+    stride: int = STRIDE,
+) -> DataFrame:
     """Position vectors ``(id, pos, vec)``; positions in several windows are averaged.
 
     Only those positions shuffle: all others are final where they were computed.
+    With at most two windows per position the average is a join of the two.
     """
     rows = windows.filter(F.col("error").isNull())
-    single = rows.filter(~F.col("shared")).select("id", "pos", "vec")
-    merged = average_vectors(rows.filter(F.col("shared"))).select("id", "pos", "vec")
+    single = rows.filter(F.col("share") == 0).select("id", "pos", "vec")
+    shared = rows.filter(F.col("share") > 0)
+    if window <= 2 * stride:
+        first = shared.filter(F.col("share") == 1).select("id", "pos", F.col("vec").alias("_a"))
+        second = shared.filter(F.col("share") == 2).select("id", "pos", F.col("vec").alias("_b"))
+        mean = F.zip_with("_a", "_b", lambda x, y: (x + y) / 2.0)
+        merged = first.join(second, ["id", "pos"]).select("id", "pos", mean.alias("vec"))
+    else:
+        merged = average_vectors(shared).select("id", "pos", "vec")
     out = single.unionByName(merged)
     if feature == "none":
         return out

@@ -8,7 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.operators.ensemble import member_predictions, rank_folds, rank_sets, vote, votes_needed
-from spanforge.operators.metrics import curve_summary, downsample_curve, evaluate, pr_points, roc_points, threshold_grid
+from spanforge.operators.metrics import (
+    curve_summary,
+    downsample_curve,
+    evaluate,
+    pr_points,
+    roc_points,
+    score_bounds,
+    threshold_grid,
+)
+from spanforge.session import cut_lineage
 
 ENSEMBLE = "ensemble"
 
@@ -62,20 +71,22 @@ def evaluate_ensemble(
     ``support`` has one row per processed sequence with its ``valid_residues``.
     """
     rows = scored_rows(scores, thresholds, aggregation=aggregation, ensemble_threshold=ensemble_threshold)
+    rows = cut_lineage(rows)  # results, grid and both curves read it
+    bounds = score_bounds(rows)
     n = len(thresholds)
-    results = evaluate(rows, ["member"]).withColumn(
+    results = evaluate(rows, ["member"], bounds=bounds).withColumn(
         "votes_needed",
         F.when((F.col("member") == ENSEMBLE) & F.lit(n > 1 and aggregation == "majority"), votes_needed(n)),
     )
     folds = results.filter(F.col("member") != ENSEMBLE).withColumn("fold_index", F.col("member"))
-    roc = downsample_curve(roc_points(rows, ["member"]), ["member"], max_points).select(
+    roc = downsample_curve(roc_points(rows, ["member"], bounds=bounds), ["member"], max_points, bounds).select(
         "member", F.lit("roc").alias("curve"), "idx", F.col("fpr").alias("x"), F.col("tpr").alias("y")
     )
-    pr = downsample_curve(pr_points(rows, ["member"]), ["member"], max_points).select(
+    pr = downsample_curve(pr_points(rows, ["member"], bounds=bounds), ["member"], max_points, bounds).select(
         "member", F.lit("pr").alias("curve"), "idx", F.col("recall").alias("x"), F.col("precision").alias("y")
     )
     return Evaluation(
-        results=results.join(curve_summary(rows, ["member"]).drop("ap", "auprc_trapz"), "member"),
+        results=results.join(curve_summary(rows, ["member"], bounds=bounds).drop("ap", "auprc_trapz"), "member"),
         grid=threshold_grid(rows, ["member"]),
         counters=protein_counters(support),
         curves=roc.unionByName(pr),

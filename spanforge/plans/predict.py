@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from spanforge.functions.text import clean_sequence
 from spanforge.operators.ensemble import AGGREGATIONS, prediction_payload, vote_wide, votes_needed
 from spanforge.operators.scoring import embed_windows, failed_ids, score_members, score_members_conv, stitch
+from spanforge.session import cut_lineage
 from spanforge.sources.fasta import fasta_lines, read_fasta
 
 
@@ -48,7 +49,8 @@ class Predictor:
     def score(self, sequences: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Member probabilities ``(id, pos, ps)`` and the failed ids, for ``(id, sequence)``."""
         cleaned = sequences.select("id", clean_sequence(F.col("sequence")).alias("sequence"))
-        windows = embed_windows(cleaned, self.embed)
+        # Embedding is the costly step and feeds vectors and failures: run it once.
+        windows = cut_lineage(embed_windows(cleaned, self.embed))
         lengths = cleaned.select("id", F.length("sequence").cast("bigint").alias("length")).filter("length > 0")
         vectors = stitch(windows, lengths, feature=self.length_feature)
         if any("conv" in h for h in self.heads.values()):

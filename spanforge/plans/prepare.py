@@ -209,14 +209,14 @@ def prepare_evaluation(
     sequences = resolve_sequences(records.select(first_token(F.col("header")).alias("ProteinID"), "sequence"),
                                   "ProteinID")
     rows = rows.join(sequences, "ProteinID", "left")
-    start, stop, length = F.col("AlignStart"), F.col("AlignStop"), F.length("sequence").cast("bigint")
+    start, stop, length = F.col("AlignStart"), F.col("AlignStop"), F.col("length")
     reason, example = first_reason([
         ("missing_align", start.isNull() | stop.isNull(), F.col("CodeName")),
         ("missing_protein", F.col("sequence").isNull(), F.col("ProteinID")),
         ("ambiguous_protein", F.col("ambiguous"), F.col("ProteinID")),
         ("out_of_bounds_align", bad_bounds(start, stop, length), F.col("CodeName")),
     ])
-    judged = cut_lineage(rows.withColumn("reason", reason).withColumn("example", example).drop("sequence", "ambiguous"))
+    judged = cut_lineage(rows.withColumn("reason", reason).withColumn("example", example).drop("sequence", "ambiguous", "length"))
     bad_codes = judged.filter(F.col("reason") == "out_of_bounds_align").select("CodeName").distinct()
     bad_codes = bad_codes.withColumn("_bad", F.lit(True))
     judged = judged.join(bad_codes, "CodeName", "left")

@@ -1 +1,7 @@
 """Registered queries over the supplied tables, each with its SQL counterpart."""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from spanforge.operators import assay as A
 from spanforge.operators import quality as Q
 from spanforge.plans.prepare import prepare_evaluation, prepare_listed
+from spanforge.session import shared_folder
 from spanforge.sources.sinks import write_table
 from spanforge.sources.tables import read_zscores, unpivot_scores
 from workload.registry import query, table
-from workload.text_queries import SQL_CLEAN, cleaned_documents, scratch
+from workload.text_queries import SQL_CLEAN, cleaned_documents
 
 _ROW = "n_reactive:i n_nonreactive:i is_def:i is_unc:i is_not:i"
 _SQL_CLASSES = """SELECT id, n_reactive, n_nonreactive, CASE WHEN d THEN 1 ELSE 0 END AS is_def,
@@ -78,7 +79,7 @@ def wide_matrix_classes(spark, d):
     wide = events.groupBy(F.concat(F.lit("U"), F.col("user_id")).alias("Sequence name")).pivot("event_type", types).agg(
         F.avg("value")
     ).withColumnsRenamed({t: f"VW_{t}" for t in types})
-    path = f"{scratch(spark)}/zscores"
+    path = f"{shared_folder(spark)}/zscores"
     write_table(wide, path, sep="\t")
     long = read_zscores(spark, path)
     return _class_names(A.classify_reactivity(long, reactive_min=12, min_subjects=2, nonreactive_max=11))

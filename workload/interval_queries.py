@@ -159,11 +159,12 @@ def training_windows(spark, d):
 
 
 def masks(spark, d):
-    """A made-up prediction mask for nine of ten orders."""
-    bit = F.transform(F.sequence(F.lit(0), F.lit(LENGTH - 1)),
+    """A made-up prediction mask for nine of ten orders; it repeats every seven positions."""
+    bit = F.transform(F.sequence(F.lit(0), F.lit(6)),
                       lambda i: ((F.col("o_orderkey") * 31 + i * 17) % 7 < 3).cast("int"))
+    whole = F.substring(F.repeat(mask_from_flags(bit), LENGTH // 7 + 1), 1, LENGTH)
     return table(spark, d, "orders").filter(F.col("o_orderkey") % 10 != 0).select(
-        F.col("o_orderkey").alias("ProteinID"), mask_from_flags(bit).alias("mask"), bit.alias("y")
+        F.col("o_orderkey").alias("ProteinID"), whole.alias("mask")
     )
 
 
@@ -177,7 +178,8 @@ SQL_BITS = f"""bits AS (SELECT id, pos, ((id * 31 + pos * 17) % 7 < 3) AS bit FR
            SELECT CASE WHEN bit THEN 'def' ELSE 'not' END AS label, sum(f) AS n_segments, count(*) AS n_positions
            FROM fresh GROUP BY bit""")
 def binary_label_segments(spark, d):
-    rows = I.segments_from_labels(masks(spark, d).withColumnRenamed("ProteinID", "id"))
+    bits = F.split("mask", "").cast("array<int>")
+    rows = I.segments_from_labels(masks(spark, d).select(F.col("ProteinID").alias("id"), bits.alias("y")))
     return rows.groupBy("label").agg(F.count(F.lit(1)).alias("n_segments"),
                                      F.sum(F.col("stop") - F.col("start")).alias("n_positions"))
 
@@ -222,7 +224,7 @@ def comparison(spark, d, labelled=True):
     known = None
     if labelled:
         known = segments(spark, d).filter(F.col("id") % 4 != 1).withColumnRenamed("id", "ProteinID")
-    return C.compare_peptides(peptides(spark, d), masks(spark, d).drop("y"), known)
+    return C.compare_peptides(peptides(spark, d), masks(spark, d), known)
 
 
 def _sql_comparison(labelled: bool) -> str:

@@ -192,13 +192,17 @@ def pr_curve(spark, d):
 @query("roc_curve_downsampled", "fold:s idx:i fpr:d tpr:d",
        f"WITH {_SQL_ROC}, {_SQL_THIN} SELECT fold, idx, fpr, tpr FROM ranked JOIN grid USING (fold, idx)")
 def roc_curve_downsampled(spark, d):
-    return M.downsample_curve(M.roc_points(scored(spark, d, fold=True), ["fold"]), ["fold"], 100)
+    rows = scored(spark, d, fold=True)
+    bounds = M.score_bounds(rows)
+    return M.downsample_curve(M.roc_points(rows, ["fold"], bounds=bounds), ["fold"], 100, bounds)
 
 
 @query("pr_curve_downsampled", "fold:s idx:i recall:d precision:d",
        f"WITH {_SQL_PR}, {_SQL_THIN} SELECT fold, idx, recall, precision FROM ranked JOIN grid USING (fold, idx)")
 def pr_curve_downsampled(spark, d):
-    return M.downsample_curve(M.pr_points(scored(spark, d, fold=True), ["fold"]), ["fold"], 100)
+    rows = scored(spark, d, fold=True)
+    bounds = M.score_bounds(rows)
+    return M.downsample_curve(M.pr_points(rows, ["fold"], bounds=bounds), ["fold"], 100, bounds)
 
 
 @query("weighted_log_loss", "fold:s loss:d n_valid:i",

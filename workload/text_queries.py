@@ -2,28 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from spanforge.functions import text as X
 from spanforge.operators import quality as Q
 from spanforge.operators.ranking import first_k, round_robin_shards
 from spanforge.operators.ranking import contiguous_chunks as chunked
+from spanforge.session import cut_lineage, shared_folder
 from spanforge.sources import sinks, tables
 from spanforge.sources.fasta import fasta_lines, number_missing_headers, read_fasta, write_fasta
 from workload.registry import query, table
 
 
-def scratch(spark) -> str:
-    """A fresh folder below the cluster's shared checkpoint folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        return tempfile.mkdtemp(prefix="spanforge-")
-    return f"{base.rstrip('/')}/spanforge-{uuid.uuid4().hex}"
-
-
 # Parts as designed peptides: a strict header with an alignment suffix.
 def part_headers(spark, d):
     k, size = F.col("p_partkey"), F.col("p_size")
@@ -159,7 +149,7 @@ def fasta_records(spark, d):
 def fasta_round_trip(spark, d):
     k = F.col("doc_id").cast("string")
     header = F.concat(F.lit("ID=D"), k, F.lit(" AC=A"), k, F.lit(" OXX=1,2,"), k)
-    path = f"{scratch(spark)}/targets"
+    path = f"{shared_folder(spark)}/targets"
     write_fasta(cleaned_documents(spark, d).withColumn("header", header), path)
     return read_fasta(spark, path, mode="strict").select(
         "id", "ac", "oxx", F.length("sequence").alias("length"), F.md5("sequence").alias("digest")
@@ -180,14 +170,14 @@ def tsv_metadata_source(spark, d):
                  F.lit("_"), F.col("p_partkey") % 90 + F.col("p_size")).alias("FullName"),
         F.when(F.col("p_brand") == "Brand#1", "NA").otherwise(F.col("p_name")).alias("Peptide"),
     )
-    path = f"{scratch(spark)}/meta"
+    path = f"{shared_folder(spark)}/meta"
     sinks.write_table(rows, path, sep="\t")
     return tables.read_assay_metadata(spark, path, drop_cols=["Category"])
 
 
 @query("code_list_source", "CodeName:s", "SELECT DISTINCT p_brand AS CodeName FROM part")
 def code_list_source(spark, d):
-    path = f"{scratch(spark)}/codes"
+    path = f"{shared_folder(spark)}/codes"
     rows = table(spark, d, "part").select(F.concat(F.lit(" "), F.col("p_brand"), F.lit(" ")).alias("Sequence name"), "p_name")
     sinks.write_table(rows, path, sep="\t")
     return tables.read_codes(spark, path)
@@ -196,7 +186,7 @@ def code_list_source(spark, d):
 @query("run_log_append", "fold:s n_rows:i",
        "SELECT l_returnflag AS fold, 2 * count(*) AS n_rows FROM lineitem GROUP BY l_returnflag")
 def run_log_append(spark, d):
-    path = f"{scratch(spark)}/runs"
+    path = f"{shared_folder(spark)}/runs"
     rows = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("fold"), "l_quantity")
     sinks.append_runs(rows, path)
     sinks.append_runs(rows, path)
@@ -293,7 +283,9 @@ def numeric_coalesce(spark, d):
        f"""SELECT doc_id, (row_number() OVER (ORDER BY length(s), doc_id) - 1) % 7 AS shard
            FROM (SELECT doc_id, {SQL_CLEAN} AS s FROM documents)""")
 def length_sorted_shards(spark, d):
-    return round_robin_shards(cleaned_documents(spark, d), [F.length("sequence"), F.col("doc_id")], 7)
+    # Ranking reads its input several times: clean the texts once.
+    sizes = cut_lineage(cleaned_documents(spark, d).select("doc_id", F.length("sequence").alias("length")))
+    return round_robin_shards(sizes, [F.col("length"), F.col("doc_id")], 7)
 
 
 @query("contiguous_chunks", "doc_id:i chunk:i",

@@ -15,6 +15,7 @@ from spanforge.operators import splits as S
 from spanforge.operators.intervals import window_spans
 from spanforge.plans.predict import Predictor
 from spanforge.plans.train import cross_validate, ensemble_manifest, sweep
+from spanforge.session import cut_lineage
 from workload.registry import query, table
 from workload.text_queries import SQL_CLEAN, cleaned_documents
 
@@ -136,7 +137,7 @@ _SQL_DOCS = f"docs AS (SELECT doc_id AS id, {SQL_CLEAN} AS s FROM documents)"
        SELECT id, count(*) AS length, sum(code) AS codes, sum(place) AS places, arg_max(place, pos) AS last_place
        FROM placed GROUP BY id""")
 def embedding_job(spark, d):
-    rows = V.stitch(V.embed_windows(sequences(spark, d), letter_codes))
+    rows = V.stitch(cut_lineage(V.embed_windows(sequences(spark, d), letter_codes)))
     return rows.groupBy("id").agg(
         F.count(F.lit(1)).alias("length"), F.sum(F.col("vec")[0]).alias("codes"), F.sum(F.col("vec")[1]).alias("places"),
         F.max_by(F.col("vec")[1], "pos").alias("last_place"),
@@ -149,7 +150,7 @@ def embedding_job(spark, d):
 def embedding_index(spark, d):
     docs = sequences(spark, d)
     sizes = docs.select("id", F.length("sequence").alias("length")).filter("length > 0")
-    return V.vector_index(V.stitch(V.embed_windows(docs, letter_codes), sizes, feature="inverse"), feature="inverse")
+    return V.vector_index(V.stitch(cut_lineage(V.embed_windows(docs, letter_codes)), sizes, feature="inverse"), feature="inverse")
 
 
 def predictor() -> Predictor:
