@@ -289,7 +289,7 @@ def ranking_metrics(
     precision = tp / (tp + fp)
     before = tp + fp - pos - neg
     precision_before = F.when(before > 0, (tp - pos) / before).otherwise(1.0)
-    low = fp / n_neg <= 0.10
+    low = F.try_divide(fp, n_neg) <= 0.10  # null without negatives
     corner = low & _on_roc_corner()
 
     sums = points.groupBy(*keys).agg(
@@ -308,16 +308,17 @@ def ranking_metrics(
     lone = F.when(F.col("n_pos") > 0, 1.0).otherwise(0.0)
     # Points after the last kept corner lie on one straight segment: cut it off.
     tail = (F.col("low_fp") - F.col("corner_fp")) * (F.col("low_tp") + F.col("corner_tp")) / 2.0
-    auc10 = (F.col("low_area") - tail) / (p_total * n_total) / 0.10
+    pairs = p_total * n_total
+    auc10 = F.try_divide(F.col("low_area") - tail, pairs) / 0.10
     empty = F.col("n_pos").isNull()
     return sums.select(
         *keys,
         F.coalesce("n_pos", F.lit(0)).alias("n_pos"),
         F.coalesce("n_neg", F.lit(0)).alias("n_neg"),
-        F.when(both, F.col("roc") / (p_total * n_total)).otherwise(NAN).alias("auc"),
-        F.when(empty, NAN).when(both, F.col("ap") / p_total).otherwise(lone).alias("pr_auc"),
+        F.when(both, F.try_divide("roc", pairs)).otherwise(NAN).alias("auc"),
+        F.when(empty, NAN).when(both, F.try_divide("ap", p_total)).otherwise(lone).alias("pr_auc"),
         F.when(both & F.col("corner_fp").isNotNull(), auc10).otherwise(NAN).alias("auc10"),
-        F.when(empty, NAN).when(both, F.col("trapezoid") / p_total).otherwise(lone).alias("pr_auc_trapz"),
+        F.when(empty, NAN).when(both, F.try_divide("trapezoid", p_total)).otherwise(lone).alias("pr_auc_trapz"),
     )
 
 
@@ -339,8 +340,8 @@ def roc_points(
         "c.threshold",
         F.col("c.fp").alias("fp"),
         F.col("c.tp").alias("tp"),
-        (F.col("c.fp") / F.col("n_neg")).alias("fpr"),
-        (F.col("c.tp") / F.col("n_pos")).alias("tpr"),
+        F.try_divide("c.fp", "n_neg").alias("fpr"),
+        F.try_divide("c.tp", "n_pos").alias("tpr"),
     )
 
 
