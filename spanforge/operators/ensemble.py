@@ -80,7 +80,7 @@ def resolve_members(raw: DataFrame, *, k_folds: int | None = None) -> DataFrame:
 
 def read_members(spark: SparkSession, path: str, *, set_index: int = 1, k_folds: int | None = None) -> DataFrame:
     """Members of a manifest file; fails when none is usable."""
-    documents = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    documents = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     members = resolve_members(parse_manifest(documents, set_index=set_index), k_folds=k_folds)
     if members.isEmpty():
         raise ValueError(f"no usable ensemble member in {path} (set {set_index})")

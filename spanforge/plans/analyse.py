@@ -32,12 +32,7 @@ _COMPARISON = (
 def _documents(spark: SparkSession, base: str, name: str, schema: str) -> DataFrame:
     """``(model, set_index, d, path)`` of one document kind below the base folder."""
     parts = name.split("/")
-    raw = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", parts[-1])
-        .text(base)
-    )
+    raw = spark.read.text(base, wholetext=True, recursiveFileLookup=True, pathGlobFilter=parts[-1])
     pattern = r"/([^/]+)/set_(\d+)/" + "/".join(parts).replace(".", r"\.") + "$"
     path = F.col("_metadata.file_path")
     return raw.filter(path.rlike(pattern)).select(

@@ -202,7 +202,7 @@ def test_bootstrap_edges(spark):
 def test_analyse_documents(spark, tmp_path):
     def put(path, value):
         path.parent.mkdir(parents=True, exist_ok=True)
-        path.write_text(json.dumps(value))
+        path.write_text(json.dumps(value, indent=2))
 
     for model, shift in (("m1", 0.0), ("m2", 0.1)):
         for k in (1, 2, 3):
