@@ -13,7 +13,7 @@ from spanforge.functions.stats import (
     wilson_low,
 )
 from spanforge.functions.text import is_binary_mask, ones_between, prediction_id, strip
-from spanforge.operators.intervals import overlap_sum
+from spanforge.operators.intervals import overlap_totals
 from spanforge.operators.ranking import is_grid_rank, prefix_sums
 
 # The named K checkpoints, then every 10 000 from 20 000.
@@ -66,8 +66,8 @@ def compare_peptides(peptides: DataFrame, masks: DataFrame, segments: DataFrame
         # at all belongs to a sequence without labels.
         spans = peptides.select("row_id", F.col("ProteinID").alias("id"), start.alias("start"), stop.alias("stop"))
         named = segments.withColumnRenamed("ProteinID", "id")
-        sums = overlap_sum(spans, named, row_key="row_id", counted=F.col("label") == "def", out="LabelOnes")
-        rows = rows.join(sums.select("row_id", "LabelOnes"), "row_id")
+        totals = overlap_totals(spans, named, row_key="row_id", counted=F.col("label") == "def", out="LabelOnes")
+        rows = rows.join(totals, "row_id", "left")
     expected = F.coalesce("LabelOnes", "ExpectedOnesRule")
     delta = F.col("PredOnes") - expected
     return rows.select(

@@ -197,7 +197,7 @@ def sequence_windows(
     )
 
 
-def overlap_sum(
+def overlap_totals(
     spans: DataFrame,
     segments: DataFrame,
     *,
@@ -207,10 +207,10 @@ def overlap_sum(
     out: str = "n_overlap",
     chunk: int = CHUNK,
 ) -> DataFrame:
-    """Positions of the ``counted`` segments inside each span.
+    """``(row_key, out)``: positions of the ``counted`` segments inside each span.
 
-    A span that meets no segment at all gets null, one that meets only uncounted
-    segments 0. ``segments`` must not overlap each other. Both sides are cut into
+    A span that meets no segment at all has no row, one that meets only uncounted
+    segments counts 0. ``segments`` must not overlap each other. Both sides are cut into
     position chunks and joined on (id, chunk): a span meets at most ``chunk``
     segments per chunk it touches, however many spans or segments the id has.
     """
@@ -227,16 +227,15 @@ def overlap_sum(
     right = pieces(segments, weight.alias("_weight")).withColumnsRenamed({"_low": "_s", "_high": "_e"})
     meets = (F.col("_s") < F.col("_high")) & (F.col("_e") > F.col("_low"))
     shared = (F.least("_high", "_e") - F.greatest("_low", "_s")) * F.col("_weight")
-    met = left.join(right, [id_col, "_c"]).filter(meets).groupBy(row_key).agg(F.sum(shared).alias(out))
-    return spans.join(met, row_key, "left")
+    return left.join(right, [id_col, "_c"]).filter(meets).groupBy(row_key).agg(F.sum(shared).alias(out))
 
 
 def window_support(windows: DataFrame, segments: DataFrame, *, id_col: str = "id") -> DataFrame:
     """Valid positions per window; a zero marks a window that trains on nothing."""
     keyed = windows.withColumn("_w", F.struct(id_col, "start"))
     valid = segments.filter(F.col("label") != "uncertain")
-    sums = overlap_sum(keyed, valid, row_key="_w", id_col=id_col, out="n_valid")
-    return sums.withColumn("n_valid", F.coalesce("n_valid", F.lit(0))).drop("_w")
+    totals = overlap_totals(keyed, valid, row_key="_w", id_col=id_col, out="n_valid")
+    return keyed.join(totals, "_w", "left").withColumn("n_valid", F.coalesce("n_valid", F.lit(0))).drop("_w")
 
 
 def label_strings(segments: DataFrame, *, id_col: str = "id", chunk: int | None = None) -> DataFrame:

@@ -167,3 +167,28 @@ def rekey_outcome(keys: DataFrame, families: DataFrame, *, delimiter: str = "-")
         .otherwise("missing_id")
     )
     return joined.select("shard", "key", "new_key", outcome.alias("outcome"))
+
+
+def attach_families(sequences: DataFrame, families: DataFrame, *, id_col: str = "id", required: bool = True) -> DataFrame:
+    """Left join of sequences with their normalised family. An unmapped id, or with
+    ``required`` an empty family, raises with examples."""
+    from spanforge.functions.text import normalize_family
+
+    known = families.select(id_col, F.col("family").cast("string").alias("_raw"), F.lit(True).alias("_mapped"))
+    joined = sequences.join(known, id_col, "left").withColumn("family", normalize_family(F.col("_raw")))
+    ids = joined.select(id_col, "family", "_mapped")
+    guard_empty(ids.filter(F.col("_mapped").isNull()).select(id_col).distinct(), "ids without a family entry", id_col)
+    if required:
+        guard_empty(ids.filter("family = ''").select(id_col).distinct(), "ids with an empty family", id_col)
+    return joined.drop("_raw", "_mapped")
+
+
+def trainable_ids(vectors: DataFrame, labels: DataFrame, *, id_col: str = "id") -> DataFrame:
+    """Ids that have both vectors and labels, with their common length; the job
+    fails on an id whose two lengths differ."""
+    both = vectors.select(id_col, F.col("length").alias("_v")).join(
+        labels.select(id_col, F.col("length").alias("_l")), id_col
+    )
+    text = F.concat_ws(" ", F.lit("vector and label lengths differ:"), F.col(id_col).cast("string"), F.col("_v"), F.col("_l"))
+    same = F.when(F.col("_v") == F.col("_l"), F.col("_v").cast("bigint")).otherwise(F.raise_error(text).cast("bigint"))
+    return both.select(id_col, same.alias("length"))

@@ -63,11 +63,11 @@ class Predictor:
     def predict(self, sequences: DataFrame) -> tuple[DataFrame, DataFrame]:
         """One result row per ``(id, header, sequence)`` and the failures."""
         scores, failures = self.score(sequences)
-        # A sequence with one failed window has gaps: it is a failure as a whole.
-        scores = scores.join(failures.select("id").distinct(), "id", "left_anti")
         limits = {name: self.thresholds[name] for name in self.heads}
         voted = vote_wide(scores, limits, aggregation=self.aggregation, ensemble_threshold=self.ensemble_threshold)
         payload = prediction_payload(voted, self._reported_threshold())
+        # A sequence with one failed window has gaps: it is a failure as a whole.
+        payload = payload.join(failures.select("id").distinct(), "id", "left_anti")
         n = len(self.heads)
         meta = F.create_map(*[F.lit(str(x)) for kv in (self.meta or {"engine": "spanforge"}).items() for x in kv])
         needed = votes_needed(n) if n > 1 and self.aggregation == "majority" else None

@@ -144,3 +144,17 @@ def test_one_hot_guard(spark):
     rows = spark.createDataFrame([("a", 1, 0, 1)], "name string, d int, u int, n int")
     with pytest.raises(Exception, match="one-hot"):
         Q.check_one_hot(rows, ["d", "u", "n"], "name").collect()
+
+
+def test_family_and_length_guards(spark):
+    seqs = spark.createDataFrame([("a", 3), ("b", 4)], "id string, length int")
+    one = spark.createDataFrame([("a", "7.0")], "id string, family string")
+    with pytest.raises(ValueError, match="without a family"):
+        Q.attach_families(seqs, one)
+    blank = spark.createDataFrame([("a", "7.0"), ("b", " nan")], "id string, family string")
+    with pytest.raises(ValueError, match="empty family"):
+        Q.attach_families(seqs, blank)
+    assert {r["id"]: r["family"] for r in Q.attach_families(seqs, blank, required=False).collect()} == {"a": "7", "b": ""}
+    other = spark.createDataFrame([("a", 3), ("b", 5)], "id string, length int")
+    with pytest.raises(Exception, match="lengths differ"):
+        Q.trainable_ids(seqs, other).collect()
