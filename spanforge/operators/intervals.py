@@ -274,8 +274,14 @@ def training_windows(
     return cut.select(id_col, "start", "stop", y.alias("y"), mask.alias("mask"))
 
 
-def peptide_lists(peptides: DataFrame, *, id_col: str = "id", order: str = "source_order") -> DataFrame:
-    """Nested peptide list per id in row order, with the first row's full name."""
+def peptide_lists(
+    peptides: DataFrame, *, id_col: str = "id", order: str = "source_order", parts: int = 1
+) -> DataFrame:
+    """Nested peptide list per id in row order, with the first row's full name.
+
+    With ``parts`` > 1 each id's list is written as that many ordered ``part``
+    lists, so an id holding a third of all peptides is not one row.
+    """
     from spanforge.functions.text import family_of, fullname_part
 
     one_hot = F.when(F.col("label") == "def", F.array(F.lit(1), F.lit(0), F.lit(0))).when(
@@ -285,7 +291,11 @@ def peptide_lists(peptides: DataFrame, *, id_col: str = "id", order: str = "sour
         F.col("code_name"), F.col("peptide"), F.col("start").alias("align_start"), F.col("stop").alias("align_stop"),
         one_hot.alias("label_onehot"), F.col("fullname"),
     )
-    grouped = peptides.groupBy(id_col).agg(
+    keys = [id_col]
+    if parts > 1:
+        peptides = peptides.withColumn("part", F.pmod(F.xxhash64(order), F.lit(parts)))
+        keys = [id_col, "part"]
+    grouped = peptides.groupBy(*keys).agg(
         F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), item.alias("p")))),
                     lambda s: s["p"]).alias("peptides")
     )
@@ -293,4 +303,4 @@ def peptide_lists(peptides: DataFrame, *, id_col: str = "id", order: str = "sour
     oxx = fullname_part(name, 3)
     tax = F.struct(name.alias("fullname"), fullname_part(name, 1).alias("protein_id"),
                    fullname_part(name, 2).alias("ac"), oxx.alias("oxx"), family_of(oxx).alias("family"))
-    return grouped.select(id_col, tax.alias("tax_info"), "peptides")
+    return grouped.select(*keys, tax.alias("tax_info"), "peptides")

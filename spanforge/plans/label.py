@@ -27,7 +27,9 @@ class Labels:
         write_labels(self.segments, self.proteins, self.stats, path)
 
 
-def build_labels(contract: DataFrame, lengths: DataFrame, *, restrict_to_lengths: bool = False) -> Labels:
+def build_labels(
+    contract: DataFrame, lengths: DataFrame, *, restrict_to_lengths: bool = False, list_parts: int = 1
+) -> Labels:
     """Paint the contract's peptides onto sequences of known ``(id, length)``.
 
     A label row that is not one-hot, an interval outside its sequence or, unless
@@ -51,4 +53,4 @@ def build_labels(contract: DataFrame, lengths: DataFrame, *, restrict_to_lengths
     rows = checked_bounds(rows, lengths, name="code_name")
     labelled = lengths.join(rows.select("id").distinct(), "id", "left_semi")
     segments = paint(rows, labelled)
-    return Labels(segments, peptide_lists(rows), class_stats(segments))
+    return Labels(segments, peptide_lists(rows, parts=list_parts), class_stats(segments))

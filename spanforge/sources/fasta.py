@@ -37,18 +37,14 @@ def read_fasta(
     gives the header up to a second ``>``; ``strict`` gives ``(id, ac, oxx,
     sequence)`` and fails the job on a header that is not ``ID= AC= OXX=``.
     White space and blank lines inside a record vanish. Text before a file's
-    first header is dropped, which takes a second scan that keeps one row number
-    per file; ``preamble=False`` saves it for files known to start with ``>``.
+    first header is dropped, which takes a scan that keeps one row per file;
+    ``preamble=False`` saves it for files known to start with ``>``.
     """
     if mode not in ("permissive", "fullname", "strict"):
         raise ValueError(f"unknown FASTA mode {mode!r}")
     raw = spark.read.option("lineSep", "\n>").text(path).select("value", source_order().alias("source_order"))
     if preamble:
-        # Only a file's first record keeps its ``>``; without one it is preamble.
-        heads = raw.groupBy("source_order.file").agg(F.min("source_order").alias("head")).select("head")
-        raw = raw.join(heads, raw["source_order"] == heads["head"], "left").filter(
-            F.col("head").isNull() | F.col("value").rlike(r"^\s*>")
-        )
+        raw = _without_preamble(raw)
     text = F.regexp_replace("value", r"^\s*>", "")
     header = strip(F.substring_index(text, "\n", 1))
     rest = F.when(F.instr(text, "\n") > 0, F.substring(text, F.instr(text, "\n"), F.length(text))).otherwise("")
@@ -65,6 +61,25 @@ def read_fasta(
     return out.select(*parts, "sequence", "source_order")
 
 
+def _without_preamble(raw: DataFrame) -> DataFrame:
+    """Drop each file's first record unless it starts with ``>``.
+
+    Only a file's first record keeps its marker. The records to drop are found
+    first (at most one per file, usually none), so the text itself is not joined
+    or shuffled in the usual case and meets a broadcast otherwise.
+    """
+    row, marked = F.col("source_order.row"), F.col("value").rlike(r"^\s*>")
+    heads = raw.filter(F.col("source_order.block") == 0).groupBy("source_order.file").agg(
+        F.min(row).alias("head"), F.min_by(marked, row).alias("marked")
+    )
+    stray = [(r["head"],) for r in heads.filter(~F.col("marked")).select("head").collect()]
+    if not stray:
+        return raw
+    # One row per file, and the file listing is on the driver anyway.
+    table = raw.sparkSession.createDataFrame(stray, "head bigint")
+    return raw.join(F.broadcast(table), row == F.col("head"), "left_anti")
+
+
 def fasta_lines(df: DataFrame, header: str = "header", sequence: str = "sequence") -> DataFrame:
     """One ``value`` per record, ready for the text sink."""
     return df.select(F.concat(F.lit(">"), F.col(header), F.lit("\n"), F.col(sequence)).alias("value"))

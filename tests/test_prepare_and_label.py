@@ -75,6 +75,8 @@ def test_three_sources_to_labels(spark, tmp_path):
     split = S.split_grouped(lengths.select("id"), names.select(F.col("ProteinID").alias("id"), F.col("Family").alias("group")), .34, 11)
     sides = {r["group"]: r["role"] for r in split.collect()}
     assert len(sides) == 3 and list(sides.values()).count("validation") == 1
+    parted = build_labels(contract, lengths, list_parts=3).proteins
+    assert parted.select(F.sum(F.size("peptides"))).first()[0] == 6
     labels.write(str(tmp_path / "labels"))
     assert spark.read.parquet(str(tmp_path / "labels/class_stats")).count() == 1
 
