@@ -287,25 +287,26 @@ def fold_curves(runs: DataFrame, curves: DataFrame) -> tuple[DataFrame, DataFram
     The first run of a fold by run index counts; it must be OK with an epoch >= 0
     and that epoch's curve must exist.
     """
-    place = Window.partitionBy("set_index", "fold_index").orderBy(F.col("run_index").asc_nulls_last())
-    # Only usable runs fill a fold, so a failed first run leaves it to the next.
-    usable = is_ok(F.col("status")) & (F.col("best_epoch") >= 0)
+    fold = Window.partitionBy("set_index", "fold_index")
     joined = runs.filter(F.col("fold_index").isNotNull()).join(
         curves.withColumnRenamed("epoch", "best_epoch").withColumn("_curve", F.lit(True)),
         ["run_index", "best_epoch"],
         "left",
     )
+    status = F.coalesce(F.upper(F.trim("status")), F.lit("UNKNOWN"))
     reason = (
-        F.when(~is_ok(F.col("status")), F.concat(F.lit("status="), F.coalesce(F.upper(F.trim("status")), F.lit("UNKNOWN"))))
+        F.when(~is_ok(F.col("status")), F.concat(F.lit("status="), status))
         .when(F.col("best_epoch").isNull() | (F.col("best_epoch") < 0), F.lit("invalid best epoch"))
         .when(F.col("_curve").isNull(), F.lit("missing curve"))
     )
-    judged = joined.withColumn("warning", F.when(~F.coalesce(usable, F.lit(False)) | F.col("_curve").isNull(), reason))
-    good = judged.filter(F.col("warning").isNull()).withColumn("_n", F.row_number().over(place))
-    kept = good.filter("_n = 1").drop("_n", "_curve", "warning")
-    spare = good.filter("_n > 1").withColumn("warning", F.lit("fold has several runs"))
-    warnings = judged.filter(F.col("warning").isNotNull()).select("set_index", "fold_index", "run_index", "warning")
-    return kept, warnings.unionByName(spare.select("set_index", "fold_index", "run_index", "warning"))
+    # The first usable run fills its fold; whatever comes after it is a spare.
+    judged = joined.withColumn("_reason", reason)
+    chosen = F.min(F.when(F.col("_reason").isNull(), F.col("run_index"))).over(fold)
+    spare = F.col("run_index") > chosen
+    judged = judged.withColumn("warning", F.when(spare, "fold has several runs").otherwise(F.col("_reason")))
+    kept = judged.filter(F.col("warning").isNull()).drop("_reason", "_curve", "warning")
+    warnings = judged.filter(F.col("warning").isNotNull())
+    return kept, warnings.select("set_index", "fold_index", "run_index", "warning")
 
 
 def mean_baseline(curves: DataFrame, *keys: str) -> DataFrame:

@@ -230,19 +230,19 @@ def _fold_curves(spark, d):
 _SQL_FOLD_CURVES = """r AS (SELECT s_suppkey % 20 AS fold_index, s_suppkey AS run_index, s_nationkey % 4 - 1 AS best_epoch, s_acctbal,
       CASE WHEN s_suppkey % 9 = 5 THEN 'status=NO_VALID_SCORE' WHEN s_nationkey % 4 = 0 THEN 'invalid best epoch'
            WHEN s_suppkey % 3 = 0 THEN 'missing curve' END AS warning FROM supplier),
-    placed AS (SELECT *, row_number() OVER (PARTITION BY fold_index, warning IS NULL ORDER BY run_index) AS rn FROM r)"""
+    placed AS (SELECT * EXCLUDE (warning), CASE WHEN run_index > min(run_index) FILTER (WHERE warning IS NULL)
+      OVER (PARTITION BY fold_index) THEN 'fold has several runs' ELSE warning END AS warning FROM r)"""
 
 
 @query("fold_curves", "fold_index:i run_index:i best_epoch:i baseline_positive_rate:d",
        f"""WITH {_SQL_FOLD_CURVES} SELECT fold_index, run_index, best_epoch, s_acctbal / 10000 AS baseline_positive_rate
-           FROM placed WHERE warning IS NULL AND rn = 1""")
+           FROM placed WHERE warning IS NULL""")
 def fold_curves(spark, d):
     return _fold_curves(spark, d)[0]
 
 
 @query("fold_curve_warnings", "fold_index:i run_index:i warning:s",
-       f"""WITH {_SQL_FOLD_CURVES} SELECT fold_index, run_index, coalesce(warning, 'fold has several runs') AS warning
-           FROM placed WHERE warning IS NOT NULL OR rn > 1""")
+       f"""WITH {_SQL_FOLD_CURVES} SELECT fold_index, run_index, warning FROM placed WHERE warning IS NOT NULL""")
 def fold_curve_warnings(spark, d):
     return _fold_curves(spark, d)[1]
 
