@@ -21,6 +21,7 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "spa
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spanforge-shared-"))
         .config("spark.driver.memory", os.environ.get("SPANFORGE_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
@@ -35,11 +36,15 @@ def shuffle_width(df: DataFrame) -> int:
 def shared_folder(spark: SparkSession) -> str:
     """A fresh path in the folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a session without that setting (tests, one machine) gets a local one.
+    A session on one machine (``local[...]``) that lacks the setting gets a folder
+    of its own; on a cluster a missing setting is an error, since no other machine
+    would see a local folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
-        return tempfile.mkdtemp(prefix="spanforge-")
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spanforge-")
     return f"{base.rstrip('/')}/spanforge-{uuid.uuid4().hex}"
 
 
