@@ -31,6 +31,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanforge.session import cut_lineage
+
 SLOTS = 1 << 16
 #: Times the even share from which a slot counts as frequent.
 FREQUENT = 6
@@ -313,7 +315,8 @@ def repeated_spans(
     settled = pieces.groupBy("bucket").applyInArrow(settle, "digest binary, starts array<int>, ends array<int>")
     lists = settled.groupBy("digest").agg(F.flatten(F.collect_list(F.arrays_zip("starts", "ends"))).alias("spans"))
     flat = F.flatten(F.transform("spans", lambda x: F.array(x["starts"], x["ends"])))
-    return lists.select("digest", flat.alias("spans"))
+    # written, so that the join that follows reads plain exchanges and can split a hot text
+    return cut_lineage(lists.select("digest", flat.alias("spans")))
 
 
 def removed(docs: DataFrame, text: str, spans: DataFrame, cut: Callable, schema: str, out: str) -> DataFrame:
