@@ -9,8 +9,8 @@ ones are laid end to end and their suffixes are sorted: the positions off the mu
 of three are sorted by their triples, the triples' names form a text of two thirds the
 length that is sorted the same way, the other suffixes follow from one symbol and the
 rank after it, and both orders are merged. Names cover three times as many bytes at
-each level, so five levels order all windows of 200 bytes and deeper ties need no order.
-A window is a repeat if a neighbour in that order starts with the same bytes.
+each level; the strings differ and have at most 399 bytes, so seven levels tell all
+suffixes apart. A window is a repeat if a neighbour in that order starts with the same bytes.
 
 Cases: as in ``word_dedup``; a null text is empty, what is kept may end inside a
 character and is binary.
@@ -51,8 +51,8 @@ def _joined(*columns: np.ndarray) -> np.ndarray:
     return key
 
 
-def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Start positions in the order of their first ``depth`` symbols at least (all above 0)."""
+def suffix_order(symbols: np.ndarray) -> np.ndarray:
+    """Start positions of all suffixes in sorted order; symbols are above 0."""
     n = len(symbols)
     if n < 4:
         return np.array(sorted(range(n), key=lambda i: symbols[i:].tolist()), np.int64)
@@ -61,8 +61,8 @@ def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
     twos = np.arange(2, n, 3)
     sample = np.concatenate((ones, twos))
     order, names = _dense(_joined(s[sample], s[sample + 1], s[sample + 2]))
-    if depth > 3 and names[order[-1]] < len(sample):
-        order = suffix_order(names, -(-depth // 3))
+    if names[order[-1]] < len(sample):
+        order = suffix_order(names)
     rank = np.zeros(n + 4, np.int64)
     rank[sample[order]] = np.arange(1, len(sample) + 1)
     ordered = sample[order]
@@ -115,7 +115,7 @@ def suffix_repeats(window: int):
             begins = np.zeros(len(data) + 1, np.int64)
             np.add.at(begins, firsts, 1)
             np.add.at(begins, firsts + windows[chunk], -1)
-            order = suffix_order(symbols, window)
+            order = suffix_order(symbols)
             order = order[np.cumsum(begins)[order] > 0]
             hits = _equal_neighbours(data, order, window)
             owner = np.searchsorted(firsts, hits, side="right") - 1
