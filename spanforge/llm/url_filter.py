@@ -105,7 +105,8 @@ def gram_ratios(training: DataFrame, wanted: DataFrame, order: int = ORDER, back
 
 
 def best_threshold(scored: DataFrame) -> Column:
-    """Scalar: the bin edge with the best balanced accuracy; score, verdict and n per row.
+    """Scalar: the score with the best balanced accuracy, halfway between the bins it parts.
+    ``scored`` has score, verdict and n.
 
     Scores are clipped to [-20, 20], so there are 4001 bins at most."""
     bins = scored.select(
@@ -116,8 +117,9 @@ def best_threshold(scored: DataFrame) -> Column:
     every = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     below = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     rate = lambda c, over: F.coalesce(F.sum(c).over(over), F.lit(0)) / F.sum(c).over(every)
-    rated = bins.select("bin", (1 - rate("a", below) + rate("r", below)).alias("accuracy"))
-    return rated.agg(F.coalesce(F.max_by("bin", F.struct("accuracy", -F.abs("bin"))), F.lit(0)).alias("bin")).select((F.col("bin") - 0.5) * BIN).scalar()
+    lower = F.coalesce(F.lag("bin").over(Window.orderBy("bin")), F.col("bin") - 1)
+    rated = bins.select(((F.col("bin") + lower) / 2 * BIN).alias("edge"), (1 - rate("a", below) + rate("r", below)).alias("accuracy"))
+    return rated.agg(F.max_by("edge", F.struct("accuracy", -F.abs("edge")))).scalar()
 
 
 def judge_urls(pages: DataFrame, url: str = "url", rules: tuple[UrlRule, ...] = RULES, order: int = ORDER, backoff: float = BACKOFF) -> DataFrame:
