@@ -15,8 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanforge.session import cut_lineage
+
 WORDS = "[^\\x20\\x09-\\x0D]+"
 SEED = "mixing-1"
+#: Sources up to which their targets are broadcast; more are joined by a shuffle.
+BROADCAST_SOURCES = 100_000
 
 
 def text_size(text: Column) -> Column:
@@ -64,6 +68,10 @@ def repetitions(
     """The rows of ``docs`` with the struct ``mix``: size, source_size, target, copies."""
     sizes = docs.select(F.col(source).alias("source"), text_size(F.col(text)).alias("size"))
     targets = source_targets(sizes, weights, share, most).withColumnsRenamed({"source": "__source", "source_size": "__size", "target": "__target"})
+    # one row per source, written so that it is counted; only a small table goes to all tasks
+    targets = cut_lineage(targets)
+    if targets.count() <= BROADCAST_SOURCES:
+        targets = F.broadcast(targets)
     rated = docs.drop("mix").join(targets, docs[source].eqNullSafe(targets["__source"]), "left")
     rate = F.when(F.col("__size") > 0, F.col("__target") / F.col("__size")).otherwise(0.0)
     copies = F.floor(rate) + (draw(seed, F.col(key), F.col(text)) < rate - F.floor(rate)).cast("long")
