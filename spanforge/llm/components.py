@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from spanforge.session import cut_lineage
 
 
+#: Rows (a few dozen bytes each) up to which a written table of keys goes to all tasks.
+BROADCAST_KEYS = 500_000
+
+
+def counted(keys: DataFrame) -> DataFrame:
+    """Narrow keys, written and counted: to be broadcast if few, else joined by a shuffle."""
+    keys = cut_lineage(keys)
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the smallest node reachable, for every node with an edge.
 

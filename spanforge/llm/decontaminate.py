@@ -38,6 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .components import counted
+
 ITEM_BLOCK = 20_000
 SIMILARITY = 0.8
 RECALL = 0.95
@@ -236,6 +238,6 @@ def _one_pass(docs, rows, text, key, item_type, item_key, similarity, times, bit
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` whose text holds no benchmark item."""
-    leaks = find_leaks(docs, benchmark, text, key, **options).select(F.col("digest").alias("__digest")).distinct()
+    leaks = counted(find_leaks(docs, benchmark, text, key, **options).select(F.col("digest").alias("__digest")).distinct())
     digest = F.md5(F.coalesce(F.col(text), F.lit("")))
     return docs.withColumn("__digest", digest).join(leaks, "__digest", "left_anti").drop("__digest")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from spanforge.session import cut_lineage
 
-from .components import components
+from .components import components, counted
 
 #: Distinct fingerprints a subtree should hold at most.
 SUBTREE = 1 << 13
@@ -206,7 +206,7 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", words: in
     is_best = F.col("best.key").eqNullSafe(F.col("key")) & (F.col("best.digest") == F.col("digest"))
     grouped = cut_lineage(grouped.select(
         F.col("key").alias("__key"), F.col("digest").alias("__digest"), is_best.alias("best"), "times"))
-    gone, again = grouped.filter("not best or times > 1"), grouped.filter("best and times > 1")
+    gone, again = counted(grouped.filter("not best or times > 1")), counted(grouped.filter("best and times > 1"))
     keyed = docs.withColumns({"__key": F.col(key), "__digest": F.md5(F.coalesce(F.col(text), F.lit("")))})
 
     def on(side: DataFrame):
