@@ -23,7 +23,7 @@ from spanforge.functions.stats import (
     ratio_or_zero,
     weighted_log_loss,
 )
-from spanforge.operators.ranking import keep_downsampled, numeric_bounds, prefix_sums, search_block
+from spanforge.operators.ranking import join_keys, keep_downsampled, numeric_bounds, prefix_sums, search_block
 
 # Policy names and selection statuses.
 THRESHOLD_POLICIES = ("max-recall-min-precision", "best-f1", "best-mcc", "min-recall-max-precision", "fixed")
@@ -424,7 +424,7 @@ def evaluate(
         *[c.alias(name) for name, c in extended.items()],
     )
     ranked = ranking_metrics(scores, keys, y, p, bounds).drop("n_pos", "n_neg")
-    return basics.join(ranked, keys) if keys else basics.crossJoin(F.broadcast(ranked))  # one row each
+    return join_keys(basics, ranked, keys) if keys else basics.crossJoin(F.broadcast(ranked))  # one row each
 
 
 def log_loss(

@@ -91,8 +91,8 @@ def prefix_sums(
 
     Each measure ``m`` adds ``cum_m`` (up to and including the row) and
     ``total_m`` (over the key). Each column ``c`` in ``peek`` adds ``next_c``,
-    its value on the following row, also across block borders. ``keys`` must
-    not be null. The block table has at most blocks x keys rows.
+    its value on the following row, also across block borders. Null
+    ``keys`` are one key more. The block table has at most blocks x keys rows.
     """
     keys = list(keys)
     if block is None:
@@ -124,7 +124,14 @@ def prefix_sums(
     added = [(F.sum(c).over(running) + F.col(f"_off_{m}")).alias(f"cum_{m}") for m, c in measures.items()]
     added += [F.coalesce(F.lead(c).over(local), F.col(f"_next_{c}")).alias(f"next_{c}") for c in peek]
     totals = [f"total_{m}" for m in measures]
-    return blocked.join(offsets, [*keys, "_block"]).select(*df.columns, *totals, *added)
+    return join_keys(blocked, offsets, [*keys, "_block"]).select(*df.columns, *totals, *added)
+
+
+def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on keys of which a null equals a null; ``right``'s keys are dropped."""
+    renamed = right.withColumnsRenamed({k: f"_on_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_on_{k}")) for k in keys]
+    return left.join(renamed, on).drop(*(f"_on_{k}" for k in keys))
 
 
 def _is_numeric(df: DataFrame, column: Column) -> bool:

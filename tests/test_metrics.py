@@ -147,3 +147,13 @@ def test_mcc_does_not_overflow(spark):
     big = 3_000_000_000
     row = spark.range(1).select(stats.mcc(F.lit(big), F.lit(1), F.lit(big), F.lit(1)).alias("m")).first()
     assert row["m"] == pytest.approx(1.0, abs=1e-6)
+
+
+def test_null_keys_are_a_key(spark):
+    rows = [(fold, i % 3 == 0, (i * 37 % 101) / 101) for i in range(60) for fold in (None, 1)]
+    df = spark.createDataFrame([(f, int(y), p, int(p > .5)) for f, y, p in rows], "fold int, y int, p double, pred int")
+    got = {r["fold"]: r.asDict() for r in M.evaluate(df, ["fold"]).collect()}
+    assert set(got) == {None, 1}
+    assert {k: v for k, v in got[None].items() if k != "fold"} == pytest.approx({k: v for k, v in got[1].items() if k != "fold"}, nan_ok=True)
+    chosen = M.select_thresholds(df.drop("pred"), ["best-f1", "fixed"], ["fold"]).collect()
+    assert sorted((r["policy"], str(r["fold"])) for r in chosen) == [("best-f1", "1"), ("best-f1", "None"), ("fixed", "1"), ("fixed", "None")]
