@@ -44,7 +44,8 @@ ITEM_BLOCK = 20_000
 SIMILARITY = 0.8
 RECALL = 0.95
 BITS = 4
-#: How often a sampled step agrees at the full distance (measured: see tests/llm).
+#: How often a sampled step is taken to agree at the full distance; an assumption, and
+#: tests/llm hold the recall that follows from it against brute force.
 AGREEMENT = 0.68
 SEED = 97
 WORD = re.compile(r"[^\W_]+")
