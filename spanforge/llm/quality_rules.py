@@ -85,54 +85,97 @@ def repeated_words(words: Column) -> Column:
     return F.when(n < 4, F.lit(0).cast("long")).otherwise(_let(F.sort_array(windows), covered))
 
 
-def with_signals(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the counts and ratios that rules are about."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(whole, "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
-    stop = "(?<![^\\x20\\x09-\\x0D])(?:" + "|".join(dict.fromkeys(STOP_WORDS)) + ")(?=[.,;:]?(?:[\\x20\\x09-\\x0D]|$))"
-    arrays = docs.withColumns({"__words": words_of(whole), "__lines": lines})
-    n, n_lines = F.col("n_words"), F.greatest(F.size("__lines"), F.lit(1))
-    counted = arrays.withColumns({
-        "n_words": F.size("__words").cast("long"),
+def _counts(whole: Column, words: Column, lines: Column) -> dict[str, Column]:
+    return {
+        "n_words": F.size(words).cast("long"),
         "word_chars": (F.length(whole) - _without(whole, BLANKS)).cast("long"),
         "n_symbols": _without(whole, SYMBOLS).cast("long"),
-        "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-        "n_repeat_words": repeated_words(F.col("__words")),
-    })
-    per_word = F.greatest(n, F.lit(1))
-    return counted.withColumns({
-        "mean_word_length": F.col("word_chars") / per_word,
-        "symbol_ratio": F.col("n_symbols") / per_word,
+        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
+        "n_repeat_words": repeated_words(words),
+    }
+
+
+def _ratios(whole: Column, lines: Column, count) -> dict[str, Column]:
+    """Ratios of the counts that ``count`` gives by name."""
+    stop = "(?<![^\\x20\\x09-\\x0D])(?:" + "|".join(dict.fromkeys(STOP_WORDS)) + ")(?=[.,;:]?(?:[\\x20\\x09-\\x0D]|$))"
+    per_word, per_line = F.greatest(count("n_words"), F.lit(1)), F.greatest(F.size(lines), F.lit(1))
+    return {
+        "mean_word_length": count("word_chars") / per_word,
+        "symbol_ratio": count("n_symbols") / per_word,
         "exclamation_ratio": _without(whole, "!?") / per_word,
         "stop_word_ratio": F.regexp_count(F.lower(whole), F.lit(stop)) / per_word,
-        "duplicate_line_ratio": F.col("n_dup_lines") / n_lines,
-        "bullet_line_ratio": F.size(F.filter("__lines", lambda x: F.ltrim(x).rlike("^[-*•]"))) / n_lines,
-        "ellipsis_line_ratio": F.size(F.filter("__lines", lambda x: F.rtrim(x).rlike("(\\.\\.\\.|…)$"))) / n_lines,
-    }).drop("__words", "__lines")
+        "duplicate_line_ratio": count("n_dup_lines") / per_line,
+        "bullet_line_ratio": F.size(F.filter(lines, lambda x: F.ltrim(x).rlike("^[-*•]"))) / per_line,
+        "ellipsis_line_ratio": F.size(F.filter(lines, lambda x: F.rtrim(x).rlike("(\\.\\.\\.|…)$"))) / per_line,
+    }
+
+
+def _lines_of(whole: Column) -> Column:
+    return F.filter(F.split(whole, "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
+
+
+def _base_failed(signal) -> Column:
+    return (signal("n_words") < 50) | (100 * signal("n_repeat_words") > 50 * signal("n_words"))
+
+
+def _broken(rule: Rule, signal) -> Column:
+    value, bad = signal(rule.signal), F.lit(False)
+    if rule.low is not None:
+        bad = bad | (value < rule.low)
+    if rule.high is not None:
+        bad = bad | (value > rule.high)
+    return bad
+
+
+def with_signals(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Adds the counts and ratios that rules are about."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    arrays = docs.withColumns({"__words": words_of(whole), "__lines": _lines_of(whole)})
+    counted = arrays.withColumns(_counts(whole, F.col("__words"), F.col("__lines")))
+    return counted.withColumns(_ratios(whole, F.col("__lines"), F.col)).drop("__words", "__lines")
 
 
 def verdicts(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Adds the signals, base_failed, failed_rules (names) and kept."""
-    signals = with_signals(docs, text)
-    checks = []
-    for rule in rules:
-        value, bad = F.col(rule.signal), F.lit(False)
-        if rule.low is not None:
-            bad = bad | (value < rule.low)
-        if rule.high is not None:
-            bad = bad | (value > rule.high)
-        checks.append(F.when(bad, F.lit(rule.name)))
-    failed = signals.withColumns({
-        "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
+    checks = [F.when(_broken(rule, F.col), F.lit(rule.name)) for rule in rules]
+    failed = with_signals(docs, text).withColumns({
+        "base_failed": _base_failed(F.col),
         "failed_rules": F.array_compact(F.array(*checks)) if checks else F.array().cast("array<string>"),
     })
     return failed.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
 
 
+def passes(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """Whether a text passes, as one condition.
+
+    A filter is pushed below the projection that makes its columns, which then are
+    worked out again wherever they are named; here arrays, counts and ratios are each
+    bound once per row.
+    """
+
+    def judged(parts: Column) -> Column:
+        whole, words, lines = parts["text"], parts["words"], parts["lines"]
+
+        def verdict(counts: Column) -> Column:
+            def decide(ratios: Column) -> Column:
+                def signal(name: str) -> Column:
+                    return ratios[name] if name in ratio_names else counts[name]
+
+                bad = _base_failed(signal)
+                for rule in rules:
+                    bad = bad | _broken(rule, signal)
+                return ~bad
+
+            ratios = _ratios(whole, lines, lambda name: counts[name])
+            ratio_names = set(ratios)
+            return _let(F.struct(*(c.alias(n) for n, c in ratios.items())), decide)
+
+        return _let(F.struct(*(c.alias(n) for n, c in _counts(whole, words, lines).items())), verdict)
+
+    whole = F.coalesce(text, F.lit(""))
+    return _let(F.struct(whole.alias("text"), words_of(whole).alias("words"), _lines_of(whole).alias("lines")), judged)
+
+
 def keep_good(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of ``docs`` whose text passes, unchanged; only the text is judged, so
-    columns with the names of signals stay as they are."""
-    names = docs.columns
-    carried = docs.select(F.col(text).alias("__text"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("__row"))
-    good = verdicts(carried, "__text", rules).filter("kept")
-    return good.select(*(F.col("__row").getField(c).alias(c) for c in names))
+    """The rows of ``docs`` whose text passes, unchanged; no column is added."""
+    return docs.filter(passes(F.col(f"`{text}`"), rules))
