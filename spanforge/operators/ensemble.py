@@ -109,8 +109,9 @@ def vote(
     """Combine ``(id, pos, member, p)`` into ``(id, pos, p, votes, pred)``.
 
     Thresholds sit in the plan as a map literal (one entry per member), so no
-    join and no second pass; the vote is one combinable aggregate. ``keep``
-    columns must be constant per position.
+    join and no second pass; the vote is one combinable aggregate. A position
+    that lacks a member, or has one twice, is an error. ``keep`` columns must be
+    constant per position.
     """
     if aggregation not in AGGREGATIONS:
         raise ValueError(f"aggregation must be one of {AGGREGATIONS}")
@@ -123,9 +124,14 @@ def vote(
     limit = F.try_element_at(table, F.col("member").cast("string"))
     unknown = F.raise_error(F.concat(F.lit("no threshold for member "), F.col("member").cast("string"))).cast("double")
     yes = F.col("p") >= F.coalesce(limit, unknown)
+    heard = [F.count_if(F.col("member").cast("string") == name) for name in thresholds]
     combined = scores.groupBy("id", "pos").agg(
-        F.avg("p").alias("p"), F.count_if(yes).alias("votes"), *[F.max(c).alias(c) for c in keep]
+        F.avg("p").alias("p"), F.count_if(yes).alias("votes"), F.array(*heard).alias("_voters"), *[F.max(c).alias(c) for c in keep]
     )
+    uneven = F.raise_error(F.concat(F.lit("members do not vote once each at "), F.col("id").cast("string"), F.lit(":"), F.col("pos").cast("string")))
+    whole = F.forall("_voters", lambda c: c == 1)
+    combined = combined.withColumn("p", F.when(whole, F.col("p")).otherwise(uneven.cast("double"))).withColumn(
+        "votes", F.when(whole, F.col("votes")).otherwise(uneven.cast("bigint"))).drop("_voters")
     if aggregation == "majority" or n == 1:
         needed = votes_needed(n)
         return combined.withColumn("pred", (F.col("votes") >= needed).cast("int"))

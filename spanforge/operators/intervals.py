@@ -110,12 +110,16 @@ def segments_from_labels(labels: DataFrame, *, id_col: str = "id") -> DataFrame:
         lambda pair, i: F.when(pair["u"].isNull() | (pair["u"] != pair["v"]), F.struct(i.alias("at"), pair["v"].alias("v"))),
     )
     cut = labels.filter(F.size("y") > 0).select(id_col, F.size("y").alias("n"), F.array_compact(starts).alias("runs"))
-    parts = cut.select(id_col, "n", "runs", F.posexplode("runs").alias("k", "run"))
-    stop = F.coalesce(F.get(F.col("runs"), F.col("k") + 1)["at"], F.col("n"))
-    return parts.select(
+    # Each run takes its stop from the next before exploding: no row carries the array of all.
+    following = F.slice(F.col("runs"), F.lit(2), F.size("runs"))
+    closed = F.zip_with(
+        F.col("runs"), following,
+        lambda run, after: F.struct(run["at"].alias("at"), F.coalesce(after["at"], F.col("n")).alias("stop"), run["v"].alias("v")),
+    )
+    return cut.select(id_col, F.explode(closed).alias("run")).select(
         id_col,
         F.col("run.at").cast("bigint").alias("start"),
-        stop.cast("bigint").alias("stop"),
+        F.col("run.stop").cast("bigint").alias("stop"),
         F.when(F.col("run.v") == 1, "def").otherwise("not").alias("label"),
     )
 
@@ -261,10 +265,14 @@ def training_windows(
 
     ``labels`` holds one label string per id over ``d``, ``n``, ``u``.
     """
-    spans = labels.select(id_col, "labels", F.explode(window_spans(F.length("labels"), window, stride)).alias("w"))
-    n = (F.col("w.stop") - F.col("w.start")).cast("int")
-    cut = spans.select(id_col, "w.start", "w.stop", F.split(
-        F.substring("labels", (F.col("w.start") + 1).cast("int"), n), "").alias("c"))
+    # Windows are cut inside the row, so no window carries the whole string.
+    texts = F.transform(
+        window_spans(F.length("labels"), window, stride),
+        lambda w: F.struct(w["start"].alias("start"), w["stop"].alias("stop"), F.substring(
+            F.col("labels"), (w["start"] + 1).cast("int"), (w["stop"] - w["start"]).cast("int")).alias("labels")),
+    )
+    spans = labels.select(id_col, F.explode(texts).alias("w"))
+    cut = spans.select(id_col, "w.start", "w.stop", F.split(F.col("w.labels"), "").alias("c"))
     y = F.transform("c", lambda ch: (ch == "d").cast("int"))
     mask = F.transform("c", lambda ch: (ch != "u").cast("int"))
     if pad and window:
@@ -291,15 +299,20 @@ def peptide_lists(
         F.col("code_name"), F.col("peptide"), F.col("start").alias("align_start"), F.col("stop").alias("align_stop"),
         one_hot.alias("label_onehot"), F.col("fullname"),
     )
-    keys = [id_col]
+    row, keys = F.struct(F.col(order).alias("o"), item.alias("p")), [id_col]
+    # The id's first row names it in all its parts; one small row per id, combined before the shuffle.
+    names = peptides.groupBy(id_col).agg(F.min(row)["p"]["fullname"].alias("_name")) if parts > 1 else None
     if parts > 1:
         peptides = peptides.withColumn("part", F.pmod(F.xxhash64(order), F.lit(parts)))
         keys = [id_col, "part"]
     grouped = peptides.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), item.alias("p")))),
-                    lambda s: s["p"]).alias("peptides")
+        F.transform(F.array_sort(F.collect_list(row)), lambda s: s["p"]).alias("peptides")
     )
-    name = F.col("peptides")[0]["fullname"]
+    if names is None:
+        grouped = grouped.withColumn("_name", F.col("peptides")[0]["fullname"])
+    else:
+        grouped = grouped.join(names, id_col)
+    name = F.col("_name")
     oxx = fullname_part(name, 3)
     tax = F.struct(name.alias("fullname"), fullname_part(name, 1).alias("protein_id"),
                    fullname_part(name, 2).alias("ac"), oxx.alias("oxx"), family_of(oxx).alias("family"))

@@ -1,3 +1,5 @@
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -85,3 +87,26 @@ def test_support_and_weights(spark):
     assert I.combine_class_stats(zero).first()["pos_weight"] == 7
     with pytest.raises(Exception, match="negative count"):
         I.combine_class_stats(spark.createDataFrame([(1, None)], "pos_count int, neg_count int")).collect()
+
+
+def test_runs_of_label_arrays(spark):
+    rows = [("a", [1, 1, 0, 0, 1]), ("b", [0]), ("c", []), ("d", [1, 0, 1, 0])]
+    labels = spark.createDataFrame(rows, "id string, y array<int>")
+    got = sorted((r.id, r.start, r.stop, r.label) for r in I.segments_from_labels(labels).collect())
+    want = []
+    for name, y in rows:
+        at = 0
+        for value, run in itertools.groupby(y):
+            n = len(list(run))
+            want.append((name, at, at + n, "def" if value else "not"))
+            at += n
+    assert got == sorted(want)
+
+
+def test_peptide_list_parts_share_the_first_name(spark):
+    rows = [("p", f"c{i}", "PEP", i, i + 3, "def", f"ID=p AC=a OXX=1,{i}", i) for i in range(40)]
+    peptides = spark.createDataFrame(rows, "id string, code_name string, peptide string, start long, stop long, label string, fullname string, source_order long")
+    whole, parts = I.peptide_lists(peptides).collect(), I.peptide_lists(peptides, parts=3).collect()
+    assert len(whole) == 1 and len(parts) == 3
+    assert {r.tax_info for r in parts} == {whole[0].tax_info}
+    assert sorted(p.code_name for r in parts for p in r.peptides) == sorted(p.code_name for p in whole[0].peptides)

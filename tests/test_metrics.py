@@ -139,6 +139,12 @@ def test_normal_tail_and_wilson(spark):
         stats.wilson_low(F.lit(0), F.lit(0)).alias("none"),
     ).first()
     assert row["p"] == pytest.approx(.025, abs=1e-9)
+    points = [i / 10 for i in range(-100, 101)]
+    tails = spark.createDataFrame([(z,) for z in points], "z double").select("z", stats.normal_upper_tail(F.col("z")).alias("p")).collect()
+    for r in tails:
+        assert r.p == pytest.approx(math.erfc(r.z / math.sqrt(2)) / 2, rel=1e-11)
+    odd = spark.createDataFrame([(None,), (float("nan"),)], "z double").select(stats.normal_upper_tail(F.col("z")).alias("p"))
+    assert [r.p for r in odd.collect()] == [None, None]
     assert row["lo"] == pytest.approx(.490162, abs=1e-6) and row["hi"] == pytest.approx(.943318, abs=1e-6)
     assert math.isnan(row["none"])
 

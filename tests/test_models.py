@@ -235,3 +235,10 @@ def test_comparison_rejects_bad_rows(spark):
     bad = spark.createDataFrame([("h", "01x", 1)], "header string, sequence string, source_order int")
     with pytest.raises(Exception, match="non-binary"):
         C.masks_by_id(bad).collect()
+
+
+@pytest.mark.parametrize("rows", [[("s", 0, "a", .5)], [("s", 0, "a", .5), ("s", 0, "b", .5), ("s", 0, "b", .5)]])
+def test_vote_needs_each_member_once(spark, rows):
+    table = spark.createDataFrame(rows, "id string, pos long, member string, p double")
+    with pytest.raises(Exception, match="members do not vote once each at s:0"):
+        E.vote(table, {"a": .5, "b": .5}).collect()

@@ -20,6 +20,6 @@ def test_matches_sql(spark, sf_dir, name):
     assert compare(df.columns, df.collect(), *sql_rows(sf_dir, ORACLES[name])) is None
 
 
-@pytest.mark.parametrize("name", ["stratified_split", "stratified_kfold", "topk_enrichment_p_values"])
+@pytest.mark.parametrize("name", ["stratified_split", "stratified_kfold"])
 def test_rows_only(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from spanforge.functions.stats import TAIL_TERMS
 from spanforge.functions.text import mask_from_flags, ones_between
 from spanforge.operators import compare as C
 from spanforge.operators import intervals as I
@@ -301,7 +302,35 @@ def out_of_bounds_intervals(spark, d):
             CAST(arg_min(l_linenumber, o) AS VARCHAR) AS family, string_agg('P' || l_partkey, ',' ORDER BY o) AS codes,
             sum(is_def) AS n_def FROM u GROUP BY l_orderkey""")
 def nested_peptide_lists(spark, d):
-    rows = table(spark, d, "lineitem").select(
+    lists = I.peptide_lists(peptide_rows(spark, d))
+    return lists.select(
+        "id",
+        F.size("peptides").alias("n_peptides"),
+        F.col("tax_info.protein_id").alias("first_id"),
+        F.col("tax_info.family").alias("family"),
+        F.array_join(F.transform("peptides", lambda p: p["code_name"]), ",").alias("codes"),
+        F.aggregate("peptides", F.lit(0), lambda a, p: a + p["label_onehot"][0]).alias("n_def"),
+    )
+
+
+@query("nested_peptide_list_parts", "id:i n_peptides:i families:i family:s n_def:i",
+       """WITH r AS (SELECT *, l_partkey * 10 + l_linenumber AS o FROM lineitem),
+            u AS (SELECT DISTINCT l_orderkey, o, l_partkey, l_linenumber, CASE WHEN l_partkey % 2 = 0 THEN 1 ELSE 0 END AS is_def FROM r)
+          SELECT l_orderkey AS id, count(*) AS n_peptides, 1 AS families, CAST(arg_min(l_linenumber, o) AS VARCHAR) AS family,
+            sum(is_def) AS n_def FROM u GROUP BY l_orderkey""")
+def nested_peptide_list_parts(spark, d):
+    """All parts of an id together: nothing is lost, and the id's first row names each part."""
+    lists = I.peptide_lists(peptide_rows(spark, d), parts=3)
+    return lists.groupBy("id").agg(
+        F.sum(F.size("peptides")).alias("n_peptides"),
+        F.count_distinct("tax_info").alias("families"),
+        F.min("tax_info.family").alias("family"),
+        F.sum(F.aggregate("peptides", F.lit(0), lambda a, p: a + p["label_onehot"][0])).alias("n_def"),
+    )
+
+
+def peptide_rows(spark, d):
+    return table(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("id"),
         F.concat(F.lit("P"), F.col("l_partkey")).alias("code_name"),
         F.lit("PEP").alias("peptide"),
@@ -311,15 +340,6 @@ def nested_peptide_lists(spark, d):
         F.concat(F.lit("ID=O"), F.col("l_orderkey"), F.lit(" AC=A OXX=1,"), F.col("l_linenumber")).alias("fullname"),
         (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("source_order"),
     ).distinct()
-    lists = I.peptide_lists(rows)
-    return lists.select(
-        "id",
-        F.size("peptides").alias("n_peptides"),
-        F.col("tax_info.protein_id").alias("first_id"),
-        F.col("tax_info.family").alias("family"),
-        F.array_join(F.transform("peptides", lambda p: p["code_name"]), ",").alias("codes"),
-        F.aggregate("peptides", F.lit(0), lambda a, p: a + p["label_onehot"][0]).alias("n_def"),
-    )
 
 
 # --- top-K enrichment ------------------------------------------------------
@@ -353,7 +373,17 @@ def topk_enrichment(spark, d):
     return enrichment(spark, d)
 
 
-@query("topk_enrichment_p_values", f"{_TOPK_SPEC} pvalue_one_sided:d")
+def _sql_tail(z: str) -> str:
+    """1 - Phi of a column as SQL text: the series up to 3, the continued fraction beyond."""
+    series, fraction = "1.0", "u"
+    for k in range(TAIL_TERMS, 0, -1):
+        series, fraction = f"(1.0 + u * u / {2 * k + 1} * {series})", f"(u + {k} / {fraction})"
+    upper = f"CASE WHEN u <= 3 THEN 0.5 - f * u * {series} ELSE f / {fraction} END"
+    return f"""SELECT * EXCLUDE (u, f), CASE WHEN {z} >= 0 THEN {upper} ELSE 1.0 - ({upper}) END AS pvalue_one_sided
+        FROM (SELECT *, abs({z}) AS u, exp(-{z} * {z} / 2) / sqrt(2 * pi()) AS f FROM topk)"""
+
+
+@query("topk_enrichment_p_values", f"{_TOPK_SPEC} pvalue_one_sided:d", f"WITH {_SQL_TOPK} {_sql_tail('z_stat_one_sided')}")
 def topk_enrichment_p_values(spark, d):
     return enrichment(spark, d, p_values=True)
 
