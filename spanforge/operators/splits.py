@@ -11,20 +11,14 @@ through the driver or one task.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from fractions import Fraction
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.operators.ranking import ordered_rank, seeded_digest, seeded_rank, hash_block
-from spanforge.session import shuffle_width
-
-# Above this many rows the bit-exact shuffle of the "python" order is refused:
-# it is one sequential pass. The "hash" order has no limit.
-PYTHON_ORDER_LIMIT = 1_000_000
-MAX_WEIGHT_CLASSES = 1_000_000
-
+from spanforge.session import cut_lineage, shuffle_width
 
 def with_groups(ids: DataFrame, groups: DataFrame | None, *, id_col: str = "id", group: str = "group") -> DataFrame:
     """Attach a group to every id; an id without one is its own group."""
@@ -43,53 +37,22 @@ def missing_family_groups(ids: DataFrame, families: DataFrame, *, id_col: str =
     return joined.select(id_col, F.when(text.isNull() | (text == ""), alone).otherwise(text).alias("group"))
 
 
-def _shuffled_positions(spark, n: int, seed: int) -> DataFrame:
-    """``(first_rank, position)`` of CPython's seeded list shuffle of n items."""
-    if n > PYTHON_ORDER_LIMIT:
-        raise ValueError(f"{n} rows exceed the limit of the python order ({PYTHON_ORDER_LIMIT}); use order='hash'")
-
-    def emit(batches):
-        import random
-
-        for _ in batches:
-            items = list(range(1, n + 1))
-            random.Random(seed).shuffle(items)
-            yield pd.DataFrame({"first_rank": items, "position": range(1, n + 1)})
-
-    return spark.range(1, numPartitions=1).mapInPandas(emit, "first_rank bigint, position bigint")
-
-
-def shuffled_rank(df: DataFrame, key: str, seed: int, order: str = "hash", *, first_seen: str | None = None) -> DataFrame:
-    """Position ``rank`` of every row in a seeded shuffle, with ``total_n``.
-
-    ``hash`` orders by md5(seed:key). ``python`` repeats CPython's
-    ``random.Random(seed).shuffle`` of the rows sorted by ``first_seen``.
-    """
-    if order == "hash":
-        return seeded_rank(df, seed, key)
-    if order != "python":
-        raise ValueError("order must be hash or python")
-    ranked = ordered_rank(df, [F.col(first_seen or key)], out="first_rank")
-    positions = _shuffled_positions(df.sparkSession, df.count(), seed)
-    return ranked.join(positions, "first_rank").drop("first_rank").withColumnRenamed("position", "rank")
-
-
-def split_ids(ids: DataFrame, val_frac: float, seed: int, *, id_col: str = "id", order: str = "hash") -> DataFrame:
+def split_ids(ids: DataFrame, val_frac: float, seed: int, *, id_col: str = "id") -> DataFrame:
     """Random split: the first floor(n x f) ids of the shuffle validate.
     A fraction outside [0, 1] trains on everything."""
     if not 0.0 <= val_frac <= 1.0:
         return ids.select(id_col, F.lit("train").alias("role"))
-    ranked = shuffled_rank(ids.select(id_col), id_col, seed, order)
+    ranked = seeded_rank(ids.select(id_col), seed, id_col)
     cut = F.floor(F.col("total_n") * F.lit(float(val_frac)))
     role = F.when(F.col("rank") <= cut, "validation").otherwise("train")
     return ranked.select(id_col, role.alias("role"))
 
 
-def kfold(ids: DataFrame, n_folds: int, seed: int, *, id_col: str = "id", order: str = "hash") -> DataFrame:
+def kfold(ids: DataFrame, n_folds: int, seed: int, *, id_col: str = "id") -> DataFrame:
     """Shuffled position modulo k; ``fold_index`` is 1-based."""
     if n_folds < 2:
         raise ValueError("n_folds must be >= 2")
-    ranked = shuffled_rank(ids.select(id_col), id_col, seed, order)
+    ranked = seeded_rank(ids.select(id_col), seed, id_col)
     short = F.raise_error(F.lit(f"n_folds={n_folds} exceeds the number of ids")).cast("bigint")
     fold = F.when(F.col("total_n") < n_folds, short).otherwise(F.pmod(F.col("rank") - 1, F.lit(n_folds)) + 1)
     return ranked.select(id_col, fold.cast("int").alias("fold_index"))
@@ -98,28 +61,22 @@ def kfold(ids: DataFrame, n_folds: int, seed: int, *, id_col: str = "id", order:
 # --- size classes ----------------------------------------------------------
 
 
-def group_sizes(grouped: DataFrame, *, id_col: str = "id", group: str = "group") -> DataFrame:
-    """``(group, size, first_seen)``; first_seen is the smallest member id."""
-    return grouped.groupBy(group).agg(F.count(F.lit(1)).alias("size"), F.min(id_col).alias("first_seen"))
+def group_sizes(grouped: DataFrame, *, group: str = "group") -> DataFrame:
+    """``(group, size)``."""
+    return grouped.groupBy(group).agg(F.count(F.lit(1)).alias("size"))
 
 
-def _histogram(sizes: DataFrame, size: str) -> list[tuple[int, int]]:
-    """(size, count) pairs, largest size first."""
+def _histogram(sizes: DataFrame, size: str) -> list[tuple]:
+    """(size, count) pairs, largest size first: one row per distinct size."""
     rows = sizes.groupBy(size).agg(F.count(F.lit(1)).alias("n"))
-    classes = rows.limit(MAX_WEIGHT_CLASSES + 1).collect()
-    if len(classes) > MAX_WEIGHT_CLASSES:
-        raise ValueError(f"more than {MAX_WEIGHT_CLASSES} distinct weights; use coarser whole-number weights")
-    return sorted(((int(r[size]), int(r["n"])) for r in classes), reverse=True)
+    return sorted(((r[size], int(r["n"])) for r in rows.collect()), reverse=True)
 
 
-def _rank_in_class(sizes: DataFrame, size: str, seed: int, order: str) -> DataFrame:
-    """Rank of each group among the groups of its size, in shuffled order."""
-    if order == "hash":
-        tagged = sizes.withColumn("_digest", seeded_digest(seed, F.col("group")))
-        block = hash_block(F.col("_digest"), shuffle_width(sizes))
-        return ordered_rank(tagged, [F.col("_digest"), F.col("group")], [size], block=block).drop("_digest")
-    placed = shuffled_rank(sizes, "group", seed, order, first_seen="first_seen").withColumnRenamed("rank", "_at")
-    return ordered_rank(placed.drop("total_n"), [F.col("_at")], [size]).drop("_at")
+def _rank_in_class(sizes: DataFrame, size: str, seed: int) -> DataFrame:
+    """Rank of each group among the groups of its size, in seeded order."""
+    tagged = sizes.withColumn("_digest", seeded_digest(seed, F.col("group")))
+    block = hash_block(F.col("_digest"), shuffle_width(sizes))
+    return ordered_rank(tagged, [F.col("_digest"), F.col("group")], [size], block=block).drop("_digest")
 
 
 def holdout_plan(histogram: Sequence[tuple[int, int]], target: int) -> list[tuple[int, int, int]]:
@@ -159,20 +116,19 @@ def split_grouped(
     seed: int,
     *,
     id_col: str = "id",
-    order: str = "hash",
 ) -> DataFrame:
     """Split with whole groups: largest groups first, as close to floor(n x f) as they get."""
     grouped = with_groups(ids, groups, id_col=id_col)
     if not 0.0 < val_frac < 1.0:
         role = "validation" if val_frac == 1.0 else "train"
         return grouped.withColumn("role", F.lit(role))
-    sizes = group_sizes(grouped, id_col=id_col)
+    sizes = group_sizes(grouped)
     histogram = _histogram(sizes, "size")
     target = int(sum(s * c for s, c in histogram) * val_frac)
     plan = ids.sparkSession.createDataFrame(
         holdout_plan(histogram, target) or [(0, 0, 0)], "size bigint, first_n bigint, forced bigint"
     )
-    ranked = _rank_in_class(sizes, "size", seed, order)
+    ranked = _rank_in_class(sizes, "size", seed)
     # One row per distinct size: at most sqrt(2 x ids) rows.
     chosen = ranked.join(F.broadcast(plan), "size", "left")
     picked = (F.col("rank") <= F.col("first_n")) | (F.col("rank") == F.col("forced"))
@@ -188,12 +144,13 @@ def longest_first_plan(
     The next item goes to the lightest bin (ties: fewer items, lower index).
     Bins within one weight of the lightest take turns in a fixed cycle until the
     next heavier bin comes within reach, so a class is at most ``n_bins + 1``
-    runs ``(weight, first rank, last rank, cycle of bins)``.
+    runs ``(weight, first rank, last rank, cycle of bins)``. Loads are exact
+    fractions, so weights need not be whole numbers.
     """
     loads, items = [0] * n_bins, [0] * n_bins
     runs = []
-    for weight, count in histogram:
-        done = 0
+    for value, count in histogram:
+        weight, done = Fraction(value), 0
         while done < count:
             floor_ = min(loads)
             cycle = sorted((b for b in range(n_bins) if loads[b] < floor_ + weight),
@@ -201,11 +158,11 @@ def longest_first_plan(
             heavier = [loads[b] for b in range(n_bins) if loads[b] >= floor_ + weight]
             rounds = (count - done) // len(cycle)
             if heavier:
-                rounds = min(rounds, (min(heavier) - floor_) // weight)
+                rounds = min(rounds, int((min(heavier) - floor_) // weight))
             if rounds == 0:
                 cycle, rounds = cycle[: count - done], 1
             span = rounds * len(cycle)
-            runs.append((weight, done + 1, done + span, cycle))
+            runs.append((value, done + 1, done + span, cycle))
             for b in cycle:
                 loads[b] += rounds * weight
                 items[b] += rounds
@@ -217,28 +174,28 @@ def _assign_bins(ranked: DataFrame, runs, weight: str, out: str) -> DataFrame:
     """Attach the 0-based bin of each (weight, rank) from the run table."""
     spark = ranked.sparkSession
     table = spark.createDataFrame(
-        runs, f"{weight} bigint, first_rank bigint, last_rank bigint, cycle array<int>"
+        runs, f"{weight} {ranked.schema[weight].dataType.simpleString()}, first_rank bigint, last_rank bigint, cycle array<int>"
     )
-    joined = ranked.join(F.broadcast(table), weight).filter(F.col("rank").between(F.col("first_rank"), F.col("last_rank")))
+    joined = ranked.join(table, weight).filter(F.col("rank").between(F.col("first_rank"), F.col("last_rank")))
     turn = F.pmod(F.col("rank") - F.col("first_rank"), F.size("cycle")).cast("int")
     return joined.withColumn(out, F.get(F.col("cycle"), turn)).drop("first_rank", "last_rank", "cycle")
 
 
 def kfold_grouped(
-    ids: DataFrame, groups: DataFrame | None, n_folds: int, seed: int, *, id_col: str = "id", order: str = "hash"
+    ids: DataFrame, groups: DataFrame | None, n_folds: int, seed: int, *, id_col: str = "id"
 ) -> DataFrame:
     """Folds of whole groups: the largest group goes to the smallest fold."""
     if n_folds < 2:
         raise ValueError("n_folds must be >= 2")
     grouped = with_groups(ids, groups, id_col=id_col)
-    sizes = group_sizes(grouped, id_col=id_col)
+    sizes = group_sizes(grouped)
     histogram = _histogram(sizes, "size")
     if not histogram:
         raise ValueError("ids cannot be empty")
     n_groups = sum(c for _, c in histogram)
     if n_groups < n_folds:
         raise ValueError(f"n_folds={n_folds} exceeds the number of groups {n_groups}")
-    placed = _assign_bins(_rank_in_class(sizes, "size", seed, order), longest_first_plan(histogram, n_folds),
+    placed = _assign_bins(_rank_in_class(sizes, "size", seed), longest_first_plan(histogram, n_folds),
                           "size", "_bin")
     folds = placed.select("group", (F.col("_bin") + 1).alias("fold_index"))
     return grouped.join(folds, "group").select(id_col, "group", "fold_index")
@@ -248,19 +205,17 @@ def partition_weighted(
     ids: DataFrame, n_parts: int, *, id_col: str = "id", weight: str = "weight", group: str | None = None,
     require_all: bool = False,
 ) -> DataFrame:
-    """Longest-first partitions by whole-number weight; missing or bad weights count 1.
+    """Longest-first partitions by weight; missing or bad weights count 1.
 
-    Equal weights are placed in (group, id) order. The run table has at most
-    (n_parts + 1) rows per distinct weight.
+    Equal weights are placed in (group, id) order. The driver walks the distinct
+    weights (not the ids); the run table has at most (n_parts + 1) rows for each.
     """
     if n_parts < 1:
         raise ValueError("n_parts must be >= 1")
     raw = F.col(weight).cast("double")
     usable = F.when((raw > 0) & ~F.isnan(raw) & (raw < F.lit(float("inf"))), raw).otherwise(1.0)
-    fraction = F.raise_error(F.lit("weights must be whole numbers")).cast("bigint")
-    whole = F.when(usable == F.floor(usable), usable.cast("bigint")).otherwise(fraction)
     home = F.coalesce(F.col(group).cast("string"), F.lit("")) if group else F.lit("")
-    items = ids.select(id_col, whole.alias("weight"), home.alias("group"))
+    items = ids.select(id_col, usable.alias("weight"), home.alias("group"))
     histogram = _histogram(items, "weight")
     n_ids = sum(c for _, c in histogram)
     if require_all and n_ids < n_parts:
@@ -303,10 +258,9 @@ def _by_rate_deviation(stats: np.ndarray, names: np.ndarray, overall: float | No
     return np.lexsort((names, -stats[:, 0], -stats[:, 1], -deviation))
 
 
-def greedy_holdout(stats: np.ndarray, names: np.ndarray, val_frac: float) -> np.ndarray:
+def greedy_holdout(stats: np.ndarray, names: np.ndarray, val_frac: float, overall: float | None) -> np.ndarray:
     """Boolean mask of the groups that validate: repeatedly the best-scoring group."""
     total = stats.sum(axis=0)
-    overall = total[2] / total[1] if total[1] > 0 else None
     target = np.array([float(int(total[0] * val_frac)), *(total[1:] * val_frac)])
     chosen = np.zeros(len(stats), dtype=bool)
     if target[0] <= 0:
@@ -329,9 +283,9 @@ def greedy_holdout(stats: np.ndarray, names: np.ndarray, val_frac: float) -> np.
     return chosen
 
 
-def greedy_folds(stats: np.ndarray, names: np.ndarray, n_folds: int) -> np.ndarray:
-    """0-based fold of every group, each placed where the summed score is least."""
-    total = stats.sum(axis=0)
+def greedy_folds(stats: np.ndarray, names: np.ndarray, n_folds: int, total: np.ndarray) -> np.ndarray:
+    """0-based fold of every group, each placed where the summed score is least.
+    ``total`` are the statistics of all groups, also of those not placed here."""
     overall = total[2] / total[1] if total[1] > 0 else None
     target = total / n_folds
     fold = np.empty(len(stats), dtype=np.int64)
@@ -362,60 +316,119 @@ def group_support(grouped: DataFrame, support: DataFrame, *, id_col: str = "id")
     )
 
 
-def _stratified(groups: DataFrame, schema: str, solve, bucket_groups: int) -> DataFrame:
-    """Run a greedy solver per hash bucket of groups.
+#: A group is heavy if it holds a 1/HEAVY share of any statistic, so at most 4 x HEAVY are.
+HEAVY = 1000
+_SUPPORT = ("protein_count", "valid_residues", "positive_residues", "negative_residues")
+#: The golden ratio: its multiples modulo 1 spread any run of consecutive ranks evenly.
+_GOLDEN = 0.6180339887498949
 
-    Up to ``bucket_groups`` groups there is one bucket and the result is the
-    plain greedy one. Larger inputs are cut into equal buckets that are balanced
-    independently and in parallel, so the search never sees an unbounded table.
-    """
-    n_groups = groups.count()
-    buckets = max(1, -(-n_groups // bucket_groups))
-    keyed = groups.withColumn("_bucket", F.pmod(F.xxhash64("group"), F.lit(buckets)))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        stats = pdf[["protein_count", "valid_residues", "positive_residues", "negative_residues"]].to_numpy(float)
-        names = pdf["group"].astype(str).to_numpy(dtype=object).astype(str)
-        return pd.DataFrame({"group": pdf["group"], "pick": solve(stats, names)})
+def _weigh_groups(table: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray, np.ndarray, int]:
+    """(light groups, heavy statistics, heavy names, totals, number of groups)."""
+    sums = table.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _SUPPORT], F.count(F.lit(1)).alias("n")).first()
+    heavy = F.lit(False)
+    for c in _SUPPORT:
+        if sums[c] > 0:
+            heavy = heavy | (F.col(c) * HEAVY >= F.lit(sums[c]))
+    rows = table.filter(heavy).collect()
+    stats = np.array([[r[c] for c in _SUPPORT] for r in rows], float).reshape(-1, 4)
+    names = np.array([r["group"] for r in rows], dtype=str)
+    return table.filter(~heavy), stats, names, np.array([sums[c] for c in _SUPPORT], float), sums["n"]
 
-    return keyed.groupBy("_bucket").applyInPandas(run, schema)
+
+def _light_shares(light: DataFrame, overall: float | None, target: np.ndarray, placed: np.ndarray) -> tuple[Column, np.ndarray]:
+    """Which light groups are rich (rate above ``overall``), and the share of the rich
+    and of the other ones that each side needs to come from ``placed`` to ``target``.
+
+    Positives and negatives still wanted are two equations in the two shares. Shares
+    below nothing are set to nothing. Without such equations the shares are equal and
+    follow the valid residues, or the ids where there are none.
+    """
+    rich = F.lit(False) if overall is None else F.coalesce(F.col("positive_residues") / F.nullif("valid_residues", F.lit(0)) > overall, F.lit(False))
+    names = _SUPPORT[2:]
+    sums = light.agg(*[F.coalesce(F.sum(F.when(rich if k == 0 else ~rich, F.col(c))), F.lit(0)) for c in names for k in (0, 1)]).first()
+    held = np.array(sums, float).reshape(2, 2)
+    want = target - placed
+    if held[0, 0] * held[1, 1] != held[0, 1] * held[1, 0]:
+        shares = np.linalg.solve(held, want[:, 2:].T)
+    else:
+        shares = np.tile(want[:, 1 if target[:, 1].sum() > 0 else 0], (2, 1))
+    shares = np.maximum(shares, 0.0)
+    whole = shares.sum(axis=1, keepdims=True)
+    return rich, np.where(whole > 0, shares / np.maximum(whole, 1e-300), 1 / len(target))
+
+
+def _deal_light(light: DataFrame, rich: Column, shares: np.ndarray, first: Sequence[int] = ()) -> DataFrame:
+    """``(group, pick)``: side ``i`` gets ``shares[0, i]`` of the rich light groups and
+    ``shares[1, i]`` of the others.
+
+    Groups are ranked by positive rate, valid residues and ids; the rank's golden
+    multiple picks the side, so every run of similar groups is divided by the shares.
+    The ranks at the front go to the sides in ``first``, one each.
+    """
+    rate = F.when(F.col("valid_residues") > 0, F.col("positive_residues") / F.col("valid_residues")).otherwise(-1.0)
+    keyed = light.withColumns({"_rate": rate, "_rich": rich})
+    ranked = ordered_rank(keyed, [F.col("_rate"), -F.col("valid_residues"), -F.col("protein_count"), F.col("group")])
+    at = F.pmod(F.col("rank") * F.lit(_GOLDEN), F.lit(1.0))
+    pick = F.lit(shares.shape[1] - 1)
+    for side, (above, below) in reversed(list(enumerate(np.cumsum(shares, axis=1)[:, :-1].T.tolist()))):
+        pick = F.when(at < F.when(F.col("_rich"), above).otherwise(below), side).otherwise(pick)
+    for rank, side in enumerate(first, 1):
+        pick = F.when(F.col("rank") == rank, int(side)).otherwise(pick)
+    return ranked.select("group", pick.cast("bigint").alias("pick"))
+
+
+def _place(table: DataFrame, light: DataFrame, names, stats, picks, overall, target, first: Sequence[int] = ()) -> DataFrame:
+    """``(group, pick)`` of all groups: the heavy ones as picked, the light ones dealt."""
+    placed = np.zeros_like(target)
+    np.add.at(placed, np.asarray(picks, int), stats)
+    rich, shares = _light_shares(light, overall, target, placed)
+    heavy = table.sparkSession.createDataFrame([(str(g), int(p)) for g, p in zip(names, picks)], "group string, pick bigint")
+    return heavy.unionByName(_deal_light(light, rich, shares, first))
 
 
 def split_stratified(
     ids: DataFrame, groups: DataFrame | None, support: DataFrame, val_frac: float, *, id_col: str = "id",
-    bucket_groups: int = 5_000,
 ) -> DataFrame:
-    """Group split balancing label support. The seed of the original rule decides
-    nothing (its order ends in the unique group id), so none is taken."""
+    """Group split balancing label support, by one rule at every size.
+
+    Heavy groups (at least a 1/HEAVY share of some statistic, so a bounded number) are
+    placed one by one by the balance score; where all groups are heavy that is the whole
+    rule. Light groups are dealt by rank so that validation reaches its share of
+    positives and negatives. This is not the one-by-one search over all groups, which is sequential. The seed of the
+    original rule decides nothing, so none is taken.
+    """
     grouped = with_groups(ids, groups, id_col=id_col)
     if not 0.0 < val_frac < 1.0:
         return grouped.withColumn("role", F.lit("validation" if val_frac == 1.0 else "train"))
-
-    def solve(stats, names):
-        return greedy_holdout(stats, names, val_frac)
-
-    table = group_support(grouped, support, id_col=id_col)
-    picks = _stratified(table, "group string, pick boolean", solve, bucket_groups)
-    roles = picks.select("group", F.when(F.col("pick"), "validation").otherwise("train").alias("role"))
+    table = cut_lineage(group_support(grouped, support, id_col=id_col))
+    light, stats, names, total, _ = _weigh_groups(table)
+    overall = total[2] / total[1] if total[1] > 0 else None
+    chosen = greedy_holdout(stats, names, val_frac, overall)
+    target = np.outer([1 - val_frac, val_frac], total)
+    picks = _place(table, light, names, stats, chosen, overall, target)
+    roles = picks.select("group", F.when(F.col("pick") == 1, "validation").otherwise("train").alias("role"))
     return grouped.join(roles, "group").select(id_col, "group", "role")
 
 
 def kfold_stratified(
     ids: DataFrame, groups: DataFrame | None, support: DataFrame, n_folds: int, *, id_col: str = "id",
-    bucket_groups: int = 100_000,
 ) -> DataFrame:
-    """Folds of whole groups with balanced label support."""
+    """Folds of whole groups with balanced label support, by the rule of
+    :func:`split_stratified`; no fold stays empty."""
     if n_folds < 2:
         raise ValueError("n_folds must be >= 2")
     grouped = with_groups(ids, groups, id_col=id_col)
-    table = group_support(grouped, support, id_col=id_col)
-    if table.limit(n_folds).count() < n_folds:
-        raise ValueError(f"n_folds={n_folds} exceeds the number of groups")
-
-    def solve(stats, names):
-        return greedy_folds(stats, names, n_folds)
-
-    picks = _stratified(table, "group string, pick bigint", solve, bucket_groups)
+    table = cut_lineage(group_support(grouped, support, id_col=id_col))
+    light, stats, names, total, n_groups = _weigh_groups(table)
+    if n_groups < n_folds:
+        raise ValueError(f"n_folds={n_folds} exceeds the number of groups {n_groups}")
+    fold = greedy_folds(stats, names, n_folds, total)
+    empty = sorted(set(range(n_folds)) - set(fold.tolist()))
+    if len(empty) > n_groups - len(names):
+        raise ValueError(f"folds {[f + 1 for f in empty]} would stay empty; use fewer folds")
+    overall = total[2] / total[1] if total[1] > 0 else None
+    picks = _place(table, light, names, stats, fold, overall, np.tile(total / n_folds, (n_folds, 1)), empty)
     folds = picks.select("group", (F.col("pick") + 1).cast("int").alias("fold_index"))
     return grouped.join(folds, "group").select(id_col, "group", "fold_index")
 
@@ -444,7 +457,6 @@ def run_plans(
     strategy: str = "size-balanced",
     support: DataFrame | None = None,
     id_col: str = "id",
-    order: str = "hash",
 ) -> DataFrame:
     """Long plan ``(run_index, set_index, fold_index, split_seed, train_seed, id, group, role)``.
 
@@ -469,10 +481,10 @@ def run_plans(
             if strategy == "label-stratified":
                 roles = split_stratified(ids, groups, support, val_frac, id_col=id_col)
             elif groups is not None:
-                roles = split_grouped(ids, groups, val_frac, split_seed, id_col=id_col, order=order)
+                roles = split_grouped(ids, groups, val_frac, split_seed, id_col=id_col)
             else:
                 roles = with_groups(ids, None, id_col=id_col).join(
-                    split_ids(ids, val_frac, split_seed, id_col=id_col, order=order), id_col
+                    split_ids(ids, val_frac, split_seed, id_col=id_col), id_col
                 )
             rows = roles.withColumn("set_index", F.lit(None).cast("int")).withColumn(
                 "fold_index", F.lit(None).cast("int")
@@ -481,10 +493,10 @@ def run_plans(
             if strategy == "label-stratified":
                 folds = kfold_stratified(ids, groups, support, n_folds, id_col=id_col)
             elif groups is not None:
-                folds = kfold_grouped(ids, groups, n_folds, split_seed, id_col=id_col, order=order)
+                folds = kfold_grouped(ids, groups, n_folds, split_seed, id_col=id_col)
             else:
                 folds = with_groups(ids, None, id_col=id_col).join(
-                    kfold(ids, n_folds, split_seed, id_col=id_col, order=order), id_col
+                    kfold(ids, n_folds, split_seed, id_col=id_col), id_col
                 )
             rows = fold_roles(folds, n_folds, id_col=id_col).withColumn("set_index", F.lit(index)).withColumn(
                 "run_index", F.lit((index - 1) * n_folds) + F.col("fold_index")

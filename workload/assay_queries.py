@@ -96,14 +96,25 @@ def unpivoted_balances(spark, d):
 # --- code-list source ------------------------------------------------------
 
 
+#: Rows are dealt over all documents and a twentieth more names that no document has.
+_NAMES = "(SELECT count(*) + count(*) // 20 + 1 FROM documents)"
+_TOKENS = "(SELECT (count(*) + count(*) // 20 + 1) // 12 + 1 FROM documents)"
+
+
+def protein_names(spark, d):
+    n = table(spark, d, "documents").count()
+    return n + n // 20 + 1
+
+
 def listed_metadata(spark, d):
     items = table(spark, d, "lineitem")
+    names = protein_names(spark, d)
     key, part = F.col("l_orderkey"), F.col("l_partkey")
     start = (part * 7 + F.col("l_linenumber") * 13) % 150
     return items.select(
         F.concat(F.lit("C"), part).alias("CodeName"),
-        F.when(key % 41 == 0, " nan ").otherwise(F.concat(F.lit("D"), key % 450)).alias("SequenceAccession"),
-        F.when(F.col("l_suppkey") % 17 == 0, "").otherwise(F.concat(F.lit("id50_"), key % 450 % 37)).alias("Cluster50ID"),
+        F.when(key % 41 == 0, " nan ").otherwise(F.concat(F.lit("D"), key % names)).alias("SequenceAccession"),
+        F.when(F.col("l_suppkey") % 17 == 0, "").otherwise(F.concat(F.lit("id50_"), key % names % (names // 12 + 1))).alias("Cluster50ID"),
         F.when(part % 29 == 0, "x").when(part % 31 == 0, "3.5").otherwise(F.concat(start, F.lit(".0"))).alias("StartIndex"),
         (start + F.col("l_quantity").cast("int")).cast("string").alias("StopIndex"),
         F.when(part % 5 != 0, F.concat(F.lit("PEP"), part)).alias("PeptideSequence"),
@@ -127,8 +138,8 @@ def code_sets(spark, d):
 SQL_LISTED = f"""
     docs AS (SELECT doc_id, {SQL_CLEAN} AS s FROM documents),
     items AS (SELECT 'C' || l_partkey AS code, l_partkey, l_orderkey, l_linenumber, l_suppkey,
-        CASE WHEN l_orderkey % 41 = 0 THEN '' ELSE 'D' || (l_orderkey % 450) END AS pid,
-        CASE WHEN l_suppkey % 17 = 0 THEN '' ELSE 'id50_' || (l_orderkey % 450 % 37) END AS token,
+        CASE WHEN l_orderkey % 41 = 0 THEN '' ELSE 'D' || (l_orderkey % {_NAMES}) END AS pid,
+        CASE WHEN l_suppkey % 17 = 0 THEN '' ELSE 'id50_' || (l_orderkey % {_NAMES} % {_TOKENS}) END AS token,
         (l_partkey * 7 + l_linenumber * 13) % 150 AS start0, CAST(trunc(l_quantity) AS BIGINT) AS q,
         l_partkey % 3 = 0 AS reactive FROM lineitem WHERE l_partkey % 3 IN (0, 1)
         AND l_partkey IN (SELECT p_partkey FROM part)),
@@ -216,9 +227,9 @@ def group_numbers(spark, d):
 
 @query("scored_quarantine_report", "reason:s n_rows:i examples:s",
        f"""WITH docs AS (SELECT doc_id, {SQL_CLEAN} AS s FROM documents), {_SQL_PART_Z},
-       meta AS (SELECT p_partkey, 'C' || p_partkey AS code, 'D' || (p_partkey % 300) AS pid, p_partkey % 300 AS did,
+       meta AS (SELECT p_partkey, 'C' || p_partkey AS code, 'D' || (p_partkey % {_NAMES}) AS pid, p_partkey % {_NAMES} AS did,
          CASE WHEN p_partkey % 19 = 0 THEN 'fam' WHEN p_partkey % 23 = 0 THEN CAST(p_partkey % 7 AS VARCHAR)
-              ELSE CAST(p_partkey % 300 AS VARCHAR) END AS fam,
+              ELSE CAST(p_partkey % {_NAMES} AS VARCHAR) END AS fam,
          p_partkey % 90 AS start0, p_partkey % 90 + p_size AS stop0, p_partkey % 17 = 0 AS broken,
          p_partkey % 27 = 0 AS no_z FROM part),
        judged AS (SELECT *, CASE WHEN broken THEN 'invalid_fullname' WHEN fam = 'fam' THEN 'invalid_family'
@@ -239,9 +250,9 @@ def group_numbers(spark, d):
        SELECT reason, sum(n) AS n_rows, string_agg(example, ',' ORDER BY spot) FILTER (WHERE spot <= 20) AS examples
        FROM placed GROUP BY reason""")
 def scored_quarantine_report(spark, d):
-    k = F.col("p_partkey")
-    family = F.when(k % 19 == 0, "fam").when(k % 23 == 0, (k % 7).cast("string")).otherwise((k % 300).cast("string"))
-    name = F.concat(F.lit("ID=D"), k % 300, F.lit(" AC=A OXX=1,2,"), family)
+    k, names = F.col("p_partkey"), protein_names(spark, d)
+    family = F.when(k % 19 == 0, "fam").when(k % 23 == 0, (k % 7).cast("string")).otherwise((k % names).cast("string"))
+    name = F.concat(F.lit("ID=D"), k % names, F.lit(" AC=A OXX=1,2,"), family)
     metadata = table(spark, d, "part").select(
         F.concat(F.lit("C"), k).alias("CodeName"),
         F.when(k % 17 == 0, "unnamed").otherwise(name).alias("FullName"),
@@ -263,9 +274,9 @@ def scored_quarantine_report(spark, d):
 
 _SQL_EVAL = f"""{SQL_LISTED},
     staged AS (SELECT code, l_partkey, l_orderkey, l_linenumber, reactive, s, start0, stop0,
-        CASE WHEN l_orderkey % 41 = 0 THEN 'nan' ELSE 'tr|D' || (l_orderkey % 450) || '|X' END AS pid, doc_id
+        CASE WHEN l_orderkey % 41 = 0 THEN 'nan' ELSE 'tr|D' || (l_orderkey % {_NAMES}) || '|X' END AS pid, doc_id
         FROM (SELECT items.*, start0 + q AS stop0, s, doc_id FROM items LEFT JOIN (SELECT * FROM docs WHERE length(s) > 0)
-              docs ON l_orderkey % 41 <> 0 AND l_orderkey % 450 = doc_id)),
+              docs ON l_orderkey % 41 <> 0 AND l_orderkey % {_NAMES} = doc_id)),
     first_pass AS (SELECT *, CASE WHEN l_partkey % 29 = 0 OR l_partkey % 31 = 0 THEN 'missing_align'
         WHEN doc_id IS NULL THEN 'missing_protein' WHEN doc_id % 50 = 7 THEN 'ambiguous_protein'
         WHEN stop0 > length(s) THEN 'out_of_bounds_align' END AS r1 FROM staged),

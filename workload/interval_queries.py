@@ -194,12 +194,13 @@ def mask_strings(spark, d):
 
 
 @query("masks_by_id", "ProteinID:s mask:s",
-       """SELECT 'C' || (c_custkey % 700) AS ProteinID, CASE WHEN max(c_custkey) % 2 = 0 THEN '0101' ELSE '111' END AS mask
-          FROM customer GROUP BY c_custkey % 700""")
+       """WITH n AS (SELECT count(*) // 2 + 1 AS ids FROM customer)
+          SELECT 'C' || (c_custkey % ids) AS ProteinID, CASE WHEN max(c_custkey) % 2 = 0 THEN '0101' ELSE '111' END AS mask
+          FROM customer CROSS JOIN n GROUP BY c_custkey % ids""")
 def masks_by_id(spark, d):
-    k = F.col("c_custkey")
-    plain = F.concat(F.lit("C"), k % 700, F.lit(" x"))
-    strict = F.concat(F.lit("ID=C"), k % 700, F.lit(" AC=C OXX=1"))
+    k, n = F.col("c_custkey"), table(spark, d, "customer").count() // 2 + 1
+    plain = F.concat(F.lit("C"), k % n, F.lit(" x"))
+    strict = F.concat(F.lit("ID=C"), k % n, F.lit(" AC=C OXX=1"))
     rows = table(spark, d, "customer").select(
         F.when(k % 3 == 0, strict).otherwise(plain).alias("header"),
         F.when(k % 2 == 0, " 0101").otherwise("111").alias("sequence"),
