@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from spanforge.llm import queries
+from spanforge.llm import components, queries
 from workload.check import compare, sql_rows
 
 
@@ -35,6 +35,17 @@ def test_stages(spark, sf_dir):
     assert set(seen["mixing"]) <= set(seen["decontamination"]) and sorted(seen["sharding"]) == sorted(seen["mixing"])
 
 
+def test_stages_with_many_keys(spark, sf_dir, monkeypatch):
+    """Key tables too large to broadcast: the joins that shuffle keep the same rows."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = docs.unionAll(docs.filter("doc_id < 40"))
+    stages = {name: stage for name, stage in corpus_pipeline.STAGES if name in ("near_dedup", "decontamination")}
+    few = {name: sorted(r.doc_id for r in stage(spark, docs, sf_dir).collect()) for name, stage in stages.items()}
+    monkeypatch.setattr(components, "BROADCAST_KEYS", -1)
+    many = {name: sorted(r.doc_id for r in stage(spark, docs, sf_dir).collect()) for name, stage in stages.items()}
+    assert many == few and len(few["near_dedup"]) == len(set(few["near_dedup"])) and len(few["decontamination"]) > len(set(few["decontamination"]))
+
+
 def test_stages_on_nothing(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id < 0")
     for _, stage in corpus_pipeline.STAGES:
