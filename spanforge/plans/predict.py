@@ -13,7 +13,7 @@ from spanforge.functions.text import clean_sequence
 from spanforge.operators.ensemble import AGGREGATIONS, prediction_payload, vote_wide, votes_needed
 from spanforge.operators.scoring import embed_windows, failed_ids, score_members, score_members_conv, stitch
 from spanforge.session import cut_lineage
-from spanforge.sources.fasta import fasta_lines, read_fasta
+from spanforge.sources.fasta import fasta_lines, read_fasta, record_numbers
 
 
 @dataclass(frozen=True)
@@ -94,8 +94,8 @@ class Predictor:
 
     def predict_fasta(self, spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         """Predict the records of a FASTA path; the record position is the id."""
-        records = read_fasta(spark, path)
-        return self.predict(records.select(F.col("source_order.row").alias("id"), "header", "sequence"))
+        records = record_numbers(read_fasta(spark, path))
+        return self.predict(records.select("id", "header", "sequence"))
 
     def predict_sequences(
         self, spark: SparkSession, sequences: Mapping[str, str] | Iterable[str]

@@ -8,15 +8,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanforge.functions.text import FULLNAME_PATTERN, strip
 from spanforge.operators.ranking import ordered_rank
+from spanforge.session import cut_lineage
 
 
 def source_order() -> Column:
-    """Position of a row in its files: stable however files are packed into tasks."""
+    """Position of a row in its files. Rows compare alike however files are packed into
+    tasks; the ``row`` itself differs between scans, so it is a key in one written table
+    only (see :func:`record_numbers`)."""
     return F.struct(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
@@ -64,20 +67,46 @@ def read_fasta(
 def _without_preamble(raw: DataFrame) -> DataFrame:
     """Drop each file's first record unless it starts with ``>``.
 
-    Only a file's first record keeps its marker. The records to drop are found
-    first (at most one per file, usually none), so the text itself is not joined
-    or shuffled in the usual case and meets a broadcast otherwise.
+    Only a file's first record keeps its marker. The usual file has no such text, so
+    this costs one scan that keeps a row per file. If there is any, the numbered records
+    are written once and the stray ones are taken out of that table, where row numbers
+    are the same for every reader.
     """
-    row, marked = F.col("source_order.row"), F.col("value").rlike(r"^\s*>")
-    heads = raw.filter(F.col("source_order.block") == 0).groupBy("source_order.file").agg(
-        F.min(row).alias("head"), F.min_by(marked, row).alias("marked")
-    )
-    stray = [(r["head"],) for r in heads.filter(~F.col("marked")).select("head").collect()]
-    if not stray:
+    row = F.col("source_order.row")
+
+    def stray(records: DataFrame) -> DataFrame:
+        marked = F.col("value").rlike(r"^\s*>")
+        heads = records.filter(F.col("source_order.block") == 0).groupBy("source_order.file").agg(
+            F.min(row).alias("head"), F.min_by(marked, row).alias("marked")
+        )
+        return heads.filter(~F.col("marked")).select("head")
+
+    if stray(raw).isEmpty():
         return raw
-    # One row per file, and the file listing is on the driver anyway.
-    table = raw.sparkSession.createDataFrame(stray, "head bigint")
-    return raw.join(F.broadcast(table), row == F.col("head"), "left_anti")
+    written = cut_lineage(raw)
+    return written.join(stray(written), row == F.col("head"), "left_anti")
+
+
+def record_numbers(records: DataFrame, out: str = "id") -> DataFrame:
+    """Number written records from 1 in the order of their files, whatever the packing.
+
+    The rows of one file block are read one after another, so a record's number is its
+    distance from the block's first row plus the rows of all blocks before. The running
+    total is over one row per block. Records dropped by the reader leave gaps.
+    """
+    records = cut_lineage(records)
+    row = F.col("source_order.row")
+    blocks = records.groupBy("source_order.file", "source_order.block").agg(
+        F.min(row).alias("_first"), (F.max(row) - F.min(row) + 1).alias("_rows")
+    )
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(
+        F.struct("file", "block").alias("_at"), "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before")
+    )
+    at = F.struct("source_order.file", "source_order.block")
+    return records.join(blocks, at == F.col("_at")).withColumn(
+        out, F.col("_before") + row - F.col("_first") + 1
+    ).drop("_at", "_first", "_before")
 
 
 def fasta_lines(df: DataFrame, header: str = "header", sequence: str = "sequence") -> DataFrame:

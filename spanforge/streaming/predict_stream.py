@@ -8,6 +8,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from spanforge.functions.text import strip
 from spanforge.plans.predict import Predictor
+from spanforge.session import cut_lineage
 
 
 def predict_new_files(
@@ -29,7 +30,8 @@ def predict_new_files(
             strip(F.substring_index(text, "\n", 1)).alias("header"),
             F.regexp_replace(body, r"\s", "").alias("sequence"),
         )
-        done, _ = predictor.predict(rows)
+        # ids are used in several joins, so they are fixed in a written table
+        done, _ = predictor.predict(cut_lineage(rows))
         done.write.mode("overwrite").parquet(f"{results}/batch={number}")
 
     return records.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from spanforge.functions import text as X
 from spanforge.operators import quality as Q
 from spanforge.sources import sinks, tables
-from spanforge.sources.fasta import read_fasta, write_fasta
+from spanforge.sources.fasta import read_fasta, record_numbers, write_fasta
 
 
 def one(spark, column):
@@ -158,3 +158,20 @@ def test_family_and_length_guards(spark):
     other = spark.createDataFrame([("a", 3), ("b", 5)], "id string, length int")
     with pytest.raises(Exception, match="lengths differ"):
         Q.trainable_ids(seqs, other).collect()
+
+
+def test_record_numbers_do_not_depend_on_packing(spark, tmp_path):
+    """Blocks of 200 bytes and whole files number the same records alike."""
+    for k in range(3):
+        body = "".join(f">f{k}r{i:03d}\n{'ACDE' * (1 + (i * 7 + k) % 9)}\n" for i in range(60))
+        (tmp_path / f"part{k}.fasta").write_text(("stray text\n" if k == 1 else "") + body)
+    seen = []
+    for size in (200, 1 << 27):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            numbered = record_numbers(read_fasta(spark, str(tmp_path)))
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        seen.append({r["header"]: r["id"] for r in numbered.collect()})
+    assert seen[0] == seen[1]
+    assert seen[0] == {f"f{k}r{i:03d}": 60 * k + i + 1 for k in range(3) for i in range(60)}

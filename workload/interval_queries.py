@@ -13,6 +13,7 @@ from spanforge.functions.text import mask_from_flags, ones_between
 from spanforge.operators import compare as C
 from spanforge.operators import intervals as I
 from spanforge.operators import quality as Q
+from spanforge.session import cut_lineage
 from workload.registry import query, table
 from workload.text_queries import SQL_CLEAN, cleaned_documents
 
@@ -211,7 +212,8 @@ def masks_by_id(spark, d):
 
 def peptides(spark, d):
     rows = intervals(spark, d).filter(F.col("label") != "uncertain")
-    return rows.select(
+    # row numbers are keys of later joins, so they are fixed in a written table
+    return cut_lineage(rows.select(
         F.monotonically_increasing_id().alias("row_id"),
         F.concat(F.lit("P"), F.col("l_partkey"), F.lit("_"), F.col("l_linenumber")).alias("CodeName"),
         F.col("id").alias("ProteinID"),
@@ -219,7 +221,7 @@ def peptides(spark, d):
         F.col("stop").alias("AlignStop"),
         (F.col("label") == "def").cast("int").alias("Def epitope"),
         (F.col("label") == "not").cast("int").alias("Not epitope"),
-    )
+    ))
 
 
 def comparison(spark, d, labelled=True):
