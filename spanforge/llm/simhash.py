@@ -198,7 +198,12 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", words: in
     """The rows of ``docs`` with one document of each component: the one with the
     smallest (key, digest of its text), null keys last, and only one of rows that repeat
     it. Rows that stay alone are passed through; only keys meet, never whole groups."""
-    found = near_duplicates(docs, text, key, words, budget).select(F.col(key).alias("key"), "digest", "component")
+    return keep_first(docs, near_duplicates(docs, text, key, words, budget), text, key)
+
+
+def keep_first(docs: DataFrame, found: DataFrame, text: str, key: str) -> DataFrame:
+    """``keep_one`` for the components (key, digest, component) in ``found``."""
+    found = found.select(F.col(key).alias("key"), "digest", "component")
     order = F.struct(F.col("key").isNull().alias("last"), "key", "digest")
     groups = cut_lineage(found.groupBy("component").agg(F.count("*").alias("n"), F.min(order).alias("best")).filter("n > 1"))
     grouped = found.join(groups.select("component", "best"), "component").groupBy("key", "digest").agg(
