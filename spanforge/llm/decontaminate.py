@@ -4,11 +4,13 @@ A benchmark item leaks into a document if some stretch of the document is within
 ``1 - similarity`` times the item's words of it by edit distance over words (runs of
 letters and digits, lower-cased).
 
-* Items are classed by size. Windows of three quarters of the smallest item of a class
-  stand so close in every text that any stretch of an item's size holds one, and every
-  window of an item is indexed. A window is walked at random: at each step the walk
-  writes the word it is at and moves on if a random bit of (step, word) says so. Windows
-  at a small edit distance give walks at a small Hamming distance.
+* Items are classed by size. Windows of half of what deletions leave of the smallest item
+  of a class, ``WIDTH`` words at most, stand so close in every text that any stretch an
+  item can leave holds two or more, and every window of an item is indexed. Short windows
+  have fewer edits at best than the item has on average, so long items are found as well.
+  A window is walked at random: at each step the walk writes the word it is at and moves
+  on if a random bit of (step, word) says so. Windows at a small edit distance give walks
+  at a small Hamming distance.
 * A repetition samples ``bits`` steps of the walk; windows of a text and of an item are
   candidates if all sampled words agree. The number of repetitions follows from the
   recall aimed at and from how often a sampled step agrees at the full distance. The
@@ -45,8 +47,10 @@ SIMILARITY = 0.8
 RECALL = 0.95
 BITS = 4
 #: How often a sampled step is taken to agree at the full distance; an assumption, and
-#: tests/llm hold the recall that follows from it against brute force.
+#: tests/llm hold the recall that follows from it to brute force at exactly that distance.
 AGREEMENT = 0.68
+#: Words of a window, and words from the start of one in a text to the next, at most.
+WIDTH, STRIDE = 8, 6
 SEED = 97
 WORD = re.compile(r"[^\W_]+")
 _SLOTS, _TABLE_BITS = 1 << 12, 18
@@ -84,11 +88,12 @@ def closest_stretch(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 class Walks:
     """Random bits, sampled steps and indexed item windows of one size class."""
 
-    def __init__(self, items: dict[int, np.ndarray], times: int, bits: int, seed: int):
+    def __init__(self, items: dict[int, np.ndarray], times: int, bits: int, seed: int, similarity: float = SIMILARITY):
         self.items, self.bits = items, bits
         shortest = min(map(len, items.values()))
-        self.width = max(1, (3 * shortest + 3) // 4)
-        self.stride = shortest - self.width + 1
+        left = shortest - edits_allowed(shortest, similarity)
+        self.width = max(1, min(WIDTH, (left + 1) // 2))
+        self.stride = max(1, min(STRIDE, (left - self.width + 1) // 2))
         self.span = 2 * self.width
         generator = np.random.default_rng([seed, shortest])
         self.moves = generator.integers(0, 2, (times, self.span, _SLOTS), dtype=np.int8)
@@ -177,7 +182,7 @@ def _one_pass(docs, rows, text, key, item_type, item_key, similarity, times, bit
     split = [words(r["text"]) for r in rows]
     number = {w: k for k, w in enumerate(dict.fromkeys(w for s in split for w in s), 1)}
     ids = [r["item_id"] for r in rows]
-    classes = [Walks(c, times, bits, seed) for c in size_classes([np.array([number[w] for w in s], np.int64) for s in split])]
+    classes = [Walks(c, times, bits, seed, similarity) for c in size_classes([np.array([number[w] for w in s], np.int64) for s in split])]
     shared = docs.sparkSession.sparkContext.broadcast((number, classes))
 
     def slices(batch):

@@ -238,6 +238,38 @@ def test_leaks_reach_recall(spark):
             assert _distance(items[r.item_id], docs[r.doc_id][1].split()[r.start_word : r.end_word]) == r.edits
 
 
+def _edited(rng, item, kind, even):
+    """The item at exactly the allowed distance, edits at random places or evenly spread."""
+    n = int(0.2 * len(item) + 1e-9)
+    at = [(k + 1) * len(item) // (n + 1) for k in range(n)] if even else rng.sample(range(1, len(item)), n)
+    out = list(item)
+    for k, p in enumerate(sorted(at, reverse=True)):
+        out[p : p + (kind != "insert")] = [] if kind == "delete" else [f"new{k}"]
+    return out
+
+
+@pytest.mark.parametrize("length", [16, 32, 64, 128, 256])
+def test_leaks_at_full_distance(spark, length):
+    """Benchmarks of one item length, so that every item is the smallest of its class."""
+    rng = random.Random(length)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    items = [rng.choices(vocabulary, k=length) for _ in range(30)]
+    docs, kinds = [], {}
+    for kind in ("replace", "insert", "delete"):
+        for even in (False, True):
+            for k, item in enumerate(items):
+                leak = _edited(rng, item, kind, even)
+                if _distance(item, leak) == int(0.2 * length + 1e-9):
+                    kinds[len(docs), k] = kind, even
+                    docs.append((len(docs), " ".join(rng.choices(vocabulary, k=rng.randint(20, 80)) + leak + rng.choices(vocabulary, k=30))))
+    benchmark = spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)], "item_id long, text string")
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(frame, benchmark).collect()}
+    total, found = Counter(kinds.values()), Counter(kinds[p] for p in kinds.keys() & got)
+    print(length, {k: (found[k], n) for k, n in total.items()})
+    assert len(total) == 6 and min(total.values()) >= 25 and all(found[k] >= 0.95 * n for k, n in total.items())
+
+
 def test_leaks_on_table(spark, sf_dir):
     items = {r.item_id: decontaminate.words(r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
     docs = {r.doc_id: decontaminate.words(r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
