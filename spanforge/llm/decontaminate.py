@@ -4,7 +4,8 @@ A benchmark item leaks into a document if some stretch of the document is within
 ``1 - similarity`` times the item's words of it by edit distance over words (runs of
 letters and digits, lower-cased).
 
-* Items are classed by size. Windows of half of what deletions leave of the smallest item
+* Items are classed by size (octaves whose windows would stand equally close are one
+  class, so a text is walked once for them). Windows of half of what deletions leave of the smallest item
   of a class, ``WIDTH`` words at most, stand so close in every text that any stretch an
   item can leave holds two or more, and every window of an item is indexed. Short windows
   have fewer edits at best than the item has on average, so long items are found as well.
@@ -15,8 +16,8 @@ letters and digits, lower-cased).
   candidates if all sampled words agree. The number of repetitions follows from the
   recall aimed at and from how often a sampled step agrees at the full distance. The
   walk of a window stops at the first sampled step that no item shares.
-* A candidate must hold enough of the item's words; then the edit distance of the item
-  to all stretches around it decides.
+* What a candidate and the item have in common, repeats counted, must reach the item less
+  its edits; then the edit distance of the item to all stretches around it decides.
 
 Words that no item has are one symbol; they equal no item word, so no distance changes.
 
@@ -55,8 +56,8 @@ SEED = 97
 WORD = re.compile(r"[^\W_]+")
 _SLOTS, _TABLE_BITS = 1 << 12, 18
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
-#: Bytes of text searched at once.
-SLICE_BYTES = 4 << 20
+#: Bytes of text searched at once, and words of stretches verified at once.
+SLICE_BYTES, CELLS = 4 << 20, 1 << 19
 
 
 def words(text: str | None) -> list[str]:
@@ -72,17 +73,60 @@ def edits_allowed(length: int, similarity: float) -> int:
     return int((1 - similarity) * length + 1e-9)
 
 
-def closest_stretch(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
-    """Edit distance of the item to the nearest stretch of the text, and where that ends."""
-    at = np.arange(len(text) + 1)
-    row = np.zeros(len(text) + 1, np.int64)
+def closest_stretches(item: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edit distance of the item to the nearest stretch of each text (a row), and where that ends.
+
+    Rows may be filled up with zeros: a nearest stretch never needs them.
+    """
+    at = np.arange(texts.shape[1] + 1, dtype=np.int32)
+    row = np.zeros((len(texts), texts.shape[1] + 1), np.int32)
     for k, word in enumerate(item, 1):
         new = np.empty_like(row)
-        new[0] = k
-        new[1:] = np.minimum(row[:-1] + (text != word), row[1:] + 1)
-        row = np.minimum.accumulate(new - at) + at
-    end = int(np.argmin(row))
-    return int(row[end]), end
+        new[:, 0] = k
+        np.minimum(row[:, :-1] + (texts != word), row[:, 1:] + 1, out=new[:, 1:])
+        row = np.minimum.accumulate(new - at, axis=1) + at
+    end = row.argmin(axis=1)
+    return row[np.arange(len(texts)), end], end
+
+
+class Verifier:
+    """The exact test of one item against stretches of the joined texts of a slice."""
+
+    def __init__(self, item: np.ndarray, budget: int, symbols: int) -> None:
+        self.item, self.budget = item, budget
+        found, self.most = np.unique(item, return_counts=True)
+        self.local = np.zeros(symbols, np.int32)
+        self.local[found] = np.arange(1, len(found) + 1)
+        self.width = len(item) + 5 * budget
+
+    def rows(self, joined: np.ndarray, begins: np.ndarray, firsts: np.ndarray, ends: np.ndarray):
+        """(document, start, stop) of the stretches around candidates, cut at the documents' ends."""
+        low = np.clip(begins - 2 * self.budget, 0, len(joined))
+        high = np.clip(low + self.width, 0, len(joined))
+        one, last = np.searchsorted(ends, low), np.minimum(np.searchsorted(ends, high - 1), len(ends) - 1)
+        many = np.maximum(last - one + 1, 0)
+        doc = np.repeat(one, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        start, stop = np.maximum(np.repeat(low, many), firsts[doc]), np.minimum(np.repeat(high, many), ends[doc])
+        fits = stop - start >= len(self.item) - self.budget
+        return doc[fits], start[fits], stop[fits]
+
+    def leaks(self, joined: np.ndarray, begins: np.ndarray, firsts: np.ndarray, ends: np.ndarray):
+        """(document, edits, start, end) of every stretch within the budget, a bounded number of rows at a time."""
+        doc, start, stop = self.rows(joined, begins, firsts, ends)
+        step = max(1, CELLS // self.width)
+        for at in range(0, len(doc), step):
+            place = start[at : at + step, None] + np.arange(self.width)
+            text = np.where(place < stop[at : at + step, None], joined[np.minimum(place, len(joined) - 1)], 0)
+            # what item and stretch have in common, repeats counted, must reach the item less its edits
+            size = len(self.most) + 1
+            held = np.bincount((np.arange(len(text))[:, None] * size + self.local[text]).reshape(-1), minlength=len(text) * size)
+            common = np.minimum(held.reshape(-1, size)[:, 1:], self.most).sum(axis=1)
+            hopeful = np.flatnonzero(common >= len(self.item) - self.budget)
+            edits, end = closest_stretches(self.item, text[hopeful])
+            for k in np.flatnonzero(edits <= self.budget).tolist():
+                back = closest_stretches(self.item[::-1], text[hopeful[k], : end[k]][None, ::-1])[1][0]
+                row = at + int(hopeful[k])
+                yield int(doc[row]), int(edits[k]), int(start[row] + end[k] - back), int(start[row] + end[k])
 
 
 class Walks:
@@ -91,9 +135,7 @@ class Walks:
     def __init__(self, items: dict[int, np.ndarray], times: int, bits: int, seed: int, similarity: float = SIMILARITY):
         self.items, self.bits = items, bits
         shortest = min(map(len, items.values()))
-        left = shortest - edits_allowed(shortest, similarity)
-        self.width = max(1, min(WIDTH, (left + 1) // 2))
-        self.stride = max(1, min(STRIDE, (left - self.width + 1) // 2))
+        self.width, self.stride = window_shape(shortest, similarity)
         self.span = 2 * self.width
         generator = np.random.default_rng([seed, shortest])
         self.moves = generator.integers(0, 2, (times, self.span, _SLOTS), dtype=np.int8)
@@ -152,15 +194,26 @@ class Walks:
         return both[:, 0], both[:, 1]
 
 
-def size_classes(items: list[np.ndarray]) -> list[dict[int, np.ndarray]]:
-    """Items by octaves of their length; items without a word are left out."""
-    classes: dict[int, dict[int, np.ndarray]] = {}
+def size_classes(items: list[np.ndarray], similarity: float = SIMILARITY) -> list[dict[int, np.ndarray]]:
+    """Items by octaves of their length, octaves whose windows stand equally close together;
+    items without a word are left out."""
+    octaves: dict[int, dict[int, np.ndarray]] = {}
     for k, item in enumerate(items):
         if len(item):
-            classes.setdefault(len(item).bit_length(), {})[k] = item
+            octaves.setdefault(len(item).bit_length(), {})[k] = item
+    classes: dict[int, dict[int, np.ndarray]] = {}
+    for octave in octaves.values():
+        classes.setdefault(window_shape(min(map(len, octave.values())), similarity)[1], {}).update(octave)
     return list(classes.values())
 
 
+def window_shape(shortest: int, similarity: float) -> tuple[int, int]:
+    """Words of a window and of the stride for a class with this smallest item."""
+    left = shortest - edits_allowed(shortest, similarity)
+    width = max(1, min(WIDTH, (left + 1) // 2))
+    return width, max(1, min(STRIDE, (left - width + 1) // 2))
+
+
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id",
     similarity: float = SIMILARITY, recall: float = RECALL, bits: int = BITS, agreement: float = AGREEMENT, seed: int = SEED,
@@ -182,7 +235,7 @@ def _one_pass(docs, rows, text, key, item_type, item_key, similarity, times, bit
     split = [words(r["text"]) for r in rows]
     number = {w: k for k, w in enumerate(dict.fromkeys(w for s in split for w in s), 1)}
     ids = [r["item_id"] for r in rows]
-    classes = [Walks(c, times, bits, seed, similarity) for c in size_classes([np.array([number[w] for w in s], np.int64) for s in split])]
+    classes = [Walks(c, times, bits, seed, similarity) for c in size_classes([np.array([number[w] for w in s], np.int64) for s in split], similarity)]
     shared = docs.sparkSession.sparkContext.broadcast((number, classes))
 
     def slices(batch):
@@ -208,25 +261,15 @@ def _one_pass(docs, rows, text, key, item_type, item_key, similarity, times, bit
             for walks in classes:
                 padded = np.concatenate((joined, np.zeros(walks.span + 1, np.int64)))
                 owners, begins = walks.candidates(padded)
-                for item in np.unique(owners).tolist():
-                    words_of = walks.items[item]
-                    length, budget = len(words_of), edits_allowed(len(words_of), similarity)
-                    at = begins[owners == item]
+                order = np.lexsort((begins, owners))
+                owners, begins = owners[order], begins[order]
+                for item, at in zip(np.unique(owners).tolist(), np.split(begins, np.flatnonzero(np.diff(owners)) + 1)):
+                    budget = edits_allowed(len(walks.items[item]), similarity)
                     at = at[np.concatenate(([True], np.diff(at // max(1, budget)) > 0))]
-                    own = np.zeros(len(number) + 1, bool)
-                    own[words_of] = True
-                    low, high = np.clip(at - 2 * budget, 0, len(joined)), np.clip(at + length + 3 * budget, 0, len(joined))
-                    near = np.minimum(low[:, None] + np.arange(length + 5 * budget), len(joined) - 1)
-                    enough = own[joined[near]].sum(axis=1) >= length - budget
-                    for a, b in zip(low[enough].tolist(), high[enough].tolist()):
-                        for doc in range(int(np.searchsorted(ends, a)), min(len(ends) - 1, int(np.searchsorted(ends, b - 1))) + 1):
-                            start, stop = max(a, int(firsts[doc])), min(b, int(ends[doc]))
-                            if own[joined[start:stop]].sum() < length - budget:
-                                continue
-                            edits, end = closest_stretch(words_of, joined[start:stop])
-                            if edits <= budget and edits < best.get((doc, item), (budget + 1,))[0]:
-                                back = closest_stretch(words_of[::-1], joined[start : start + end][::-1])[1]
-                                best[doc, item] = (edits, start + end - back - int(firsts[doc]), start + end - int(firsts[doc]))
+                    verifier = Verifier(walks.items[item], budget, len(number) + 1)
+                    for doc, edits, start, end in verifier.leaks(joined, at, firsts, ends):
+                        if edits < best.get((doc, item), (budget + 1,))[0]:
+                            best[doc, item] = (edits, start - int(firsts[doc]), end - int(firsts[doc]))
             for (doc, item), (edits, start, end) in best.items():
                 found.append((doc, ids[item], edits, start, end))
             take = pa.array([f[0] for f in found], pa.int64())
