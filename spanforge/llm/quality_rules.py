@@ -36,7 +36,7 @@ class Rule(NamedTuple):
 
 
 RULES = (
-    Rule("length", "n_words", 50, 200_000),
+    Rule("length", "n_words", 50, None),
     Rule("word_length", "mean_word_length", 2.0, 12.0),
     Rule("symbols", "symbol_ratio", None, 0.1),
     Rule("exclamations", "exclamation_ratio", None, 0.15),

@@ -73,7 +73,7 @@ r AS (
   FROM s LEFT JOIN c ON c.doc_id = s.k)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words <= 200000
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
          AND word_chars / per_word BETWEEN 2.0 AND 12.0 AND n_symbols / per_word <= 0.1
          AND (length(text) - length(regexp_replace(text, '[!?]', '', 'g'))) / per_word <= 0.15
          AND n_stop / per_word >= 0.04 AND n_dup_lines / per_line <= 0.3
