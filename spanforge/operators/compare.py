@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.functions.stats import (
@@ -12,13 +12,16 @@ from spanforge.functions.stats import (
     wilson_high,
     wilson_low,
 )
-from spanforge.functions.text import is_binary_mask, ones_between, prediction_id, strip
+from spanforge.functions.text import is_binary_mask, prediction_id, strip
 from spanforge.operators.intervals import overlap_totals
 from spanforge.operators.ranking import is_grid_rank, prefix_sums
 
 # The named K checkpoints, then every 10 000 from 20 000.
 K_CHECKPOINTS = (500, 1000, 2500, 5000, 10000)
 
+#: Positions of a chunk of the mask directory.
+MASK_CHUNK = 256
+
 
 def masks_by_id(records: DataFrame) -> DataFrame:
     """``(ProteinID, mask)`` of a prediction FASTA; the last record of an id wins,
@@ -32,22 +35,63 @@ def masks_by_id(records: DataFrame) -> DataFrame:
     )
 
 
+def mask_directory(masks: DataFrame) -> DataFrame:
+    """Rank directory of masks: ``(ProteinID, chunk, bits, before, length)``.
+
+    A chunk has ``MASK_CHUNK`` positions and the ones ahead of it, so the ones of any interval
+    are the difference of two look-ups. A mask whose length is a whole number of chunks
+    ends with an empty one, for intervals that stop there.
+    """
+    size = F.length("mask").cast("bigint")
+    pieces = F.transform(
+        F.sequence(F.lit(0).cast("int"), F.floor(size / MASK_CHUNK).cast("int")),
+        lambda i: F.substring(F.col("mask"), i * MASK_CHUNK + 1, F.lit(MASK_CHUNK)))
+    running = F.aggregate(
+        "pieces", F.array(F.lit(0).cast("bigint")), lambda sums, p: F.concat(sums, F.array(F.element_at(sums, -1) + _ones(p))))
+    rows = masks.select("ProteinID", size.alias("length"), pieces.alias("pieces")).withColumn("running", running)
+    chunk = F.transform("pieces", lambda p, i: F.struct(
+        i.cast("bigint").alias("chunk"), p.alias("bits"), F.get("running", i).alias("before")))
+    return rows.select("ProteinID", "length", F.inline(chunk))
+
+
+def _ones(bits: Column) -> Column:
+    return F.length(F.replace(bits, F.lit("0"), F.lit(""))).cast("bigint")
+
+
+def ones_before(places: DataFrame, directory: DataFrame) -> DataFrame:
+    """``(ProteinID, pos, rank)``: the ones of the mask ahead of each distinct place ``(ProteinID, pos)``."""
+    wanted = places.distinct().withColumn("chunk", F.floor(F.col("pos") / MASK_CHUNK).cast("bigint"))
+    found = wanted.join(directory.select("ProteinID", "chunk", "bits", "before"), ["ProteinID", "chunk"])
+    ahead = F.substring(F.col("bits"), F.lit(1), F.pmod("pos", F.lit(MASK_CHUNK)).cast("int"))
+    return found.select("ProteinID", "pos", (F.col("before") + _ones(ahead)).alias("rank"))
+
+
 def compare_peptides(peptides: DataFrame, masks: DataFrame, segments: DataFrame | None = None) -> DataFrame:
     """Predicted against expected positives per peptide.
 
     ``peptides`` is ``(row_id, CodeName, ProteinID, AlignStart, AlignStop, "Def
     epitope", "Not epitope")``. Peptides without a mask drop out (see
-    ``missing_ids`` for their report). With label ``segments`` (one row set per
+    ``missing_ids`` for their report). Predicted ones come from the rank directory of the
+    masks, two look-ups per distinct place, so no mask meets a peptide. With label ``segments`` (one row set per
     ``ProteinID``) the expectation is the labelled positives of the interval;
     proteins without labels fall back to the rule "all if def, else none".
     """
     start, stop = F.col("AlignStart").cast("bigint"), F.col("AlignStop").cast("bigint")
     is_def, is_not = F.col("Def epitope").cast("int") == 1, F.col("Not epitope").cast("int") == 1
-    joined = peptides.join(masks, "ProteinID")
-    wrong = (start < 0) | (stop <= start) | (stop > F.length("mask"))
+    directory = mask_directory(masks)
+    sizes = directory.filter("chunk = 0").select("ProteinID", "length")
+    ends = peptides.select("ProteinID", F.explode(F.array(start, stop)).alias("pos"))
+    ranks = ones_before(ends, directory)
+    first = ranks.select("ProteinID", F.col("pos").alias("_from"), F.col("rank").alias("_low"))
+    last = ranks.select("ProteinID", F.col("pos").alias("_to"), F.col("rank").alias("_high"))
+    # Places outside a mask have no rank; the bounds are judged before it is used.
+    joined = (
+        peptides.withColumns({"_from": start, "_to": stop}).join(sizes, "ProteinID")
+        .join(first, ["ProteinID", "_from"], "left").join(last, ["ProteinID", "_to"], "left"))
+    wrong = (start < 0) | (stop <= start) | (stop > F.col("length"))
     both = is_def & is_not
     fail = F.raise_error(F.concat_ws(" ", F.lit("invalid bounds or label:"), F.col("CodeName"), start, stop))
-    ones = F.when(wrong | both, fail.cast("bigint")).otherwise(ones_between(F.col("mask"), start, stop))
+    ones = F.when(wrong | both, fail.cast("bigint")).otherwise(F.col("_high") - F.col("_low"))
     rows = joined.select(
         "row_id",
         "CodeName",
@@ -90,10 +134,12 @@ def compare_peptides(peptides: DataFrame, masks: DataFrame, segments: DataFrame
 
 
 def comparison_summary(rows: DataFrame) -> DataFrame:
-    """Counts, match rates and the any-positive confusion of a comparison, in one pass."""
+    """Counts, match rates and the any-positive confusion of a comparison, in one pass.
+    A comparison without rows is an error."""
     true_r, pred_r = F.col("TrueClass") == "reactive", F.col("PredClass") == "reactive"
+    nothing = F.raise_error(F.lit("no comparable rows")).cast("bigint")
     sums = rows.agg(
-        F.count(F.lit(1)).alias("n_rows_compared"),
+        F.when(F.count(F.lit(1)) > 0, F.count(F.lit(1))).otherwise(nothing).alias("n_rows_compared"),
         F.count_if(true_r).alias("n_reactive"),
         F.count_if(~true_r).alias("n_nonreactive"),
         F.avg("ExactMatch").alias("exact_match_rate"),

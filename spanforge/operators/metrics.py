@@ -23,7 +23,7 @@ from spanforge.functions.stats import (
     ratio_or_zero,
     weighted_log_loss,
 )
-from spanforge.operators.ranking import join_keys, keep_downsampled, numeric_bounds, prefix_sums, search_block
+from spanforge.operators.ranking import Bounds, join_keys, keep_downsampled, numeric_bounds, prefix_sums
 
 # Policy names and selection statuses.
 THRESHOLD_POLICIES = ("max-recall-min-precision", "best-f1", "best-mcc", "min-recall-max-precision", "fixed")
@@ -71,13 +71,13 @@ def score_counts(scores: DataFrame, keys: Sequence[str] = (), y: str = "y", p: s
     )
 
 
-def score_bounds(scores: DataFrame, p: str = "p", n_blocks: int | None = None) -> list[Column]:
+def score_bounds(scores: DataFrame, p: str = "p", n_blocks: int | None = None) -> Bounds:
     """Block bounds of the scores, for callers that build several curves of one table."""
     return numeric_bounds(scores, -F.col(p).cast("double"), n_blocks)
 
 
 def operating_points(
-    scores: DataFrame, keys: Sequence[str] = (), y: str = "y", p: str = "p", bounds: Sequence[Column] | None = None
+    scores: DataFrame, keys: Sequence[str] = (), y: str = "y", p: str = "p", bounds: Bounds | None = None
 ) -> DataFrame:
     """One row per distinct score, descending: cumulative ``tp``/``fp`` at that
     threshold, the class totals, and the counts of the following point."""
@@ -88,7 +88,7 @@ def operating_points(
         [-F.col("threshold")],
         {"pos": F.col("pos"), "neg": F.col("neg")},
         keys,
-        block=search_block(-F.col("threshold"), bounds),
+        bounds=bounds,
         peek=("pos", "neg"),
     )
     return points.select(
@@ -167,7 +167,7 @@ def select_thresholds(
     min_precision: float = 0.25,
     min_recall: float = 0.80,
     fixed_threshold: float = 0.50,
-    bounds: Sequence[Column] | None = None,
+    bounds: Bounds | None = None,
 ) -> DataFrame:
     """Decision threshold per policy (and key), all searching policies in one pass.
 
@@ -275,7 +275,7 @@ def _on_roc_corner() -> Column:
 
 
 def ranking_metrics(
-    scores: DataFrame, keys: Sequence[str] = (), y: str = "y", p: str = "p", bounds: Sequence[Column] | None = None
+    scores: DataFrame, keys: Sequence[str] = (), y: str = "y", p: str = "p", bounds: Bounds | None = None
 ) -> DataFrame:
     """ROC AUC, average precision, PR trapezoid and the area left of FPR 0.10.
 
@@ -323,7 +323,7 @@ def ranking_metrics(
 
 
 def roc_points(
-    scores: DataFrame, keys: Sequence[str] = (), y: str = "y", p: str = "p", bounds: Sequence[Column] | None = None
+    scores: DataFrame, keys: Sequence[str] = (), y: str = "y", p: str = "p", bounds: Bounds | None = None
 ) -> DataFrame:
     """ROC corners (``fpr``, ``tpr``) from (0,0); keys with a single class give no rows."""
     points = operating_points(scores, keys, y, p, bounds)
@@ -346,7 +346,7 @@ def roc_points(
 
 
 def pr_points(
-    scores: DataFrame, keys: Sequence[str] = (), y: str = "y", p: str = "p", bounds: Sequence[Column] | None = None
+    scores: DataFrame, keys: Sequence[str] = (), y: str = "y", p: str = "p", bounds: Bounds | None = None
 ) -> DataFrame:
     """Every precision/recall point in ascending recall, led by (recall 0, precision 1).
     Without positives recall is 1 everywhere but at that leading point."""
@@ -363,19 +363,19 @@ def pr_points(
 
 
 def downsample_curve(
-    points: DataFrame, keys: Sequence[str] = (), max_points: int = 2048, bounds: Sequence[Column] | None = None
+    points: DataFrame, keys: Sequence[str] = (), max_points: int = 2048, bounds: Bounds | None = None
 ) -> DataFrame:
     """Evenly spaced points of a curve (descending ``threshold``), ends included, with
     their ``idx``. The bounds the curve was built with spare another pass over it."""
     order = -F.col("threshold")
     bounds = numeric_bounds(points, order) if bounds is None else bounds
-    ranked = prefix_sums(points, [order], {"n": F.lit(1)}, keys, block=search_block(order, bounds))
+    ranked = prefix_sums(points, [order], {"n": F.lit(1)}, keys, bounds=bounds)
     indexed = ranked.withColumn("idx", F.col("cum_n") - 1)
     return keep_downsampled(indexed, "idx", "total_n", max_points).drop("cum_n", "total_n")
 
 
 def curve_summary(
-    scores: DataFrame, keys: Sequence[str] = (), y: str = "y", p: str = "p", bounds: Sequence[Column] | None = None
+    scores: DataFrame, keys: Sequence[str] = (), y: str = "y", p: str = "p", bounds: Bounds | None = None
 ) -> DataFrame:
     """Scalar part of the curve payloads: availability, reason, baseline, AP, trapezoid."""
     m = ranking_metrics(scores, keys, y, p, bounds)
@@ -398,7 +398,7 @@ def curve_summary(
 
 def evaluate(
     scores: DataFrame, keys: Sequence[str] = (), y: str = "y", p: str = "p", pred: str = "pred",
-    bounds: Sequence[Column] | None = None,
+    bounds: Bounds | None = None,
 ) -> DataFrame:
     """Complete evaluation per key: counts, confusion family and ranking metrics."""
     keys = list(keys)

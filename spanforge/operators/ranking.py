@@ -2,30 +2,58 @@
 
 Rows are cut into ordered blocks, each block is summed, and the (small) block
 table is accumulated; every row then needs only its own block plus the block's
-offset. A block number is a pure function of the row's sort values and of
-bounds held in the plan as literals, so a recomputed partition (lost executor)
-lands in the same block as before and no checkpoint is needed.
+offset. Blocks are found in two steps: a few outer bounds stand in the plan as
+literals, the bounds inside an outer block come from a written table that is joined
+on the outer number, so the number of blocks has no ceiling. A block number is a
+pure function of the row's sort values and of those fixed bounds, so a recomputed
+partition (lost executor) lands in the same block as before.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanforge.session import shuffle_width
+from spanforge.session import cut_lineage, shuffle_width
 
 _SAMPLES_PER_BLOCK = 40
+#: Blocks up to which all bounds are literals; beyond, outer blocks have sub-blocks.
+FLAT = 256
+#: Accuracy of a quantile sketch (its rank error is about 2.3 / SKETCH), and sketches merged first.
+SKETCH, MERGED = 4096, 64
+
+
+@dataclass(frozen=True)
+class Bounds:
+    """Ascending outer bounds and, for many blocks, a table ``(outer, cuts)`` of the bounds inside."""
+
+    outer: tuple[Column, ...] = ()
+    inner: DataFrame | None = None
+    most: int = 0
+
+    def blocked(self, df: DataFrame, key: Column, out: str = "_block") -> DataFrame:
+        """``df`` with the block number of ``key``; a null key is in the first block."""
+        outer = F.coalesce(search_block(key, self.outer), F.lit(0))
+        if self.inner is None:
+            return df.withColumn(out, outer)
+        # One row per outer block, at most the square root of the blocks.
+        joined = df.withColumn("_outer", outer).join(F.broadcast(self.inner), "_outer", "left")
+        inside = F.coalesce(_search(key, F.col("_cuts"), self.most), F.lit(0))
+        return joined.withColumn(out, F.col("_outer") * (self.most + 1) + inside).drop("_outer", "_cuts")
 
 
 def search_block(key: Column, bounds: Sequence[Column]) -> Column:
     """How many of the ascending ``bounds`` are <= ``key``, by binary search."""
-    if not bounds:
-        return F.lit(0)
-    table = F.array(*bounds)
-    steps = [1 << b for b in reversed(range(len(bounds).bit_length()))]
+    return _search(key, F.array(*bounds), len(bounds)) if bounds else F.lit(0)
+
+
+def _search(key: Column, table: Column, size: int) -> Column:
+    steps = [1 << b for b in reversed(range(size.bit_length()))]
     return F.aggregate(
         F.array(*[F.lit(s) for s in steps]),
         F.lit(0),
@@ -33,42 +61,75 @@ def search_block(key: Column, bounds: Sequence[Column]) -> Column:
     )
 
 
-def numeric_bounds(df: DataFrame, key: Column, n_blocks: int | None = None) -> list[Column]:
-    """Ascending block bounds of one numeric key: one pass that reads that key alone."""
-    n_blocks = n_blocks or shuffle_width(df)
-    if n_blocks < 2:
-        return []
-    cuts = [i / n_blocks for i in range(1, n_blocks)]
-    found = df.agg(F.percentile_approx(key.cast("double"), cuts, 20 * n_blocks).alias("b")).first()["b"]
-    return [F.lit(b) for b in sorted(set(found or []))]
+def _sketched(keyed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Quantile sketch of ``k`` per ``by``: made in groups of tasks, then merged, so no task merges them all."""
+    grouped = keyed.withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(MERGED)))
+    parts = grouped.groupBy(*by, "_part").agg(F.kll_sketch_agg_double("k", F.lit(SKETCH)).alias("s"))
+    return parts.groupBy(*by).agg(F.kll_merge_agg_double("s").alias("s"))
+
+
+def _even(n: int) -> Column:
+    return F.array(*[F.lit(i / n) for i in range(1, n)])
+
+
+def _levels(n_blocks: int) -> tuple[int, int]:
+    """(outer blocks, sub-blocks of each)."""
+    if n_blocks <= FLAT:
+        return n_blocks, 1
+    outer = math.isqrt(n_blocks - 1) + 1
+    return outer, -(-n_blocks // outer)
+
+
+def numeric_bounds(df: DataFrame, key: Column, n_blocks: int | None = None) -> Bounds:
+    """Block bounds of one numeric key: a pass that reads that key alone, a second one for many blocks."""
+    outer_blocks, inner_blocks = _levels(n_blocks or shuffle_width(df))
+    if outer_blocks < 2:
+        return Bounds()
+    keyed = df.select(key.cast("double").alias("k")).filter(F.col("k").isNotNull() & ~F.isnan("k"))
+    filled = _sketched(keyed).filter(F.kll_sketch_get_n_double("s") > 0)
+    found = filled.select(F.kll_sketch_get_quantile_double("s", _even(outer_blocks)).alias("b")).first()
+    cuts = sorted(set(found["b"])) if found else []
+    outer = tuple(F.lit(c) for c in cuts)
+    if inner_blocks < 2 or not cuts:
+        return Bounds(outer)
+    inside = _sketched(keyed.withColumn("_outer", search_block(F.col("k"), outer)), ["_outer"])
+    # Sketches draw at random: what they say is fixed by writing it.
+    table = cut_lineage(inside.select("_outer", F.array_sort(F.array_distinct(
+        F.kll_sketch_get_quantile_double("s", _even(inner_blocks)))).alias("_cuts")))
+    return Bounds(outer, table, inner_blocks - 1)
 
 
-def composite_block(df: DataFrame, order: Sequence[Column], n_blocks: int | None = None) -> Column:
-    """Block column for several sort keys; bounds come from a bounded row sample.
+def composite_bounds(df: DataFrame, order: Sequence[Column], n_blocks: int | None = None) -> Bounds:
+    """Block bounds for several sort keys, from a bounded row sample per level.
 
     Needed when the first key repeats: a third of all rows may share one score,
     and only the tie-breaking keys can divide them.
     """
-    n_blocks = n_blocks or shuffle_width(df)
-    if n_blocks < 2:
-        return F.lit(0)
-    keyed = df.select(F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)]).alias("k"))
-    wanted = _SAMPLES_PER_BLOCK * n_blocks
-    total = keyed.count()
-    if total == 0:
-        return F.lit(0)
-    sample = keyed if total <= wanted else keyed.sample(fraction=min(1.0, wanted / total), seed=17)
-    ordered = sample.orderBy("k").select("k").collect()
-    if not ordered:
-        return F.lit(0)
-    picks = sorted({i * len(ordered) // n_blocks for i in range(1, n_blocks)} - {0})
+    outer_blocks, inner_blocks = _levels(n_blocks or shuffle_width(df))
+    if outer_blocks < 2:
+        return Bounds()
+    keyed = df.select(_composite(order).alias("k"))
+    drawn = keyed.orderBy(F.rand(17)).limit(_SAMPLES_PER_BLOCK * outer_blocks)
+    ordered = drawn.orderBy("k").collect()
     fields = keyed.schema["k"].dataType.fields
-    bounds = [
-        F.struct(*[F.lit(ordered[i]["k"][j]).cast(f.dataType).alias(f.name) for j, f in enumerate(fields)])
-        for i in picks
-    ]
-    key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
-    return search_block(key, bounds)
+    picks = sorted({i * len(ordered) // outer_blocks for i in range(1, outer_blocks)} - {0}) if ordered else []
+    outer = tuple(
+        F.struct(*[F.lit(ordered[i]["k"][j]).cast(f.dataType).alias(f.name) for j, f in enumerate(fields)]) for i in picks)
+    if inner_blocks < 2 or not outer:
+        return Bounds(outer)
+    placed = keyed.withColumn("_outer", search_block(F.col("k"), outer))
+    counts = placed.groupBy("_outer").agg(F.count(F.lit(1)).alias("n"))
+    wanted = _SAMPLES_PER_BLOCK * inner_blocks
+    # One row per outer block says which share of its rows is drawn.
+    sample = placed.join(F.broadcast(counts), "_outer").filter(F.rand(18) * F.col("n") < wanted)
+    drawn = sample.groupBy("_outer").agg(F.array_sort(F.collect_list("k")).alias("ks"))
+    at = F.transform(F.sequence(F.lit(1), F.lit(inner_blocks - 1)), lambda i: F.floor(i * F.size("ks") / inner_blocks).cast("int"))
+    cuts = F.transform(F.array_distinct(at), lambda i: F.get("ks", i))
+    return Bounds(outer, cut_lineage(drawn.select("_outer", cuts.alias("_cuts"))), inner_blocks - 1)
+
+
+def _composite(order: Sequence[Column]) -> Column:
+    return F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
 
 
 def hash_block(hex_digest: Column, n_blocks: int) -> Column:
@@ -84,6 +145,7 @@ def prefix_sums(
     keys: Sequence[str] = (),
     *,
     block: Column | None = None,
+    bounds: Bounds | None = None,
     n_blocks: int | None = None,
     peek: Sequence[str] = (),
 ) -> DataFrame:
@@ -92,17 +154,21 @@ def prefix_sums(
     Each measure ``m`` adds ``cum_m`` (up to and including the row) and
     ``total_m`` (over the key). Each column ``c`` in ``peek`` adds ``next_c``,
     its value on the following row, also across block borders. Null
-    ``keys`` are one key more. The block table has at most blocks x keys rows.
+    ``keys`` are one key more. The block table has at most blocks x keys rows. ``bounds``
+    of the (single, numeric) order spare the pass that finds them, ``block`` is a column
+    that already numbers the blocks.
     """
     keys = list(keys)
-    if block is None:
-        if len(order) == 1 and _is_numeric(df, order[0]):
-            block = search_block(order[0].cast("double"), numeric_bounds(df, order[0], n_blocks))
-        else:
-            block = composite_block(df, order, n_blocks)
-    # A null-free block keeps the join from pushing a null test on it to the scan.
     names = [f"_k{i}" for i in range(len(order))]
-    blocked = df.select("*", F.coalesce(block, F.lit(0)).alias("_block"), *[c.alias(n) for c, n in zip(order, names)])
+    sorted_by = df.select("*", *[c.alias(n) for c, n in zip(order, names)])
+    if block is not None:
+        # A null-free block keeps the join from pushing a null test on it to the scan.
+        blocked = sorted_by.withColumn("_block", F.coalesce(block, F.lit(0)))
+    elif bounds is not None or (len(order) == 1 and _is_numeric(df, order[0])):
+        bounds = numeric_bounds(df, order[0], n_blocks) if bounds is None else bounds
+        blocked = bounds.blocked(sorted_by, F.col(names[0]).cast("double"))
+    else:
+        blocked = composite_bounds(df, order, n_blocks).blocked(sorted_by, _composite([F.col(n) for n in names]))
     sums = [F.sum(c).alias(f"_sum_{m}") for m, c in measures.items()]
     lowest = names[0] if len(names) == 1 else F.struct(*names)
     first = [F.min_by(c, lowest).alias(f"_first_{c}") for c in peek]
@@ -117,7 +183,7 @@ def prefix_sums(
     columns += [F.lead(f"_first_{c}").over(whole.orderBy("_block")).alias(f"_next_{c}") for c in peek]
     offsets = per_block.select(*columns)
     if not keys:
-        offsets = F.broadcast(offsets)  # one row per block, so n_blocks at most
+        offsets = F.broadcast(offsets)  # one narrow row per block
 
     local = Window.partitionBy(*keys, "_block").orderBy(*names)
     running = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -54,6 +54,39 @@ def _sql_type(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
+def window_texts(sequences: DataFrame, max_tokens: int = MAX_TOKENS, window: int = WINDOW, stride: int = STRIDE) -> DataFrame:
+    """The windows ``(id, start, length, sequence)`` of non-empty sequences, similar lengths together."""
+    n = F.length("sequence").cast("bigint")
+    sized = sequences.filter(n > 0).select("id", "sequence", n.alias("length"))
+    spans = F.when(n <= max_tokens, window_spans(F.col("length"), None)).otherwise(
+        window_spans(F.col("length"), window, stride)
+    )
+    # Window texts are cut inside the row, so no copy of the whole text per window.
+    texts = F.transform(
+        spans,
+        lambda w: F.struct(w["start"].alias("start"), F.substring(
+            F.col("sequence"), (w["start"] + 1).cast("int"), (w["stop"] - w["start"]).cast("int")).alias("sequence")),
+    )
+    work = sized.select("id", "length", F.explode(texts).alias("w")).select("id", "w.start", "length", "w.sequence")
+    return work.repartitionByRange(F.length("sequence"), F.xxhash64("id", "start")).sortWithinPartitions(
+        F.length("sequence")
+    )
+
+
+def attempt_batch(embed: Callable[[Sequence[str]], Sequence[np.ndarray]], texts: list[str]) -> list:
+    """Vectors of a batch; on failure one by one, with the error text in place."""
+    try:
+        return list(embed(texts))
+    except Exception:
+        out = []
+        for t in texts:
+            try:
+                out.append(embed([t])[0])
+            except Exception as exc:
+                out.append(str(exc))
+        return out
+
+
 def embed_windows(
     sequences: DataFrame,
     embed: Callable[[Sequence[str]], Sequence[np.ndarray]],
@@ -72,36 +105,9 @@ def embed_windows(
     fill token-packed batches and turn a failing item into one error row instead
     of failing the job.
     """
-    n = F.length("sequence").cast("bigint")
-    sized = sequences.filter(n > 0).select("id", "sequence", n.alias("length"))
-    spans = F.when(n <= max_tokens, window_spans(F.col("length"), None)).otherwise(
-        window_spans(F.col("length"), window, stride)
-    )
-    # Window texts are cut inside the row, so no copy of the whole text per window.
-    texts = F.transform(
-        spans,
-        lambda w: F.struct(w["start"].alias("start"), F.substring(
-            F.col("sequence"), (w["start"] + 1).cast("int"), (w["stop"] - w["start"]).cast("int")).alias("sequence")),
-    )
-    work = sized.select("id", "length", F.explode(texts).alias("w")).select("id", "w.start", "length", "w.sequence")
-    work = work.repartitionByRange(F.length("sequence"), F.xxhash64("id", "start")).sortWithinPartitions(
-        F.length("sequence")
-    )
+    work = window_texts(sequences, max_tokens, window, stride)
     id_type = _sql_type(sequences, "id")
 
-    def attempt(texts: list[str]) -> list:
-        """Vectors of a batch; on failure one by one, with the error text in place."""
-        try:
-            return list(embed(texts))
-        except Exception:
-            out = []
-            for t in texts:
-                try:
-                    out.append(embed([t])[0])
-                except Exception as exc:
-                    out.append(str(exc))
-            return out
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows == 0:
@@ -111,7 +117,7 @@ def embed_windows(
             packed = np.array(packed_batches([len(t) for t in texts], budget, max_tokens))
             for number in range(packed[-1] + 1):
                 rows = np.flatnonzero(packed == number)
-                found = attempt([texts[i] for i in rows])
+                found = attempt_batch(embed, [texts[i] for i in rows])
                 good = [(i, np.asarray(v, dtype=float)) for i, v in zip(rows, found) if not isinstance(v, str)]
                 bad = [(i, v) for i, v in zip(rows, found) if isinstance(v, str)]
                 if good:
@@ -237,7 +243,12 @@ def conv_features(x: np.ndarray, layers: Sequence[Mapping], inside: np.ndarray)
     return y
 
 
-def _sigmoid(z: np.ndarray) -> np.ndarray:
+def kernel_reach(head: Mapping) -> int:
+    """How many positions to either side the stacked kernels of a head look."""
+    return sum(np.asarray(c["w"]).shape[2] // 2 for c in head.get("conv", ()))
+
+
+def sigmoid_of(z: np.ndarray) -> np.ndarray:
     return np.where(z >= 0, 1.0 / (1.0 + np.exp(-np.abs(z))), np.exp(-np.abs(z)) / (1.0 + np.exp(-np.abs(z))))
 
 
@@ -251,7 +262,7 @@ def score_members(vectors: DataFrame, heads: Mapping[str, Mapping]) -> DataFrame
             if batch.num_rows == 0:
                 continue
             x = _matrix(batch.column("vec"))
-            ps = np.stack([_sigmoid(dense_forward(x, head)) for head in chosen], axis=1)
+            ps = np.stack([sigmoid_of(dense_forward(x, head)) for head in chosen], axis=1)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("pos"), _vector_list(ps)],
                                              ["id", "pos", "ps"])
 
@@ -282,7 +293,7 @@ def score_members_conv(
     sequence length, and the result does not depend on the block size.
     """
     chosen = list(heads.values())
-    reach = max(sum(np.asarray(c["w"]).shape[2] // 2 for c in h["conv"]) for h in chosen)
+    reach = max(map(kernel_reach, chosen))
     if reach >= block:
         raise ValueError("block must exceed the reach of the kernels")
     sized = vectors.select(
@@ -303,7 +314,7 @@ def score_members_conv(
         inside = ((where >= 0) & (where < length)).astype(float)
         own = np.sort(pos[pos // block == b])
         ps = np.stack([
-            _sigmoid(dense_forward(np.concatenate([x, conv_features(x, head["conv"], inside)], axis=1)[own - low], head))
+            sigmoid_of(dense_forward(np.concatenate([x, conv_features(x, head["conv"], inside)], axis=1)[own - low], head))
             for head in chosen
         ], axis=1) if len(own) else np.zeros((0, len(chosen)))
         ids = pa.array([group.column("id")[0].as_py()] * len(own), group.column("id").type)

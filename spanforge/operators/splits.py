@@ -11,6 +11,7 @@ through the driver or one task.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from fractions import Fraction
 
 import numpy as np
@@ -436,16 +437,63 @@ def kfold_stratified(
 # --- plans and reports -----------------------------------------------------
 
 
-def fold_roles(folds: DataFrame, n_folds: int, *, id_col: str = "id") -> DataFrame:
-    """Every id in every fold's run: validation in its own fold, else train."""
-    runs = folds.withColumnRenamed("fold_index", "_own").withColumn(
-        "fold_index", F.explode(F.sequence(F.lit(1), F.lit(n_folds)))
-    )
-    role = F.when(F.col("fold_index") == F.col("_own"), "validation").otherwise("train")
-    return runs.withColumn("role", role).drop("_own")
+@dataclass(frozen=True)
+class FoldPlan:
+    """Which fold an id validates in, once per seed pair; runs and reports follow from it.
 
+    ``rows`` is ``(set_number, id, group, fold)``; an id in fold 0 validates in no run.
+    With one fold a plan is a holdout: a single run per seed pair.
+    """
 
-def run_plans(
+    rows: DataFrame
+    n_folds: int
+    split_seeds: tuple[int, ...]
+    train_seeds: tuple[int, ...]
+    id_col: str = "id"
+
+    def _run(self) -> list[Column]:
+        """run_index, set_index and fold_index of the run that fold ``_fold`` validates."""
+        if self.n_folds == 1:
+            none = F.lit(None).cast("int")
+            return [F.col("set_number").alias("run_index"), none.alias("set_index"), none.alias("fold_index")]
+        run = (F.col("set_number") - 1) * self.n_folds + F.col("_fold")
+        return [run.cast("int").alias("run_index"), F.col("set_number").alias("set_index"), F.col("_fold").alias("fold_index")]
+
+    def _folds(self) -> Column:
+        return F.explode(F.sequence(F.lit(1), F.lit(self.n_folds))).alias("_fold")
+
+    def runs(self) -> DataFrame:
+        """Long plan ``(run_index, set_index, fold_index, split_seed, train_seed, id, group, role)``:
+        every id once per run, for those who read one run at a time."""
+        def seed(values: Sequence[int]) -> Column:
+            return F.get(F.array(*[F.lit(v) for v in values]), F.col("set_number") - 1)
+
+        long = self.rows.select("*", self._folds())
+        role = F.when(F.col("fold") == F.col("_fold"), "validation").otherwise("train")
+        return long.select(
+            *self._run(), seed(self.split_seeds).alias("split_seed"), seed(self.train_seeds).alias("train_seed"), self.id_col, "group",
+            role.alias("role"))
+
+    def sums(self, rows: DataFrame, measures: dict[str, Column], keys: Sequence[str] = ()) -> DataFrame:
+        """Sums of ``measures`` per run, role and ``keys``; ``rows`` are the plan's, with more columns.
+
+        Rows are summed once per fold; a run's training side is the total less its own fold.
+        """
+        keys = list(keys)
+        per_fold = rows.groupBy("set_number", *keys, "fold").agg(*[c.alias(m) for m, c in measures.items()])
+        cell = F.struct(F.col("fold"), *measures)  # at most one per fold
+        packed = per_fold.groupBy("set_number", *keys).agg(F.collect_list(cell).alias("cells"), *[F.sum(m).alias(f"all_{m}") for m in measures])
+        spread = packed.select("*", self._folds())
+        own = F.get(F.filter("cells", lambda c: c["fold"] == F.col("_fold")), F.lit(0))
+        sides = spread.select(*self._run(), *keys, own.alias("own"), *[f"all_{m}" for m in measures])
+        held = {m: F.coalesce(F.col(f"own.{m}"), F.lit(0)) for m in measures}
+        both = F.array(
+            F.struct(F.lit("train").alias("role"), *[(F.col(f"all_{m}") - held[m]).alias(m) for m in measures]),
+            F.struct(F.lit("validation").alias("role"), *[held[m].alias(m) for m in measures]))
+        return sides.select("run_index", *keys, F.inline(both)).select("run_index", "role", *keys, *measures)
+
+
+def fold_plan(
     ids: DataFrame,
     groups: DataFrame | None,
     *,
@@ -457,8 +505,8 @@ def run_plans(
     strategy: str = "size-balanced",
     support: DataFrame | None = None,
     id_col: str = "id",
-) -> DataFrame:
-    """Long plan ``(run_index, set_index, fold_index, split_seed, train_seed, id, group, role)``.
+) -> FoldPlan:
+    """The folds (or the holdout) of every seed pair.
 
     Split and train seeds are paired by position; give both or neither.
     """
@@ -475,86 +523,67 @@ def run_plans(
     if len(split_seeds) != len(train_seeds):
         raise ValueError("split_seeds and train_seeds must have the same length")
 
-    plans = []
-    for index, (split_seed, train_seed) in enumerate(zip(split_seeds, train_seeds), start=1):
-        if n_folds == 1:
-            if strategy == "label-stratified":
-                roles = split_stratified(ids, groups, support, val_frac, id_col=id_col)
-            elif groups is not None:
-                roles = split_grouped(ids, groups, val_frac, split_seed, id_col=id_col)
-            else:
-                roles = with_groups(ids, None, id_col=id_col).join(
-                    split_ids(ids, val_frac, split_seed, id_col=id_col), id_col
-                )
-            rows = roles.withColumn("set_index", F.lit(None).cast("int")).withColumn(
-                "fold_index", F.lit(None).cast("int")
-            ).withColumn("run_index", F.lit(index))
-        else:
-            if strategy == "label-stratified":
-                folds = kfold_stratified(ids, groups, support, n_folds, id_col=id_col)
-            elif groups is not None:
-                folds = kfold_grouped(ids, groups, n_folds, split_seed, id_col=id_col)
-            else:
-                folds = with_groups(ids, None, id_col=id_col).join(
-                    kfold(ids, n_folds, split_seed, id_col=id_col), id_col
-                )
-            rows = fold_roles(folds, n_folds, id_col=id_col).withColumn("set_index", F.lit(index)).withColumn(
-                "run_index", F.lit((index - 1) * n_folds) + F.col("fold_index")
-            )
-        plans.append(
-            rows.select(
-                F.col("run_index").cast("int").alias("run_index"),
-                "set_index",
-                F.col("fold_index").cast("int").alias("fold_index"),
-                F.lit(int(split_seed)).alias("split_seed"),
-                F.lit(int(train_seed)).alias("train_seed"),
-                id_col,
-                "group",
-                "role",
-            )
-        )
-    out = plans[0]
-    for more in plans[1:]:
-        out = out.unionByName(more)
-    return out
-
-
-def leaked_groups(plan: DataFrame, run: str = "run_index") -> DataFrame:
-    """Groups found on both sides of a run; empty for a clean plan."""
-    sides = plan.groupBy(run, "group").agg(
-        F.max((F.col("role") == "train").cast("int")).alias("t"),
-        F.max((F.col("role") == "validation").cast("int")).alias("v"),
-    )
-    return sides.filter("t = 1 and v = 1").select(run, "group")
-
-
-def split_report(
-    plan: DataFrame, support: DataFrame, *, id_col: str = "id", run: str = "run_index"
-) -> DataFrame:
-    """Support per run and role, plus one row over all distinct ids (nulls as keys)."""
-    stats = support.select(id_col, "valid_residues", "positive_residues", "negative_residues")
-    columns = [
-        F.count(F.lit(1)).alias("protein_count"),
-        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("valid_residues", "positive_residues", "negative_residues")],
-    ]
-    per_role = plan.select(run, "role", id_col).join(stats, id_col, "left").groupBy(run, "role").agg(*columns)
-    every = plan.select(id_col).distinct().join(stats, id_col, "left").agg(*columns).select(
-        F.lit(None).cast(plan.schema[run].dataType).alias(run), F.lit("all").alias("role"), "*"
-    )
+    every = None
+    for number, split_seed in enumerate(split_seeds, start=1):
+        if strategy == "label-stratified" and n_folds == 1:
+            placed = split_stratified(ids, groups, support, val_frac, id_col=id_col)
+        elif strategy == "label-stratified":
+            placed = kfold_stratified(ids, groups, support, n_folds, id_col=id_col)
+        elif groups is not None and n_folds == 1:
+            placed = split_grouped(ids, groups, val_frac, split_seed, id_col=id_col)
+        elif groups is not None:
+            placed = kfold_grouped(ids, groups, n_folds, split_seed, id_col=id_col)
+        else:  # without groups an id is its own
+            alone = split_ids(ids, val_frac, split_seed, id_col=id_col) if n_folds == 1 else kfold(ids, n_folds, split_seed, id_col=id_col)
+            placed = alone.withColumn("group", F.col(id_col).cast("string"))
+        fold = F.when(F.col("role") == "validation", 1).otherwise(0) if n_folds == 1 else F.col("fold_index").cast("int")
+        rows = placed.select(F.lit(number).alias("set_number"), id_col, "group", fold.alias("fold"))
+        every = rows if every is None else every.unionByName(rows)
+    return FoldPlan(every, n_folds, tuple(map(int, split_seeds)), tuple(map(int, train_seeds)), id_col)
+
+
+def run_plans(ids: DataFrame, groups: DataFrame | None, **options) -> DataFrame:
+    """The long plan of :func:`fold_plan`: every id in every run."""
+    return fold_plan(ids, groups, **options).runs()
+
+
+def leaked_groups(plan: FoldPlan, groups: DataFrame | None = None) -> DataFrame:
+    """``(run_index, group)`` of groups on both sides of a run; empty for a clean plan.
+
+    A group in several folds leaks in the run of each. ``groups`` ``(id, group)`` checks the
+    plan against other groups than its own.
+    """
+    rows = plan.rows if groups is None else plan.rows.drop("group").join(groups.select(plan.id_col, F.col("group").cast("string").alias("group")), plan.id_col)
+    folds = rows.groupBy("set_number", "group").agg(F.collect_set("fold").alias("folds")).filter(F.size("folds") > 1)
+    each = folds.select("set_number", "group", F.explode("folds").alias("_fold")).filter("_fold > 0")
+    return each.select(*plan._run(), "group").select("run_index", "group")
+
+
+def split_report(plan: FoldPlan, support: DataFrame) -> DataFrame:
+    """Support per run and role, plus one row over all ids (nulls as keys)."""
+    names = ("valid_residues", "positive_residues", "negative_residues")
+    joined = plan.rows.join(support.select(plan.id_col, *names), plan.id_col, "left")
+    measures = {"protein_count": F.count(F.lit(1)), **{c: F.coalesce(F.sum(c), F.lit(0)) for c in names}}
+    per_role = plan.sums(joined, measures)
+    # The two sides of any run are all ids.
+    every = per_role.filter("run_index = 1").agg(*[F.sum(m).alias(m) for m in measures]).select(
+        F.lit(None).cast("int").alias("run_index"), F.lit("all").alias("role"), *measures)
     rate = F.when(F.col("valid_residues") > 0, F.col("positive_residues") / F.col("valid_residues"))
-    return per_role.unionByName(every).withColumn("positive_rate", rate)
+    return per_role.filter("protein_count > 0").unionByName(every).withColumn("positive_rate", rate)
 
 
-def family_counts(plan: DataFrame, *, run: str = "run_index", family: str = "group") -> DataFrame:
-    """Ids per run, role and family, as rows (a family map is as long as the families)."""
-    return plan.groupBy(run, "role", family).agg(F.count(F.lit(1)).alias("n_ids"))
+def family_counts(plan: FoldPlan, families: DataFrame | None = None, *, family: str = "group") -> DataFrame:
+    """Ids per run, role and family, as rows (a family map is as long as the families).
+    ``families`` ``(id, family)`` stands for the plan's own groups."""
+    rows = plan.rows if families is None else plan.rows.drop(family).join(families.select(plan.id_col, family), plan.id_col)
+    return plan.sums(rows, {"n_ids": F.count(F.lit(1))}, [family]).filter("n_ids > 0")
 
 
-def shard_counts(plan: DataFrame, support: DataFrame, *, id_col: str = "id", run: str = "run_index") -> DataFrame:
+def shard_counts(plan: FoldPlan, support: DataFrame) -> DataFrame:
     """Ids per run, role and label shard; ids without labels under a marker."""
-    shards = plan.join(support.select(id_col, "label_shard"), id_col, "left")
-    name = F.coalesce("label_shard", F.lit("__missing_label__")).alias("label_shard")
-    return shards.groupBy(run, "role", name).agg(F.count(F.lit(1)).alias("n_ids"))
+    shards = plan.rows.join(support.select(plan.id_col, "label_shard"), plan.id_col, "left")
+    named = shards.withColumn("label_shard", F.coalesce("label_shard", F.lit("__missing_label__")))
+    return plan.sums(named, {"n_ids": F.count(F.lit(1))}, ["label_shard"]).filter("n_ids > 0")
 
 
 def as_maps(counts: DataFrame, key: str, out: str, *, run: str = "run_index") -> DataFrame:

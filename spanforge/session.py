@@ -9,9 +9,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-MAX_BLOCKS = 2000
-
-
 def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "spanforge") -> SparkSession:
     """A local session for tests and the bench; clusters bring their own settings."""
     return (
@@ -28,9 +25,8 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "spa
 
 
 def shuffle_width(df: DataFrame) -> int:
-    """Default block count: the session's shuffle partitions, within what a plan
-    can carry as literal bounds (a block that is larger for it only sorts more)."""
-    return min(MAX_BLOCKS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """Default block count: the session's shuffle partitions."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -100,7 +100,7 @@ def test_random_against_brute_force(spark, seed):
 def test_block_count_does_not_matter(spark):
     rng = np.random.default_rng(9)
     rows = frame(spark, rng.integers(0, 2, 300).tolist(), np.round(rng.random(300), 2))
-    results = {M.ranking_metrics(rows, bounds=M.score_bounds(rows, n_blocks=k)).first() for k in (1, 2, 7, 50)}
+    results = {M.ranking_metrics(rows, bounds=M.score_bounds(rows, n_blocks=k)).first() for k in (1, 2, 7, 50, 300)}
     assert len({tuple(round(v, 12) for v in r) for r in results}) == 1
 
 

@@ -148,7 +148,7 @@ def test_conv_block_size_does_not_matter(spark):
     vectors = spark.createDataFrame([("s", i, v.tolist()) for i, v in enumerate(x)], "id string, pos long, vec array<double>")
     lengths = spark.createDataFrame([("s", 37)], "id string, length long")
     local = V.conv_features(x, conv, np.ones(37))
-    want = V._sigmoid(V.dense_forward(np.concatenate([x, local], axis=1), head))
+    want = V.sigmoid_of(V.dense_forward(np.concatenate([x, local], axis=1), head))
     for block in (4, 10, 64):
         rows = V.score_conv(vectors, lengths, {"m": head}, block=block).orderBy("pos").collect()
         assert [r["pos"] for r in rows] == list(range(37)) and np.allclose([r["p"] for r in rows], want)

@@ -263,7 +263,8 @@ def test_run_plans(spark):
     rows = plan.collect()
     assert {r["run_index"] for r in rows} == set(range(1, 7)) and len(rows) == 6 * 18
     assert {(r["set_index"], r["split_seed"], r["train_seed"]) for r in rows} == {(1, 1, 3), (2, 2, 4)}
-    assert S.leaked_groups(plan).count() == 0
+    folds = S.fold_plan(ids, table, n_folds=3, split_seeds=[1, 2], train_seeds=[3, 4])
+    assert S.leaked_groups(folds).count() == 0
     single = S.run_plans(ids, None, n_folds=1, val_frac=.5).collect()
     assert {r["fold_index"] for r in single} == {None} and sum(r["role"] == "validation" for r in single) == 9
     for bad in (dict(split_seeds=[1]), dict(split_seeds=[1], train_seeds=[1, 2])):
@@ -271,7 +272,33 @@ def test_run_plans(spark):
             S.run_plans(ids, table, n_folds=3, **bad)
 
 
-@pytest.mark.parametrize("blocks", [1, 3, 16])
+@pytest.mark.parametrize("options", [dict(n_folds=3, split_seeds=[1, 2], train_seeds=[3, 4]), dict(n_folds=1, val_frac=.4)])
+def test_reports_from_folds(spark, options):
+    """Complement sums and leaks equal what the long plan says row by row."""
+    ids, table = frame(spark, {f"{g}{i}": g for g in "abcdefgh" for i in range(5)})
+    rows = [(r["id"], i, i % 3, i % 2, f"s{i % 2}" if i % 5 else None) for i, r in enumerate(ids.collect()) if i != 7]
+    support = spark.createDataFrame(rows, "id string, valid_residues long, positive_residues long, negative_residues long, label_shard string")
+    plan = S.fold_plan(ids, None, **options)
+    by_id, family = {r[0]: r for r in rows}, {r["id"]: r["group"] for r in table.collect()}
+    want, leaks, shards, families = {}, {}, {}, {}
+    for r in plan.runs().collect():
+        stats = by_id.get(r["id"], (None, 0, 0, 0, None))
+        for run, role in ((r["run_index"], r["role"]), *([(None, "all")] if r["run_index"] == 1 else [])):
+            cell = want.setdefault((run, role), [0, 0, 0, 0])
+            for k, v in enumerate((1, *stats[1:4])):
+                cell[k] += v
+        leaks.setdefault((r["run_index"], family[r["id"]]), set()).add(r["role"])
+        for counts, name in ((shards, stats[4] or "__missing_label__"), (families, family[r["id"]])):
+            key = (r["run_index"], r["role"], name)
+            counts[key] = counts.get(key, 0) + 1
+    got = {(r["run_index"], r["role"]): list(r[2:6]) for r in S.split_report(plan, support).collect()}
+    assert got == want
+    assert {tuple(r) for r in S.leaked_groups(plan, table).collect()} == {k for k, v in leaks.items() if len(v) == 2}
+    assert {tuple(r[:3]): r[3] for r in S.shard_counts(plan, support).collect()} == shards
+    assert {tuple(r[:3]): r[3] for r in S.family_counts(plan, table).collect()} == families
+
+
+@pytest.mark.parametrize("blocks", [1, 3, 16, 400])
 def test_ranks_with_hot_ties(spark, blocks):
     rng = random.Random(blocks)
     rows = [(0 if rng.random() < .4 else rng.randint(0, 50), f"n{i:04d}") for i in range(500)]
@@ -281,13 +308,24 @@ def test_ranks_with_hot_ties(spark, blocks):
     assert {r["n"]: r["rank"] for r in ranked} == want and {r["total_n"] for r in ranked} == {500}
 
 
-def test_prefix_sums_peek_across_blocks(spark):
+@pytest.mark.parametrize("blocks", [9, 300])
+def test_prefix_sums_peek_across_blocks(spark, blocks):
     table = spark.range(100).select(F.col("id"), (F.col("id") * 2).alias("v"))
-    rows = R.prefix_sums(table, [F.col("id")], {"v": F.col("v")}, n_blocks=9, peek=["v"]).orderBy("id").collect()
+    rows = R.prefix_sums(table, [F.col("id")], {"v": F.col("v")}, n_blocks=blocks, peek=["v"]).orderBy("id").collect()
     assert [r["cum_v"] for r in rows] == list(np.cumsum([2 * i for i in range(100)]))
     assert [r["next_v"] for r in rows] == [2 * i for i in range(1, 100)] + [None]
 
 
+@pytest.mark.parametrize("blocks", [200, 700])
+def test_blocks_are_even(spark, blocks):
+    """One or two levels of bounds: no block of distinct keys is far above its share, and blocks keep the order."""
+    table = spark.range(20_000).repartition(6).select((F.col("id") * F.col("id")).cast("double").alias("k"))
+    placed = R.numeric_bounds(table, F.col("k"), blocks).blocked(table, F.col("k"))
+    sizes = placed.groupBy("_block").agg(F.count("*").alias("n"), F.min("k").alias("low"), F.max("k").alias("high")).orderBy("_block").collect()
+    assert len(sizes) > .8 * blocks and max(r["n"] for r in sizes) < 4 * 20_000 / blocks
+    assert all(a["high"] < b["low"] for a, b in zip(sizes, sizes[1:]))
+
+
 def test_contiguous_chunks(spark):
     table = spark.createDataFrame([(c,) for c in "abcdefg"], "id string")
     got = {r["id"]: r["chunk"] for r in R.contiguous_chunks(table, [F.col("id")], 3).collect()}

@@ -205,6 +205,26 @@ def pr_curve_downsampled(spark, d):
     return M.downsample_curve(M.pr_points(rows, ["fold"], bounds=bounds), ["fold"], 100, bounds)
 
 
+def _distinct(spark, d):
+    """One score per line item: 48 bits of a digest of its key."""
+    digest = F.md5(F.concat_ws(":", "l_orderkey", "l_linenumber"))
+    p = F.conv(F.substring(digest, 1, 12), 16, 10).cast("bigint") / float(1 << 48)
+    return table(spark, d, "lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("y"), p.alias("p"))
+
+
+@query("ranking_metrics_distinct", "n_pos:i n_neg:i auc:d pr_auc:d pr_auc_trapz:d",
+       """WITH s AS (SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y,
+              CAST('0x' || substr(md5(l_orderkey || ':' || l_linenumber), 1, 12) AS BIGINT) AS p FROM lineitem),
+          c AS (SELECT p, CAST(sum(y) AS DOUBLE) AS pos, CAST(count(*) - sum(y) AS DOUBLE) AS neg FROM s GROUP BY p),
+          r AS (SELECT pos, neg, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER () AS n_pos, sum(neg) OVER () AS n_neg
+                FROM c WINDOW w AS (ORDER BY p DESC))
+          SELECT n_pos, n_neg, sum(neg * (tp - pos / 2)) / (n_pos * n_neg) AS auc, sum(pos * tp / (tp + fp)) / n_pos AS pr_auc,
+            sum(pos * (tp / (tp + fp) + CASE WHEN tp + fp > pos + neg THEN (tp - pos) / (tp + fp - pos - neg) ELSE 1 END) / 2) / n_pos AS pr_auc_trapz
+          FROM r GROUP BY n_pos, n_neg""")
+def ranking_metrics_distinct(spark, d):
+    return M.ranking_metrics(_distinct(spark, d))
+
+
 @query("weighted_log_loss", "fold:s loss:d n_valid:i",
        """WITH rows AS (SELECT l_linestatus AS fold, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y,
              (l_discount * 100 - 5) / 2 AS x FROM lineitem)

@@ -135,7 +135,7 @@ def _invariants(assigned, side):
 
 
 def seeded_plan(spark, d):
-    return S.run_plans(ids(spark, d), None, n_folds=3, split_seeds=[SEED, 8], train_seeds=[1, 2])
+    return S.fold_plan(ids(spark, d), None, n_folds=3, split_seeds=[SEED, 8], train_seeds=[1, 2])
 
 
 _SQL_PLAN = """folds AS (SELECT seed, sidx, tseed, o_orderkey AS id, (row_number() OVER (PARTITION BY seed
@@ -149,15 +149,14 @@ _SQL_PLAN = """folds AS (SELECT seed, sidx, tseed, o_orderkey AS id, (row_number
 @query("run_plan", "run_index:i set_index:i fold_index:i split_seed:i train_seed:i id:i role:s",
        f"WITH {_SQL_PLAN} SELECT * FROM plan")
 def run_plan(spark, d):
-    return seeded_plan(spark, d)
+    return seeded_plan(spark, d).runs()
 
 
 @query("leaked_families", "run_index:i group:s",
        f"""WITH {_SQL_PLAN} SELECT run_index, CAST(o_custkey AS VARCHAR) AS "group" FROM plan JOIN orders ON id = o_orderkey
            GROUP BY run_index, o_custkey HAVING count(DISTINCT role) = 2""")
 def leaked_families(spark, d):
-    plan = seeded_plan(spark, d).drop("group").join(families(spark, d), "id")
-    return S.leaked_groups(plan)
+    return S.leaked_groups(seeded_plan(spark, d), families(spark, d))
 
 
 @query("split_report",
@@ -176,7 +175,7 @@ def split_report(spark, d):
        f"""WITH {_SQL_PLAN} SELECT run_index, role, o_orderpriority AS family, count(*) AS n_ids
            FROM plan JOIN orders ON id = o_orderkey GROUP BY ALL""")
 def split_family_counts(spark, d):
-    return S.family_counts(_with_priority(spark, d), family="family")
+    return S.family_counts(seeded_plan(spark, d), _priorities(spark, d), family="family")
 
 
 @query("split_family_maps", "run_index:i role:s families:s",
@@ -184,14 +183,13 @@ def split_family_counts(spark, d):
              FROM plan JOIN orders ON id = o_orderkey GROUP BY ALL)
            SELECT run_index, role, string_agg(f || '=' || n, ',' ORDER BY f) AS families FROM c GROUP BY run_index, role""")
 def split_family_maps(spark, d):
-    maps = S.as_maps(S.family_counts(_with_priority(spark, d), family="family"), "family", "families")
+    maps = S.as_maps(S.family_counts(seeded_plan(spark, d), _priorities(spark, d), family="family"), "family", "families")
     pairs = F.transform(F.map_entries("families"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return maps.withColumn("families", F.array_join(pairs, ","))
 
 
-def _with_priority(spark, d):
-    names = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("family"))
-    return seeded_plan(spark, d).join(names, "id")
+def _priorities(spark, d):
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("family"))
 
 
 @query("split_shard_counts", "run_index:i role:s label_shard:s n_ids:i",

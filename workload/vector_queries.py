@@ -6,6 +6,8 @@ are sequences for the text-driven jobs, with letter codes as a toy embedding.
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -13,9 +15,11 @@ from spanforge.functions.stats import sigmoid
 from spanforge.operators import scoring as V
 from spanforge.operators import splits as S
 from spanforge.operators.intervals import window_spans
+from spanforge.plans.embed import embed_missing, read_index, stored_blocks, stored_vectors
 from spanforge.plans.predict import Predictor
 from spanforge.plans.train import cross_validate, ensemble_manifest, sweep
-from spanforge.session import cut_lineage
+from spanforge.session import cut_lineage, shared_folder
+from spanforge.sources.models import write_models
 from workload.registry import query, table
 from workload.text_queries import SQL_CLEAN, cleaned_documents
 
@@ -144,13 +148,27 @@ def embedding_job(spark, d):
     )
 
 
-@query("embedding_index", "id:i length:i embed_dim:i handle:s",
-       f"""WITH {_SQL_DOCS} SELECT id, length(s) AS length, 3 AS embed_dim,
-           CASE WHEN length(s) <= 1022 THEN 'short' ELSE 'long' END AS handle FROM docs WHERE length(s) > 0""")
+@query("embedding_index",
+       "id:s protein_id:s viral_family:s key_mode:s key_delimiter:s length:i embed_dim:i original_seq_len:i seq_len_feature:s handle:s model:s storage:s file_path:s total:d",
+       f"""WITH {_SQL_DOCS}, chars AS (SELECT id, length(s) AS n, unnest(range(0, length(s))) AS pos, s FROM docs),
+       placed AS (SELECT id, ascii(substr(s, pos + 1, 1)) + (CASE WHEN n <= 1022 THEN pos ELSE list_avg([pos - 900 * k
+           FOR k IN range(0, 1 + CAST(ceil((n - 1000) / 900.0) AS BIGINT)) IF pos >= 900 * k AND pos < 900 * k + 1000]) END) + n AS v FROM chars)
+       SELECT id || '-' || (id % 13) AS id, CAST(id AS VARCHAR) AS protein_id, CAST(id % 13 AS VARCHAR) AS viral_family, 'id-family' AS key_mode,
+         '-' AS key_delimiter, length(s) AS length, 3 AS embed_dim, length(s) AS original_seq_len, 'raw' AS seq_len_feature,
+         CASE WHEN length(s) <= 1022 THEN 'short' ELSE 'long' END AS handle, 'letters' AS model, 'parquet' AS storage,
+         CASE WHEN id % 3 = 0 THEN 'blocks/run=first' ELSE 'blocks/run=second' END AS file_path, total
+       FROM docs JOIN (SELECT id, sum(v) AS total FROM placed GROUP BY id) USING (id) WHERE length(s) > 0""")
 def embedding_index(spark, d):
-    docs = sequences(spark, d)
-    sizes = docs.select("id", F.length("sequence").alias("length")).filter("length > 0")
-    return V.vector_index(V.stitch(cut_lineage(V.embed_windows(docs, letter_codes)), sizes, feature="inverse"), feature="inverse")
+    """A first run embeds a third of the documents, a second one, given all, the rest."""
+    records = table(spark, d, "documents").select(
+        F.col("doc_id").alias("protein_id"), (F.col("doc_id") % 13).alias("family"), F.col("text").alias("sequence"))
+    store = f"{shared_folder(spark)}/vectors"
+    for run, rows in (("first", records.filter("protein_id % 3 = 0")), ("second", records)):
+        embed_missing(rows, letter_codes, store, run, feature="raw", model="letters")
+    vectors = stored_vectors(stored_blocks(spark, store))
+    totals = vectors.groupBy("id").agg(F.sum(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x)).alias("total"))
+    within = F.regexp_extract("file_path", "(blocks/run=[^/]*)$", 1)
+    return read_index(spark, store).withColumn("file_path", within).join(totals, "id")
 
 
 def predictor() -> Predictor:
@@ -175,6 +193,54 @@ def batch_prediction(spark, d):
     return results.withColumn("mask_digest", F.md5("binary_mask"))
 
 
+#: Members of the second set: cut letter, status, threshold in the manifest, and in the checkpoint.
+MEMBERS = (("N", "OK", 0.5, 0.9), ("A", "FAILED", 0.5, 0.5), ("M", "OK", 1.5, 0.9), ("O", "OK", None, None), ("A", "OK", 0.5, 0.5))
+
+
+def _artifact(spark) -> str:
+    """A model store, and a manifest of two sets that names its members."""
+    folder = shared_folder(spark)
+    models = {f"m{i}": {"head": {"blocks": [], "w": [1.0, 0.0], "b": -(ord(cut) - 0.5)}, "threshold": own} for i, (cut, _, _, own) in enumerate(MEMBERS)}
+    write_models(spark, f"{folder}/store", models)
+    members = [{"fold_index": i, "member_index": 9 - i, "status": status, "threshold": given, "checkpoint": f"{folder}/store/m{i}"}
+               for i, (_, status, given, _) in enumerate(MEMBERS)]
+    sets = [{"set_index": 1, "members": [members[4]]}, {"set_index": 2, "members": members[::-1]}]
+    text = json.dumps({"schema_version": 2, "sets": sets})
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{folder}/manifest.json")
+    return f"{folder}/manifest.json"
+
+
+def _manifest_sql(letters: str, members: int, needed: str, limits: str) -> str:
+    """Masks where the given letters are positive."""
+    return f"""WITH {_SQL_DOCS}, m AS (SELECT id, regexp_replace(regexp_replace(s, '[^{letters}]', '0', 'g'), '[{letters}]', '1', 'g') AS mask
+         FROM docs WHERE length(s) > 0)
+       SELECT id, 'D' || id AS header, length(mask) AS length, length(replace(mask, '0', '')) AS n_epitopes, 'ensemble-manifest' AS artifact_mode,
+         {members} AS n_members, {needed} AS votes_needed, '{limits}' AS member_thresholds, md5(mask) AS mask_digest FROM m"""
+
+
+_MANIFEST_SPEC = "id:i header:s length:i n_epitopes:i artifact_mode:s n_members:i votes_needed:i member_thresholds:s mask_digest:s"
+
+
+def _manifest_rows(spark, d, **options):
+    docs = table(spark, d, "documents").select(
+        F.col("doc_id").alias("id"), F.concat(F.lit("D"), F.col("doc_id")).alias("header"), F.col("text").alias("sequence"))
+    results, _ = Predictor.from_artifact(spark, _artifact(spark), letter_codes, set_index=2, **options).predict(docs)
+    limits = F.array_join(F.transform("member_thresholds", lambda t: t.cast("string")), " ")
+    return results.withColumns({"mask_digest": F.md5("binary_mask"), "member_thresholds": limits})
+
+
+@query("manifest_prediction", _MANIFEST_SPEC, _manifest_sql("O-Z", 3, "2", "0.5 0.9 0.5"))
+def manifest_prediction(spark, d):
+    """The first three usable members: from N on; from M on at 0.9 (the manifest's 1.5 is none), so from O on; from O on."""
+    return _manifest_rows(spark, d, k_folds=3)
+
+
+@query("manifest_prediction_mean", _MANIFEST_SPEC, _manifest_sql("N-Z", 4, "NULL", "0.6 0.6 0.6 0.6"))
+def manifest_prediction_mean(spark, d):
+    """All four members at an override of 0.6: their mean is 0.84 at O, 0.70 at N and 0.55 at M."""
+    return _manifest_rows(spark, d, aggregation="mean-prob", threshold=0.6)
+
+
 def labelled_vectors(spark, d):
     return table(spark, d, "embeddings").select(
         F.col("vec_id").alias("id"), F.col("embedding").alias("features"), (F.col("label") < 3).cast("int").alias("y")
