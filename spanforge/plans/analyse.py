@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,10 +31,18 @@ _COMPARISON = (
 
 
 def _documents(spark: SparkSession, base: str, name: str, schema: str) -> DataFrame:
-    """``(model, set_index, d, path)`` of one document kind below the base folder."""
-    parts = name.split("/")
-    raw = spark.read.text(base, wholetext=True, recursiveFileLookup=True, pathGlobFilter=parts[-1])
-    pattern = r"/([^/]+)/set_(\d+)/" + "/".join(parts).replace(".", r"\.") + "$"
+    """``(model, set_index, d)`` of one document kind below the base folder.
+
+    A document is a file ``base/<model>/set_NN/<name>`` or, as Spark's own sinks write it, a
+    folder of that name. Only such paths are listed, and none at all is an empty table.
+    """
+    try:
+        raw = spark.read.text(f"{base}/*/set_*/{name}", wholetext=True)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], f"model string, set_index int, d {schema}")
+    pattern = r"/([^/]+)/set_(\d+)/" + name.replace(".", r"\.") + r"(?:/[^/]+)?$"
     path = F.col("_metadata.file_path")
     return raw.filter(path.rlike(pattern)).select(
         F.regexp_extract(path, pattern, 1).alias("model"),

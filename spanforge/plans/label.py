@@ -24,7 +24,10 @@ class Labels:
     stats: DataFrame
 
     def write(self, path: str) -> None:
-        write_labels(self.segments, self.proteins, self.stats, path)
+        """Write all three; labels are painted once, and counted from what was written."""
+        self.segments.write.mode("overwrite").parquet(f"{path}/labels")
+        painted = self.segments.sparkSession.read.parquet(f"{path}/labels")
+        write_labels(None, self.proteins, class_stats(painted), path)
 
 
 def build_labels(

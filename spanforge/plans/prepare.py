@@ -186,7 +186,8 @@ def prepare_evaluation(
 
     Stages in order: missing bounds (rows), missing protein and ambiguous protein
     (distinct proteins), out-of-bounds (distinct codes; every row of such a code
-    goes). A non-positive peptide length fails the job.
+    goes). A non-positive peptide length fails the job, and so does the first stage
+    that leaves no row.
     """
     code_col = first_present(metadata, ["CodeName", "Code", "Sequence name"], "code")
     protein_col = first_present(metadata, ["SequenceAccession", "ProteinID", "ProteinAccession"], "protein id")
@@ -223,6 +224,7 @@ def prepare_evaluation(
     spread = F.col("reason").isNull() & F.coalesce(F.col("_bad"), F.lit(False))
     judged = judged.withColumn("example", F.when(spread, F.col("CodeName")).otherwise(F.col("example")))
     judged = judged.withColumn("reason", F.when(spread, "out_of_bounds_align").otherwise(F.col("reason")))
+    guard_stages(judged, ("missing_align", "missing_protein", "ambiguous_protein", "out_of_bounds_align"))
 
     kept = judged.filter(F.col("reason").isNull())
     meta = kept.select(
@@ -252,6 +254,18 @@ def prepare_evaluation(
     return EvaluationSubset(meta, targets, counts.join(examples, "reason"), length_summary(meta))
 
 
+def guard_stages(judged: DataFrame, stages: tuple[str, ...]) -> None:
+    """Raise at the first stage (reason) after which no row is left; one row of counts reaches the driver."""
+    counts = judged.agg(F.count(F.lit(1)).alias("left"), *[F.count_if(F.col("reason") == s).alias(s) for s in stages]).first()
+    left = counts["left"]
+    if not left:
+        raise ValueError("no rows match the selected codes")
+    for stage in stages:
+        left -= counts[stage]
+        if not left:
+            raise ValueError(f"no rows left after {stage}")
+
+
 def length_summary(meta: DataFrame) -> DataFrame:
     """Selection counts and peptide-length statistics."""
     return meta.agg(

@@ -65,9 +65,10 @@ def write_vectors(df: DataFrame, path: str, *, id_col: str = "protein_id", bucke
     ).parquet(path)
 
 
-def write_labels(segments: DataFrame, peptides: DataFrame, stats: DataFrame, path: str) -> None:
-    """Label store of one build: run-length labels, peptide lists and class counts."""
-    segments.write.mode("overwrite").parquet(f"{path}/labels")
+def write_labels(segments: DataFrame | None, peptides: DataFrame, stats: DataFrame, path: str) -> None:
+    """Label store of one build: run-length labels (None: written already), peptide lists and class counts."""
+    if segments is not None:
+        segments.write.mode("overwrite").parquet(f"{path}/labels")
     peptides.write.mode("overwrite").parquet(f"{path}/proteins")
     stats.write.mode("overwrite").parquet(f"{path}/class_stats")
 

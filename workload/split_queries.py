@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanforge.operators import splits as S
+from spanforge.operators.ranking import ordered_rank
+from spanforge.session import cut_lineage
 from workload import interval_queries as IQ
 from workload.registry import query, table
 
@@ -208,12 +210,21 @@ def missing_family_groups(spark, d):
     return S.missing_family_groups(ids(spark, d), known)
 
 
-@query("group_block_order", "id:i block_digest:s",
-       f"SELECT o_orderkey AS id, md5('{SEED}:' || o_custkey) AS block_digest FROM orders")
+def _placed(rows):
+    """0-based place of each row in the order that the rows stand in."""
+    numbered = cut_lineage(rows.withColumn("number", F.monotonically_increasing_id()))
+    return ordered_rank(numbered, [F.col("number")], out="place").withColumn("place", F.col("place") - 1)
+
+
+@query("group_block_order", "id:i block_digest:s place:i",
+       f"""SELECT o_orderkey AS id, md5('{SEED}:' || o_custkey) AS block_digest,
+             row_number() OVER (ORDER BY md5('{SEED}:' || o_custkey), o_custkey, o_orderkey) - 1 AS place FROM orders""")
 def group_block_order(spark, d):
-    return S.group_block_order(families(spark, d), SEED)
+    return _placed(S.group_block_order(families(spark, d), SEED))
 
 
-@query("locality_order", "id:i group:s", 'SELECT o_orderkey AS id, CAST(o_custkey AS VARCHAR) AS "group" FROM orders')
+@query("locality_order", "id:i group:s place:i",
+       """SELECT o_orderkey AS id, CAST(o_custkey AS VARCHAR) AS "group",
+            row_number() OVER (ORDER BY CAST(o_custkey AS VARCHAR), o_orderkey) - 1 AS place FROM orders""")
 def locality_order(spark, d):
-    return S.locality_order(families(spark, d))
+    return _placed(S.locality_order(families(spark, d)))
