@@ -14,7 +14,8 @@ from spanforge.operators import splits as S
 from spanforge.plans.analyse import analyse
 from spanforge.plans.evaluate import best_set, evaluate_ensemble
 from spanforge.plans.predict import Predictor, mask_records
-from spanforge.plans.train import cross_validate, ensemble_manifest
+from spanforge.operators import fits as L
+from spanforge.plans.train import cross_validate, drawn_trials, ensemble_manifest, plan_models, sweep, training_table
 from spanforge.streaming.predict_stream import predict_new_files
 from workload.vector_queries import letter_codes, predictor
 
@@ -172,7 +173,7 @@ def test_train_to_predict(spark, tmp_path):
     rng = np.random.default_rng(3)
     rows = [(i, (rng.normal(size=3) + (i % 4 == 0) * 2).tolist(), int(i % 4 == 0)) for i in range(120)]
     examples = spark.createDataFrame(rows, "id long, features array<double>, y int")
-    plan = S.run_plans(examples.select("id"), None, n_folds=2, split_seeds=[1, 2], train_seeds=[1, 2])
+    plan = S.fold_plan(examples.select("id"), None, n_folds=2, split_seeds=[1, 2], train_seeds=[1, 2])
     runs, scored = cross_validate(examples, plan)
     table = runs.collect()
     assert len(table) == 4 and all(r["Status"] == "OK" and r["AUC"] > .8 for r in table) and scored.count() == 240
@@ -242,3 +243,77 @@ def test_vote_needs_each_member_once(spark, rows):
     table = spark.createDataFrame(rows, "id string, pos long, member string, p double")
     with pytest.raises(Exception, match="members do not vote once each at s:0"):
         E.vote(table, {"a": .5, "b": .5}).collect()
+
+
+def test_fits_equal_single_ones(spark):
+    """Models fitted together are those that Spark's own fit finds one by one, for folds and for a holdout."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    rng = np.random.default_rng(12)
+    rows = [(i, (rng.normal(size=3) * [1, 5, .1]).tolist(), int(rng.random() < .25)) for i in range(300)]
+    examples = spark.createDataFrame(rows, "id long, features array<double>, y int").repartition(5)
+    for options in (dict(n_folds=3, split_seeds=[4, 5], train_seeds=[1, 2]), dict(n_folds=1, val_frac=.3)):
+        plan = S.fold_plan(examples.select("id"), None, **options)
+        table = training_table(examples, plan)
+        models = plan_models(plan, penalty=0.0) + plan_models(plan, penalty=.1, first=50)
+        fits, weights = L.fit_all(table, models)
+        assert all(f.converged for f in fits)
+        scored = {(r["model"], r["id"]): r["p"] for r in L.score_held_out(table, models, fits).collect()}
+        runs = plan.runs().collect()
+        for model, fit, weight in list(zip(models, fits, weights))[::3]:
+            side = {r["id"]: r["role"] for r in runs if r["run_index"] == (model.name - 1) % 50 + 1}
+            train = [r for r in rows if side[r[0]] == "train"]
+            pos = sum(r[2] for r in train)
+            assert weight == pytest.approx((len(train) - pos) / pos)
+            frame = spark.createDataFrame([(r[1], r[2], float(weight) if r[2] else 1.0) for r in train], "x array<double>, label int, w double")
+            own = LogisticRegression(weightCol="w", regParam=model.penalty, maxIter=200, tol=1e-12).fit(frame.select(array_to_vector("x").alias("features"), "label", "w"))
+            near = 1e-5 if model.penalty == 0 else 5e-3  # Spark takes the spread of a sample
+            assert np.allclose(own.coefficients.toArray(), fit.weights, rtol=near, atol=near) and own.intercept == pytest.approx(fit.bias, abs=near)
+            held = [r for r in rows if side[r[0]] == "validation"]
+            assert {i for m, i in scored if m == model.name} == {r[0] for r in held}
+            assert all(scored[model.name, r[0]] == pytest.approx(1 / (1 + np.exp(-(np.dot(r[1], fit.weights) + fit.bias)))) for r in held)
+    with pytest.raises(ValueError, match="nothing to fit"):
+        L.fit_all(table.limit(0), models)
+    with pytest.raises(ValueError, match="unknown parameters"):
+        cross_validate(examples, plan, params={"elasticNetParam": .5})
+
+
+def test_separable_rows_stop(spark):
+    """Without a penalty separable classes have no finite fit: the iterations end, the order is right."""
+    examples = spark.createDataFrame([(i, [float(i)], int(i >= 20)) for i in range(40)], "id long, features array<double>, y int")
+    plan = S.fold_plan(examples.select("id"), None, n_folds=2)
+    runs, scored = cross_validate(examples, plan, params={"regParam": 0.0, "maxIter": 15})
+    assert [(r["AUC"], r["BestEpoch"]) for r in runs.collect()] == [(1.0, 15)] * 2 and scored.filter("isnan(p)").count() == 0
+
+
+def test_holdout_rows(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    examples = spark.createDataFrame([(i, rng.normal(size=2).tolist(), i % 3 == 0 and 1 or 0) for i in range(60)], "id long, features array<double>, y int")
+    plan = S.fold_plan(examples.select("id"), None, n_folds=1, val_frac=.25, split_seeds=[4, 9], train_seeds=[1, 2])
+    rows = cross_validate(examples, plan, policy="fixed", fixed_threshold=.4, save_path=str(tmp_path))[0].orderBy("RunIndex").collect()
+    assert [(r["RunIndex"], r["TrainMode"], r["FoldIndex"], r["EnsembleSetIndex"], r["SplitSeed"], r["TrainSeed"], r["ValProteins"], r["TrainProteins"]) for r in rows] == [
+        (1, "seeded", None, None, 4, 1, 15, 45), (2, "seeded", None, None, 9, 2, 15, 45)]
+    assert {(r["Threshold"], r["ThresholdFixedValue"], r["ThresholdMinRecall"], r["CheckpointPath"]) for r in rows} == {
+        (.4, .4, None, f"{tmp_path}/run_00{k}") for k in (1, 2)}
+
+
+def test_sweep(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, (rng.normal(size=3) + (i % 4 == 0) * 2).tolist(), int(i % 4 == 0)) for i in range(120)]
+    examples = spark.createDataFrame(rows, "id long, features array<double>, y int")
+    plan = S.fold_plan(examples.select("id"), None, n_folds=2)
+    trials, best = sweep(examples, plan, {"regParam": [0.001, 10.0], "maxIter": [20, 30]})
+    rows = trials.orderBy("trial").collect()
+    assert [json.loads(r["params"]) for r in rows] == [{"regParam": a, "maxIter": b} for a in (.001, 10.0) for b in (20, 30)]
+    single = cross_validate(examples, plan, params={"regParam": .001})[0].agg(F.avg("PR_AUC")).first()[0]
+    assert rows[0]["score"] == pytest.approx(single) and best.first()["trial"] in range(4)
+    halved = sweep(examples, plan, {"regParam": ("log", 1e-4, 1e2), "maxIter": [25]}, n_trials=9, rungs=(2, 5, 20))[0].collect()
+    assert sorted((r["rung"], r["state"]) for r in halved) == [(1, "PRUNED")] * 6 + [(2, "PRUNED")] * 2 + [(3, "COMPLETE")]
+    assert drawn_trials({"a": ("uniform", 2, 3), "b": [1, 2]}, 5, 7) == drawn_trials({"a": ("uniform", 2, 3), "b": [1, 2]}, 5, 7)
+    assert all(2 <= t["a"] < 3 for t in drawn_trials({"a": ("uniform", 2, 3)}, 50, 1))
+    for bad in (dict(rungs=(5, 5)), dict(rungs=())):
+        with pytest.raises(ValueError):
+            sweep(examples, plan, {"regParam": [.1]}, **bad)
+    with pytest.raises(ValueError, match="number of trials"):
+        sweep(examples, plan, {"regParam": ("log", .1, 1)})

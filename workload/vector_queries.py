@@ -20,6 +20,7 @@ from spanforge.plans.predict import Predictor
 from spanforge.plans.train import cross_validate, ensemble_manifest, sweep
 from spanforge.session import cut_lineage, shared_folder
 from spanforge.sources.models import write_models
+from workload import score_queries as SQ
 from workload.registry import query, table
 from workload.text_queries import SQL_CLEAN, cleaned_documents
 
@@ -248,12 +249,62 @@ def labelled_vectors(spark, d):
 
 
 def _folds(spark, d):
-    return S.run_plans(labelled_vectors(spark, d).select("id"), None, n_folds=3, seed=11)
+    return S.fold_plan(labelled_vectors(spark, d).select("id"), None, n_folds=3, seed=11)
+
+
+def _priorities(spark, d):
+    """Orders with their priority as indicators: a model of these has a closed form."""
+    g = F.substring("o_orderpriority", 1, 1).cast("int")
+    y = ((F.col("o_orderkey") * 7919) % 100 < 5 + 8 * g).cast("int")
+    return table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("id"), F.array(*[(g == k).cast("double") for k in range(1, 5)]).alias("features"), y.alias("y"))
+
+
+def _priority_plan(spark, d):
+    return S.fold_plan(_priorities(spark, d).select("id"), None, n_folds=3, seed=11)
+
+
+#: Maximum likelihood of a saturated model: the weighted share of positives of each priority.
+_SQL_RUNS = f"""o AS (SELECT *, CASE WHEN (id * 7919) % 100 < 5 + 8 * g THEN 1 ELSE 0 END AS y FROM (
+      SELECT o_orderkey AS id, CAST(left(o_orderpriority, 1) AS INT) AS g,
+        (row_number() OVER (ORDER BY md5('11:' || o_orderkey), o_orderkey) - 1) % 3 + 1 AS own FROM orders)),
+    tr AS (SELECT f AS run, g, sum(y) AS pos, count(*) - sum(y) AS neg FROM o CROSS JOIN range(1, 4) AS r(f) WHERE own <> f GROUP BY f, g),
+    weights AS (SELECT run, sum(pos) AS pos, sum(neg) AS neg, sum(neg) / CAST(sum(pos) AS DOUBLE) AS w FROM tr GROUP BY run),
+    fit AS (SELECT run, g, w * tr.pos / (w * tr.pos + tr.neg) AS p FROM tr JOIN weights USING (run)),
+    scored AS (SELECT run AS fold, y, p FROM o JOIN fit ON own = run AND o.g = fit.g),
+    counts AS (SELECT fold, p AS threshold, count(*) FILTER (WHERE y = 1) AS pos, count(*) FILTER (WHERE y <> 1) AS neg FROM scored GROUP BY fold, p),
+    points AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY fold) AS n_pos,
+                 sum(neg) OVER (PARTITION BY fold) AS n_neg FROM counts WINDOW w AS (PARTITION BY fold ORDER BY threshold DESC)),
+    {SQ.SQL_CANDIDATES},
+    pick AS ({SQ._pick("max-recall-min-precision", "CASE WHEN precision >= 0.25 THEN 1 ELSE 0 END DESC, "
+             "CASE WHEN precision >= 0.25 THEN recall ELSE precision END DESC, CASE WHEN precision >= 0.25 THEN precision ELSE threshold END DESC, threshold DESC",
+             "CASE WHEN precision >= 0.25 THEN 'ok' ELSE 'min_precision_unreachable' END")}),
+    ranked AS (SELECT fold, sum(CAST(neg AS DOUBLE) * (tp - pos / 2.0)) / (CAST(max(n_pos) AS DOUBLE) * max(n_neg)) AS auc,
+                 sum(CAST(pos AS DOUBLE) * tp / (tp + fp)) / max(n_pos) AS pr_auc FROM points GROUP BY fold),
+    loss AS (SELECT fold, avg(CASE WHEN y = 1 THEN -w * ln(p) ELSE -ln(1 - p) END) AS loss FROM scored JOIN weights ON run = fold GROUP BY fold)"""
+
+
+@query("cross_validated_runs",
+       "RunIndex:i TrainMode:s EnsembleSetIndex:i FoldIndex:i NFolds:i SplitSeed:i TrainProteins:i TrainPosResidues:i TrainNegResidues:i ValProteins:i "
+       "ValPosResidues:i ValPositiveRate:d BestMetricKey:s BestMetricValue:d BestValLoss:d Threshold:d ThresholdStatus:s ThresholdMinPrecision:d "
+       "ThresholdPredPosFrac:d PR_AUC:d F1:d MCC:d AUC:d Status:s n_columns:i",
+       f"""WITH {_SQL_RUNS} SELECT pick.fold AS RunIndex, 'ensemble-kfold' AS TrainMode, 1 AS EnsembleSetIndex, pick.fold AS FoldIndex, 3 AS NFolds, 11 AS SplitSeed,
+             weights.pos + weights.neg AS TrainProteins, weights.pos AS TrainPosResidues, weights.neg AS TrainNegResidues, tp + fp + tn + fn AS ValProteins,
+             tp + fn AS ValPosResidues, (tp + fn) / CAST(tp + fp + tn + fn AS DOUBLE) AS ValPositiveRate, 'pr_auc' AS BestMetricKey, pr_auc AS BestMetricValue,
+             loss AS BestValLoss, threshold AS Threshold, status AS ThresholdStatus, 0.25 AS ThresholdMinPrecision,
+             (tp + fp) / CAST(tp + fp + tn + fn AS DOUBLE) AS ThresholdPredPosFrac, pr_auc AS PR_AUC, f1 AS F1, mcc AS MCC, auc AS AUC, 'OK' AS Status, 51 AS n_columns
+           FROM pick JOIN ranked USING (fold) JOIN loss USING (fold) JOIN weights ON run = fold""")
+def cross_validated_runs(spark, d):
+    """Three runs fitted together, against the closed form of their model."""
+    rows, _ = cross_validate(_priorities(spark, d), _priority_plan(spark, d), params={"regParam": 0.0})
+    return rows.withColumn("n_columns", F.lit(len(rows.columns)))
 
 
-@query("cross_validated_runs", "RunIndex:i FoldIndex:i Threshold:d ThresholdStatus:s PR_AUC:d F1:d MCC:d AUC:d Status:s")
-def cross_validated_runs(spark, d):
-    return cross_validate(labelled_vectors(spark, d), _folds(spark, d))[0]
+@query("cross_validated_scores", "run_index:i y:i p:d n:i",
+       f"WITH {_SQL_RUNS} SELECT fold AS run_index, y, round(p, 8) AS p, count(*) AS n FROM scored GROUP BY fold, y, round(p, 8)")
+def cross_validated_scores(spark, d):
+    scored = cross_validate(_priorities(spark, d), _priority_plan(spark, d), params={"regParam": 0.0})[1]
+    return scored.groupBy("run_index", "y", F.round("p", 8).alias("p")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("cross_validation_coverage", "n_scored:i n_ids:i n_runs:i",
@@ -264,13 +315,25 @@ def cross_validation_coverage(spark, d):
                       F.count_distinct("run_index").alias("n_runs"))
 
 
-@query("ensemble_manifest", "value:s")
+@query("ensemble_manifest", "schema_version:i n_folds:i n_members:i n_valid_members:i metric:s member:i checkpoint:s fold_index:i threshold:d best:d status:s",
+       f"""WITH {_SQL_RUNS} SELECT 1 AS schema_version, 3 AS n_folds, 3 AS n_members, 3 AS n_valid_members, 'pr_auc' AS metric, fold AS member,
+             'run_00' || fold AS checkpoint, fold AS fold_index, threshold, pr_auc AS best, 'OK' AS status FROM pick JOIN ranked USING (fold)""")
 def manifest(spark, d):
-    rows, _ = cross_validate(labelled_vectors(spark, d), _folds(spark, d))
-    return ensemble_manifest(rows, n_folds=3, policy="max-recall-min-precision", metric="pr_auc")
-
-
-@query("parameter_sweep", "trial:i params:s score:d state:s")
+    """The manifest document of the runs, taken apart again."""
+    rows, _ = cross_validate(_priorities(spark, d), _priority_plan(spark, d), params={"regParam": 0.0})
+    document = ensemble_manifest(rows, n_folds=3, policy="max-recall-min-precision", metric="pr_auc")
+    member = "struct<member_index:int,fold_index:int,checkpoint:string,threshold:double,best_metric_value:double,status:string>"
+    schema = f"struct<schema_version:int,n_folds:int,n_members:int,n_valid_members:int,best_model_metric:string,members:array<{member}>>"
+    parsed = document.select(F.from_json("value", schema).alias("m")).select("m.*")
+    return parsed.select("schema_version", "n_folds", "n_members", "n_valid_members", F.col("best_model_metric").alias("metric"), F.explode("members").alias("x")).select(
+        "*", F.col("x.member_index").alias("member"), "x.checkpoint", "x.fold_index", "x.threshold", F.col("x.best_metric_value").alias("best"), "x.status")
+
+
+@query("parameter_sweep", "trial:i score:d state:s rung:i rivals:i n_params:i",
+       f"""WITH {_SQL_RUNS}, m AS (SELECT avg(pr_auc) AS score FROM ranked)
+           SELECT trial, score, CASE WHEN trial < 2 THEN 'COMPLETE' ELSE 'PRUNED' END AS state, CASE WHEN trial < 2 THEN 2 ELSE 1 END AS rung,
+             CASE WHEN trial < 2 THEN 2 ELSE 6 END AS rivals, 1 AS n_params FROM m CROSS JOIN range(6) AS r(trial)""")
 def parameter_sweep(spark, d):
-    plan = S.run_plans(labelled_vectors(spark, d).select("id"), None, n_folds=2, seed=11)
-    return sweep(labelled_vectors(spark, d), plan, {"regParam": [0.001, 0.1]})[0]
+    """Six drawn penalties, all too small to change the order of five priorities: all tie, two go on by their number."""
+    rows, _ = sweep(_priorities(spark, d), _priority_plan(spark, d), {"regParam": ("log", 1e-8, 1e-6)}, n_trials=6, rungs=(4, 20))
+    return rows.withColumn("n_params", F.size(F.from_json("params", "map<string,double>")))
