@@ -1,15 +1,16 @@
 """WARC archives from and to a chunked record table.
 
 A payload is written as rows of (record, chunk number, chunk): the first chunk is the
-response record, each further one a continuation record (the format's own way to cut
-large records), so a writer or reader holds one chunk, never a whole record. Every
-segment carries the running SHA-256 up to its end; the last one is the payload's digest.
-Of records with equal payloads the first is the response, the others are revisits
-without a body.
+response record, each further one a continuation record of its own id that names the first
+one (the format's way to cut large records; the last gives the total length). A reader holds
+one chunk, never a whole record; a writer holds the column value that Spark hands it and its
+UTF-8 bytes, from which it cuts one chunk at a time. Every segment carries the running SHA-256
+up to its end; the last one is the payload's digest. Of records with equal payloads the first
+is the response, the others are revisits without a body that refer to its record id.
 
 Chunks end at character borders, and no chunk holds the line that opens a record: where
-a payload has it, the chunk ends inside it. Spark's text reader can therefore split an
-archive at that line alone.
+a payload has it, the chunk ends inside it, so that line alone parts the records. Archives
+are gzip files of one stream each, read by one task each.
 
 Cases: a null payload is empty; a null url is an empty target; rows that are equal in
 id and payload are written alike (all responses if the first one is); null ids count as
@@ -30,6 +31,9 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 1 << 20
 MIN_REVISIT_BYTES = 100
 OPENING = "WARC/1.1\r\nWARC-Type: "
+#: Fixed values of the format: the profile of a revisit, and a date where the source has none.
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+NO_DATE = "1970-01-01T00:00:00Z"
 _CUT = OPENING.encode()
 
 
@@ -64,8 +68,19 @@ def chunks(payload: bytes, size: int) -> Iterator[bytes]:
         yield b""
 
 
-def write_warc(records: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES) -> None:
-    """Writes gzip-compressed archives; each task writes one."""
+def write_warc(records: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES, date: str = NO_DATE) -> None:
+    """Writes gzip-compressed archives; each task writes one. ``date`` is that of all records."""
+
+    def headers(name: str, target: str, size: int, kind: str, refers, digest: str, number: int, last: bool) -> list[str]:
+        own = f"<urn:page:{name}:{digest}>"
+        if number > 1:
+            head = [OPENING + "continuation", f"WARC-Record-ID: <urn:page:{name}:{digest}:{number}>", f"WARC-Date: {date}", f"WARC-Segment-Origin-ID: {own}"]
+            total = [f"WARC-Segment-Total-Length: {size}"] if last else []
+            return head + [f"WARC-Segment-Number: {number}", *total]
+        head = [OPENING + kind, f"WARC-Record-ID: {own}", f"WARC-Date: {date}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {size}"]
+        if refers is not None:  # an equal payload, so an equal digest
+            head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{refers}:{digest}>"]
+        return head + ([] if last else ["WARC-Segment-Number: 1"])
 
     def segments(batches):
         out: list[bytes] = []
@@ -81,16 +96,15 @@ def write_warc(records: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES) ->
                 else:
                     parts = chunks(columns[2][row].as_py().encode(), chunk_bytes)
                 running = hashlib.sha256()
-                for number, part in enumerate(parts, 1):
+                part, number = next(parts), 0
+                while part is not None:
+                    following, number = next(parts, None), number + 1
                     running.update(part)
-                    head = [OPENING + (kind if number == 1 else "continuation"), f"WARC-Record-ID: <urn:page:{name}:{digest}>", f"WARC-Segment-Number: {number}"]
-                    if number == 1:
-                        head += [f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {size}"]
-                    if refers is not None:
-                        head.append(f"WARC-Refers-To: <urn:page:{refers}>")
+                    head = headers(name, target, size, kind, refers, digest, number, following is None)
                     head += [f"X-Running-Digest: sha256:{running.hexdigest()}", f"Content-Length: {len(part)}"]
                     out.append("\r\n".join(head).encode() + b"\r\n\r\n" + part + b"\r\n")
                     held += len(out[-1])
+                    part = following
                     if held > 8 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string())], ["value"])
                         out, held = [], 0
@@ -114,10 +128,11 @@ def read_segments(spark, path: str) -> DataFrame:
 
     # the last piece of a file keeps the blank line that other pieces keep, too: each ends in CRLF CRLF
     return pieces.select(value, head.alias("head")).select(
-        F.regexp_extract("head", "^([a-z]+)", 1).alias("record_type"), field("WARC-Record-ID", "<urn:page:(.*):[0-9a-f]{64}>").alias("record_id"), field("WARC-Record-ID", "<([^\r]*)>").alias("name"),
-        field("WARC-Segment-Number", "([0-9]+)").cast("int").alias("segment"), field("WARC-Target-URI", "([^\r]*)").alias("target"),
+        F.regexp_extract("head", "^([a-z]+)", 1).alias("record_type"), field("WARC-Record-ID", "<urn:page:(.*):[0-9a-f]{64}(?::[0-9]+)?>").alias("record_id"),
+        F.coalesce(field("WARC-Segment-Origin-ID", "<([^\r]*)>"), field("WARC-Record-ID", "<([^\r]*)>")).alias("name"),
+        F.coalesce(field("WARC-Segment-Number", "([0-9]+)").cast("int"), F.lit(1)).alias("segment"), field("WARC-Target-URI", "([^\r]*)").alias("target"),
         field("WARC-Payload-Digest", "sha256:([0-9a-f]+)").alias("declared"), field("X-Payload-Length", "([0-9]+)").cast("long").alias("payload_length"),
-        field("WARC-Refers-To", "<urn:page:([^>]*)>").alias("refers_to"), field("X-Running-Digest", "sha256:([0-9a-f]+)").alias("running"),
+        field("WARC-Refers-To", "<urn:page:(.*):[0-9a-f]{64}>").alias("refers_to"), field("X-Running-Digest", "sha256:([0-9a-f]+)").alias("running"),
         field("Content-Length", "([0-9]+)").cast("long").alias("length"), body.alias("body"))
 
 

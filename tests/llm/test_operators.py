@@ -1,5 +1,6 @@
 """The ten operators against brute force, and their edge cases."""
 
+import gzip
 import hashlib
 import random
 import re
@@ -457,6 +458,10 @@ def test_chunks_cut_at_characters_and_openings():
     assert list(warc.chunks(b"", 5)) == [b""]
 
 
+def warc_segments(text):
+    return list(warc.chunks(text.encode(), 1000))
+
+
 def test_warc_round_trip(spark, tmp_path):
     same, long = "s" * 100, "line\r\n\r\n" * 400 + warc.OPENING + "ü" * 3000
     pages = [(1, "http://a\r\nb", same), (2, None, same), (3, "u", None), (4, "u", ""), (5, "u", "short"), (6, "u", "short"),
@@ -470,5 +475,14 @@ def test_warc_round_trip(spark, tmp_path):
         again = html == same and i != 1
         want.append(("null" if i is None else str(i), len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if again else "response", "1" if again else ""))
     assert got == sorted(want)
+    # fields that the format asks for, and references that resolve
+    texts = [gzip.open(f, "rt", newline="").read() for f in (tmp_path / "w").glob("part-*.gz")]
+    heads = [dict(line.split(": ", 1) for line in f"WARC-Type: {piece}".split("\r\n\r\n")[0].split("\r\n")) for t in texts for piece in t.split(warc.OPENING)[1:]]
+    ids = {h["WARC-Record-ID"]: h for h in heads}
+    assert len(ids) == len(heads) - len(warc_segments(long)) and all({"WARC-Date", "Content-Length", "WARC-Type"} <= h.keys() for h in heads)
+    assert all(ids[h["WARC-Refers-To"]]["WARC-Type"] == "response" and "WARC-Profile" in h for h in heads if h["WARC-Type"] == "revisit")
+    parts = [h for h in heads if h["WARC-Type"] == "continuation"]
+    assert all(ids[h["WARC-Segment-Origin-ID"]]["WARC-Segment-Number"] == "1" for h in parts) and any("WARC-Segment-Total-Length" in h for h in parts)
+    assert sum("WARC-Segment-Total-Length" in h for h in parts) == sum(h.get("WARC-Segment-Number") == "1" for h in heads)
     warc.write_warc(warc.with_records(frame.filter("page_id < 0")), str(tmp_path / "e"))
     assert warc.read_warc(spark, str(tmp_path / "e")).count() == 0
