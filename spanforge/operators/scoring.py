@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from spanforge.functions.text import length_feature
 from spanforge.operators.intervals import window_spans
+from spanforge.session import cut_lineage
 
 # Longest input in tokens, and the window geometry beyond it.
 MAX_TOKENS = 1022
@@ -283,46 +284,116 @@ def score_dense(vectors: DataFrame, heads: Mapping[str, Mapping]) -> DataFrame:
     return by_member(score_members(vectors, heads), list(heads))
 
 
-def score_members_conv(
-    vectors: DataFrame, lengths: DataFrame, heads: Mapping[str, Mapping], *, block: int = 4096
-) -> DataFrame:
+class _Run:
+    """Consecutive positions of one id, scored as they come in, ``block`` rows at a time."""
+
+    def __init__(self, owner, kind: pa.DataType, first: int, open_start: bool, heads: Sequence[Mapping], reach: int) -> None:
+        self.owner, self.kind, self.heads, self.reach, self.open_start = owner, kind, heads, reach, open_start
+        self.at = first  # position of the first row held
+        self.rows: list[np.ndarray] = []
+        self.held = self.done = 0  # rows held, and those of them that are finished or left to the border
+
+    def add(self, rows: np.ndarray) -> None:
+        self.rows.append(rows)
+        self.held += len(rows)
+
+    def next(self) -> int:
+        return self.at + self.held
+
+    def score(self, last: bool, open_end: bool):
+        """(first position, probabilities) of what can be finished now; keeps what later rows need."""
+        x = np.concatenate(self.rows)
+        begin = min(self.reach, self.held) if self.open_start and not self.done else self.done
+        end = self.held if last and not open_end else max(begin, self.held - self.reach)
+        out = None
+        if begin < end:
+            inside = np.ones(self.held)
+            ps = np.stack([
+                sigmoid_of(dense_forward(np.concatenate([x, conv_features(x, h["conv"], inside)], axis=1)[begin:end], h)) for h in self.heads], axis=1)
+            out = (self.at + begin, ps)
+        drop = max(0, end - 2 * self.reach)
+        self.rows, self.at, self.held, self.done = [x[drop:]], self.at + drop, self.held - drop, end - drop
+        self.open_start = self.open_start and drop == 0
+        return out
+
+
+def score_members_conv(vectors: DataFrame, heads: Mapping[str, Mapping], *, block: int = 4096) -> DataFrame:
     """``(id, pos, ps)`` of conv-context heads (``{"conv": [...], **dense head}``).
 
-    Positions are grouped in blocks that borrow the neighbours the stacked
-    kernels reach, so a group holds ``block + 2 x reach`` rows whatever the
-    sequence length, and the result does not depend on the block size.
+    Positions are cut into ranges of (id, position), one shuffle, and a task scores its
+    ranges as a stream of ``block`` rows, whatever the length of a sequence. Only rows within
+    twice the kernels' reach of a border between ranges are passed on; there the positions
+    next to the border are scored. Positions of an id follow each other without gaps; a gap
+    ends a sequence.
     """
     chosen = list(heads.values())
     reach = max(map(kernel_reach, chosen))
     if reach >= block:
         raise ValueError("block must exceed the reach of the kernels")
-    sized = vectors.select(
-        "id", F.col("pos").cast("bigint").alias("pos"), F.col("vec").cast("array<double>").alias("vec")
-    ).join(lengths.select("id", F.col("length").cast("bigint").alias("length")), "id")
-    near = F.sequence(F.greatest(F.lit(0), F.floor((F.col("pos") - reach) / block)), F.floor((F.col("pos") + reach) / block))
-    spread = sized.withColumn("_b", F.explode(near))
     id_type = _sql_type(vectors, "id")
+    strip = 2 * reach
 
-    def run(group: pa.Table) -> pa.Table:
-        pos = group.column("pos").to_numpy()
-        b, length = group.column("_b")[0].as_py(), group.column("length")[0].as_py()
-        vec = _matrix(group.column("vec"))
-        low, size = b * block - reach, block + 2 * reach
-        x = np.zeros((size, vec.shape[1]))
-        x[pos - low] = vec
-        where = np.arange(low, low + size)
-        inside = ((where >= 0) & (where < length)).astype(float)
-        own = np.sort(pos[pos // block == b])
-        ps = np.stack([
-            sigmoid_of(dense_forward(np.concatenate([x, conv_features(x, head["conv"], inside)], axis=1)[own - low], head))
-            for head in chosen
-        ], axis=1) if len(own) else np.zeros((0, len(chosen)))
-        ids = pa.array([group.column("id")[0].as_py()] * len(own), group.column("id").type)
-        return pa.table([ids, pa.array(own), _vector_list(ps)], ["id", "pos", "ps"])
-
-    return spread.groupBy("id", "_b").applyInArrow(run, f"id {id_type}, pos bigint, ps array<double>")
-
-
-def score_conv(vectors: DataFrame, lengths: DataFrame, heads: Mapping[str, Mapping], *, block: int = 4096) -> DataFrame:
+    def stream(batches: Iterator[pa.RecordBatch], whole: bool):
+        """Runs of the sorted rows: yields (what, run or rows). ``whole``: a run's ends are its sequence's ends."""
+        run, before = None, True
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            ids, pos, x = batch.column("id").to_pylist(), batch.column("pos").to_numpy(), _matrix(batch.column("vec"))
+            cuts = [i for i in range(1, len(ids)) if ids[i] != ids[i - 1] or pos[i] != pos[i - 1] + 1]
+            for low, high in zip([0, *cuts], [*cuts, len(ids)]):
+                if run is None or run.owner != ids[low] or run.next() != pos[low]:
+                    if run is not None:
+                        yield run, True, False
+                    run = _Run(ids[low], batch.column("id").type, int(pos[low]), before and not whole and pos[low] > 0, chosen, reach)
+                    before = False
+                for at in range(low, high, block):
+                    run.add(x[at : min(at + block, high)])
+                    if run.held >= block + strip:
+                        yield run, False, False
+        if run is not None:
+            yield run, True, not whole
+
+    def rows(run: _Run, first: int, ps=None, vec=None, pending=None) -> pa.RecordBatch:
+        n = len(ps) if ps is not None else len(vec)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([run.owner] * n, run.kind), pa.array(first + np.arange(n)), _vector_list(ps) if ps is not None else pa.nulls(n, pa.list_(pa.float64())),
+             _vector_list(vec) if vec is not None else pa.nulls(n, pa.list_(pa.float64())), pa.array(pending if pending is not None else np.zeros(n, bool))],
+            ["id", "pos", "ps", "vec", "pending"])
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run, last, open_end in stream(batches, False):
+            both = False
+            if run.open_start and reach:  # still whole: no row has been let go
+                x = np.concatenate(run.rows)
+                both = last and open_end and run.held <= 2 * strip
+                head = x if both else x[:strip]
+                near = np.arange(len(head))
+                pending = (near < reach) | (near >= run.held - reach if last and open_end else False)
+                yield rows(run, run.at, vec=head, pending=pending)
+            found = run.score(last, open_end)
+            if found:
+                yield rows(run, found[0], ps=found[1])
+            if last and open_end and reach and not both:
+                tail = np.concatenate(run.rows)[-strip:]
+                yield rows(run, run.next() - len(tail), vec=tail, pending=np.arange(len(tail)) >= len(tail) - reach)
+
+    def borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run, last, _ in stream(batches, True):
+            found = run.score(last, False)
+            if found:
+                yield rows(run, found[0], ps=found[1]).select(["id", "pos", "ps"])
+
+    narrow = vectors.select("id", F.col("pos").cast("bigint").alias("pos"), F.col("vec").cast("array<double>").alias("vec"))
+    cut = narrow.repartitionByRange("id", "pos").sortWithinPartitions("id", "pos")
+    schema = f"id {id_type}, pos bigint, ps array<double>"
+    done = cut_lineage(cut.mapInArrow(ranges, f"{schema}, vec array<double>, pending boolean"))
+    strips = done.filter(F.col("vec").isNotNull())
+    near = strips.select("id", "pos", "vec").repartition("id").sortWithinPartitions("id", "pos").mapInArrow(borders, schema)
+    waiting = strips.filter("pending").select("id", "pos")
+    return done.filter(F.col("ps").isNotNull()).select("id", "pos", "ps").unionByName(near.join(waiting, ["id", "pos"]))
+
+
+def score_conv(vectors: DataFrame, heads: Mapping[str, Mapping], *, block: int = 4096) -> DataFrame:
     """``(id, pos, member, p)`` of conv-context heads."""
-    return by_member(score_members_conv(vectors, lengths, heads, block=block), list(heads))
+    return by_member(score_members_conv(vectors, heads, block=block), list(heads))

@@ -101,7 +101,7 @@ class Predictor:
         lengths = cleaned.select("id", F.length("sequence").cast("bigint").alias("length")).filter("length > 0")
         vectors = stitch(windows, lengths, feature=self.length_feature)
         if any("conv" in h for h in self.heads.values()):
-            scores = score_members_conv(vectors, lengths, self.heads)
+            scores = score_members_conv(vectors, self.heads)
         else:
             scores = score_members(vectors, self.heads)
         blank = cleaned.filter(F.length("sequence") == 0).select("id", F.lit("empty after cleaning").alias("error"))

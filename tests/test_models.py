@@ -147,14 +147,38 @@ def test_conv_block_size_does_not_matter(spark):
             "w": rng.normal(size=4).tolist(), "b": .2}
     x = rng.normal(size=(37, 2))
     vectors = spark.createDataFrame([("s", i, v.tolist()) for i, v in enumerate(x)], "id string, pos long, vec array<double>")
-    lengths = spark.createDataFrame([("s", 37)], "id string, length long")
     local = V.conv_features(x, conv, np.ones(37))
     want = V.sigmoid_of(V.dense_forward(np.concatenate([x, local], axis=1), head))
     for block in (4, 10, 64):
-        rows = V.score_conv(vectors, lengths, {"m": head}, block=block).orderBy("pos").collect()
+        rows = V.score_conv(vectors, {"m": head}, block=block).orderBy("pos").collect()
         assert [r["pos"] for r in rows] == list(range(37)) and np.allclose([r["p"] for r in rows], want)
 
 
+@pytest.mark.parametrize("partitions", [1, 7, 40])
+def test_conv_across_range_borders(spark, partitions):
+    """Ranges that cut sequences anywhere, also shorter than the kernels' reach, change no score."""
+    rng = np.random.default_rng(partitions)
+    conv = [{"w": rng.normal(size=(3, 2, 5)), "b": rng.normal(size=3)}, {"w": rng.normal(size=(2, 3, 3)), "b": rng.normal(size=2)}]
+    heads = {"m": {"conv": conv, "blocks": [], "w": rng.normal(size=4), "b": .2}, "n": {"conv": conv[:1], "blocks": [], "w": rng.normal(size=5), "b": -.1}}
+    xs = {i: rng.normal(size=(n, 2)) for i, n in enumerate((1, 2, 5, 90, 3, 40, 6, 7, 130, 1))}
+    rows = [(i, p, v.tolist()) for i, x in xs.items() for p, v in enumerate(x)]
+    vectors = spark.createDataFrame(rows, "id int, pos long, vec array<double>").repartition(3)
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": str(partitions)}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = {(r["id"], r["pos"]): r["ps"] for r in V.score_members_conv(vectors, heads, block=8).collect()}
+        count = V.score_members_conv(vectors, heads, block=8).count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert count == len(got) == len(rows)
+    for i, x in xs.items():
+        want = [V.sigmoid_of(V.dense_forward(np.concatenate([x, V.conv_features(x, h["conv"], np.ones(len(x)))], axis=1), h)) for h in heads.values()]
+        assert np.allclose([got[i, p] for p in range(len(x))], np.stack(want, axis=1))
+
+
 def test_evaluate_ensemble(spark):
     rng = np.random.default_rng(1)
     rows = [("s", i, str(m), int(i % 3 == 0), float(np.clip(.3 * (i % 3 == 0) + .6 * rng.random(), 0, 1))) for i in range(90) for m in (1, 2, 3)]

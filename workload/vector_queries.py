@@ -35,10 +35,6 @@ def vectors(spark, d):
     )
 
 
-def vector_lengths(spark, d):
-    return vectors(spark, d).groupBy("id").agg((F.max("pos") + 1).alias("length"))
-
-
 SQL_VEC = """vec AS (SELECT vec_id // 50 AS id, vec_id % 50 AS pos, [CAST(x AS DOUBLE) FOR x IN embedding] AS v, label FROM embeddings)"""
 _SQL_LINEAR = "(list_sum([v[i] * ((i - 33) / 16.0) FOR i IN range(1, 65)]) + 0.25)"
 
@@ -102,7 +98,7 @@ CONV_HEAD = {
               FROM c1 WINDOW w AS (PARTITION BY id ORDER BY pos))
        SELECT id, pos, 1 / (1 + exp(-(0.01 * s + 0.5 * a - 0.25 * b))) AS p FROM c2""")
 def conv_scores(spark, d):
-    return V.score_conv(vectors(spark, d), vector_lengths(spark, d), {"conv": CONV_HEAD}, block=16)
+    return V.score_conv(vectors(spark, d), {"conv": CONV_HEAD}, block=16)
 
 
 @query("stitched_vectors", "id:i pos:i n_windows:i first:d total:d",
