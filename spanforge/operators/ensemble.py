@@ -290,8 +290,8 @@ def best_trial(trials: DataFrame, *, score: str = "score", state: str = "state")
 def fold_curves(runs: DataFrame, curves: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Best-epoch curve of each (set, fold) and a warning row for every run left out.
 
-    The first run of a fold by run index counts; it must be OK with an epoch >= 0
-    and that epoch's curve must exist.
+    The first usable run of a fold by run index counts: it is OK, has an epoch >= 0,
+    and that epoch's curve exists.
     """
     fold = Window.partitionBy("set_index", "fold_index")
     joined = runs.filter(F.col("fold_index").isNotNull()).join(
