@@ -16,8 +16,8 @@ letters and digits, lower-cased).
   candidates if all sampled words agree. The number of repetitions follows from the
   recall aimed at and from how often a sampled step agrees at the full distance. The
   walk of a window stops at the first sampled step that no item shares.
-* What a candidate and the item have in common, repeats counted, must reach the item less
-  its edits; then the edit distance of the item to all stretches around it decides.
+* A candidate's document must have the item's distinct words less its edits, and what the
+  stretch and the item have in common, repeats counted, must reach the item less its edits; then the edit distance of the item to all stretches around it decides.
 
 Words that no item has are one symbol; they equal no item word, so no distance changes.
 
@@ -40,6 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .components import counted
 
@@ -99,20 +100,8 @@ class Verifier:
         self.local[found] = np.arange(1, len(found) + 1)
         self.width = len(item) + 5 * budget
 
-    def rows(self, joined: np.ndarray, begins: np.ndarray, firsts: np.ndarray, ends: np.ndarray):
-        """(document, start, stop) of the stretches around candidates, cut at the documents' ends."""
-        low = np.clip(begins - 2 * self.budget, 0, len(joined))
-        high = np.clip(low + self.width, 0, len(joined))
-        one, last = np.searchsorted(ends, low), np.minimum(np.searchsorted(ends, high - 1), len(ends) - 1)
-        many = np.maximum(last - one + 1, 0)
-        doc = np.repeat(one, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        start, stop = np.maximum(np.repeat(low, many), firsts[doc]), np.minimum(np.repeat(high, many), ends[doc])
-        fits = stop - start >= len(self.item) - self.budget
-        return doc[fits], start[fits], stop[fits]
-
-    def leaks(self, joined: np.ndarray, begins: np.ndarray, firsts: np.ndarray, ends: np.ndarray):
+    def leaks(self, joined: np.ndarray, doc: np.ndarray, start: np.ndarray, stop: np.ndarray):
         """(document, edits, start, end) of every stretch within the budget, a bounded number of rows at a time."""
-        doc, start, stop = self.rows(joined, begins, firsts, ends)
         step = max(1, CELLS // self.width)
         for at in range(0, len(doc), step):
             place = start[at : at + step, None] + np.arange(self.width)
@@ -180,7 +169,9 @@ class Walks:
     def candidates(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Items and where they would begin in the text; ``text`` is followed by ``span`` zeros."""
         starts = np.arange(0, max(0, len(text) - self.span), self.stride, dtype=np.int32)
-        found = []
+        # one number per (item, begin): an item begins before the text by its own length at most
+        ahead = int(self.owner[:, 1].max())
+        found, room = [], np.int64(len(text) + ahead + 1)
         for r, (levels, keys, order) in enumerate(self.tables):
             key, alive = self._walk(text, starts, r, None, levels)
             low, high = np.searchsorted(keys, key), np.searchsorted(keys, key, side="right")
@@ -189,9 +180,58 @@ class Walks:
                 continue
             step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             owner = self.owner[order[np.repeat(low, count) + step]]
-            found.append(np.stack((owner[:, 0], np.repeat(starts[alive], count) - owner[:, 1]), axis=1))
-        both = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return both[:, 0], both[:, 1]
+            found.append(np.unique(owner[:, 0] * room + np.repeat(starts[alive], count) - owner[:, 1] + ahead))
+        both = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        return both // room, both % room - ahead
+
+
+class Hopefuls:
+    """From candidates of a class to the stretches worth the exact test.
+
+    A document must have all distinct words of an item but for as many as there may be
+    edits. The words' items are listed once, so a document costs its own distinct words,
+    however many items share them and however many candidates it has.
+    """
+
+    def __init__(self, items: dict[int, np.ndarray], similarity: float, symbols: int) -> None:
+        self.keys = np.array(list(items), np.int64)
+        self.place = np.zeros(self.keys.max() + 1, np.int64)
+        self.place[self.keys] = np.arange(len(items))
+        self.lengths = np.array([len(i) for i in items.values()], np.int64)
+        self.budgets = np.array([edits_allowed(n, similarity) for n in self.lengths.tolist()], np.int64)
+        own = [np.unique(i) for i in items.values()]
+        self.needed = np.array([len(w) for w in own]) - self.budgets
+        word, item = np.concatenate(own), np.repeat(np.arange(len(own)), [len(w) for w in own])
+        order = np.argsort(word, kind="stable")
+        self.items_of = item[order]
+        self.begin = np.searchsorted(word[order], np.arange(symbols + 1))
+
+    def stretches(self, owners: np.ndarray, begins: np.ndarray, joined: np.ndarray, numbered: list[np.ndarray], firsts: np.ndarray, ends: np.ndarray):
+        """(item, document, start, stop), ordered by item: stretches around candidates, cut at the documents' ends."""
+        at = self.place[owners]
+        order = np.lexsort((begins, at))
+        at, begins = at[order], begins[order]
+        apart = np.maximum(1, self.budgets[at])  # candidates that near each other see the same stretch
+        new = np.concatenate(([True], (np.diff(at) > 0) | (np.diff(begins // apart) > 0)))
+        at, begins = at[new], begins[new]
+        low = np.clip(begins - 2 * self.budgets[at], 0, len(joined))
+        high = np.clip(low + self.lengths[at] + 5 * self.budgets[at], 0, len(joined))
+        one, last = np.searchsorted(ends, low), np.minimum(np.searchsorted(ends, high - 1), len(ends) - 1)
+        many = np.maximum(last - one + 1, 0)
+        doc = np.repeat(one, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        at, low, high = np.repeat(at, many), np.repeat(low, many), np.repeat(high, many)
+        start, stop = np.maximum(low, firsts[doc]), np.minimum(high, ends[doc])
+        fits = stop - start >= self.lengths[at] - self.budgets[at]
+        at, doc, start, stop = at[fits], doc[fits], start[fits], stop[fits]
+        keep = np.zeros(len(at), bool)
+        by_doc = np.argsort(doc, kind="stable")
+        for rows in np.split(by_doc, np.flatnonzero(np.diff(doc[by_doc])) + 1) if len(doc) else ():
+            own = np.unique(numbered[doc[rows[0]]])
+            first, count = self.begin[own], self.begin[own + 1] - self.begin[own]
+            listed = self.items_of[np.arange(count.sum()) + np.repeat(first - np.cumsum(count) + count, count)]
+            held = np.bincount(listed, minlength=len(self.keys))
+            keep[rows] = held[at[rows]] >= self.needed[at[rows]]
+        return self.keys[at[keep]], doc[keep], start[keep], stop[keep]
 
 
 def size_classes(items: list[np.ndarray], similarity: float = SIMILARITY) -> list[dict[int, np.ndarray]]:
@@ -236,7 +276,7 @@ def _one_pass(docs, rows, text, key, item_type, item_key, similarity, times, bit
     number = {w: k for k, w in enumerate(dict.fromkeys(w for s in split for w in s), 1)}
     ids = [r["item_id"] for r in rows]
     classes = [Walks(c, times, bits, seed, similarity) for c in size_classes([np.array([number[w] for w in s], np.int64) for s in split], similarity)]
-    shared = docs.sparkSession.sparkContext.broadcast((number, classes))
+    shared = docs.sparkSession.sparkContext.broadcast((number, [(c, Hopefuls(c.items, similarity, len(number) + 1)) for c in classes]))
 
     def slices(batch):
         """Row ranges of a batch of about ``SLICE_BYTES`` of text."""
@@ -258,16 +298,16 @@ def _one_pass(docs, rows, text, key, item_type, item_key, similarity, times, bit
             firsts = ends + 1 - sizes
             joined = np.concatenate([x for n in numbered for x in (n, [0])])
             best: dict[tuple[int, int], tuple[int, int, int]] = {}
-            for walks in classes:
+            for walks, hopefuls in classes:
                 padded = np.concatenate((joined, np.zeros(walks.span + 1, np.int64)))
                 owners, begins = walks.candidates(padded)
-                order = np.lexsort((begins, owners))
-                owners, begins = owners[order], begins[order]
-                for item, at in zip(np.unique(owners).tolist(), np.split(begins, np.flatnonzero(np.diff(owners)) + 1)):
+                owners, docs_at, starts, stops = hopefuls.stretches(owners, begins, joined, numbered, firsts, ends) if len(owners) else (owners,) * 4
+                cuts = np.flatnonzero(np.diff(owners)) + 1
+                for rows in np.split(np.arange(len(owners)), cuts) if len(owners) else ():
+                    item = int(owners[rows[0]])
                     budget = edits_allowed(len(walks.items[item]), similarity)
-                    at = at[np.concatenate(([True], np.diff(at // max(1, budget)) > 0))]
                     verifier = Verifier(walks.items[item], budget, len(number) + 1)
-                    for doc, edits, start, end in verifier.leaks(joined, at, firsts, ends):
+                    for doc, edits, start, end in verifier.leaks(joined, docs_at[rows], starts[rows], stops[rows]):
                         if edits < best.get((doc, item), (budget + 1,))[0]:
                             best[doc, item] = (edits, start - int(firsts[doc]), end - int(firsts[doc]))
             for (doc, item), (edits, start, end) in best.items():
@@ -277,7 +317,7 @@ def _one_pass(docs, rows, text, key, item_type, item_key, similarity, times, bit
                 [batch.column(0).take(take), pa.array([f[1] for f in found], item_kind), *(pa.array([f[k] for f in found], pa.int32()) for k in (2, 3, 4)), batch.column(2).take(take)],
                 ["key", "item", "edits", "start_word", "end_word", "digest"])
 
-    item_kind = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.StringType(): pa.string()}[item_type]
+    item_kind = to_arrow_type(item_type)
     narrow = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("digest"))
     schema = T.StructType([
         T.StructField("key", narrow.schema["key"].dataType), T.StructField("item", item_type),
