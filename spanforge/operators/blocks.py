@@ -31,6 +31,7 @@ from spanforge.operators.scoring import (
     packed_batches,
     sigmoid_of,
     window_texts,
+    with_length,
 )
 
 _PIECE = "id {id}, start bigint, {columns}, border bigint, side string, strip binary, dim int, length bigint, error string"
@@ -60,14 +61,6 @@ class Rule:
         return mean, votes >= votes_needed(len(ps))
 
 
-def with_length(x: np.ndarray, length: int, feature: str) -> np.ndarray:
-    """The vectors with the sequence length or its inverse appended."""
-    if feature == "none":
-        return x
-    value = float(length) if feature == "raw" else 1.0 / length
-    return np.concatenate([x, np.full((len(x), 1), value)], axis=1)
-
-
 def member_probabilities(x: np.ndarray, heads: Sequence[Mapping]) -> np.ndarray:
     """(members, positions) for consecutive vectors; beyond them the sequence is taken to end."""
     out = []

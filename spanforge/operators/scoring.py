@@ -88,10 +88,19 @@ def attempt_batch(embed: Callable[[Sequence[str]], Sequence[np.ndarray]], texts:
         return out
 
 
+def with_length(x: np.ndarray, length: int, feature: str) -> np.ndarray:
+    """The vectors with the sequence length or its inverse appended."""
+    if feature == "none":
+        return x
+    value = float(length) if feature == "raw" else 1.0 / length
+    return np.concatenate([x, np.full((len(x), 1), value)], axis=1)
+
+
 def embed_windows(
     sequences: DataFrame,
     embed: Callable[[Sequence[str]], Sequence[np.ndarray]],
     *,
+    feature: str = "none",
     budget: int = 8 * MAX_TOKENS,
     max_tokens: int = MAX_TOKENS,
     window: int = WINDOW,
@@ -102,8 +111,8 @@ def embed_windows(
     Short sequences are one window. Long ones are cut into overlapping windows
     first, so a very long sequence spreads over tasks; ``share`` is 0 where one
     window alone covers the position, else the 1-based number of this window
-    among those that do. Tasks hold windows of similar length,
-    fill token-packed batches and turn a failing item into one error row instead
+    among those that do. The length ``feature`` is appended where the vectors are made. Tasks
+    hold windows of similar length, fill token-packed batches and turn a failing item into one error row instead
     of failing the job.
     """
     work = window_texts(sequences, max_tokens, window, stride)
@@ -119,7 +128,7 @@ def embed_windows(
             for number in range(packed[-1] + 1):
                 rows = np.flatnonzero(packed == number)
                 found = attempt_batch(embed, [texts[i] for i in rows])
-                good = [(i, np.asarray(v, dtype=float)) for i, v in zip(rows, found) if not isinstance(v, str)]
+                good = [(i, with_length(np.asarray(v, dtype=float), lengths[i], feature)) for i, v in zip(rows, found) if not isinstance(v, str)]
                 bad = [(i, v) for i, v in zip(rows, found) if isinstance(v, str)]
                 if good:
                     owner = np.repeat([i for i, _ in good], [len(v) for _, v in good])

@@ -97,9 +97,8 @@ class Predictor:
         """Member probabilities ``(id, pos, ps)`` and the failed ids, for ``(id, sequence)``."""
         cleaned = sequences.select("id", clean_sequence(F.col("sequence")).alias("sequence"))
         # Embedding is the costly step and feeds vectors and failures: run it once.
-        windows = cut_lineage(embed_windows(cleaned, self.embed))
-        lengths = cleaned.select("id", F.length("sequence").cast("bigint").alias("length")).filter("length > 0")
-        vectors = stitch(windows, lengths, feature=self.length_feature)
+        windows = cut_lineage(embed_windows(cleaned, self.embed, feature=self.length_feature))
+        vectors = stitch(windows)
         if any("conv" in h for h in self.heads.values()):
             scores = score_members_conv(vectors, self.heads)
         else:
