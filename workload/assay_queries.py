@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spanforge.operators import assay as A
 from spanforge.operators import quality as Q
-from spanforge.plans.prepare import prepare_evaluation, prepare_listed
+from spanforge.plans.prepare import finalize, prepare_evaluation, prepare_listed
 from spanforge.session import shared_folder
 from spanforge.sources.sinks import write_table
 from spanforge.sources.tables import read_zscores, unpivot_scores
@@ -225,31 +225,24 @@ def group_numbers(spark, d):
 # --- designed-library source ----------------------------------------------
 
 
-@query("scored_quarantine_report", "reason:s n_rows:i examples:s",
-       f"""WITH docs AS (SELECT doc_id, {SQL_CLEAN} AS s FROM documents), {_SQL_PART_Z},
+_SQL_SCORED = f"""{_SQL_PART_Z},
        meta AS (SELECT p_partkey, 'C' || p_partkey AS code, 'D' || (p_partkey % {_NAMES}) AS pid, p_partkey % {_NAMES} AS did,
          CASE WHEN p_partkey % 19 = 0 THEN 'fam' WHEN p_partkey % 23 = 0 THEN CAST(p_partkey % 7 AS VARCHAR)
               ELSE CAST(p_partkey % {_NAMES} AS VARCHAR) END AS fam,
          p_partkey % 90 AS start0, p_partkey % 90 + p_size AS stop0, p_partkey % 17 = 0 AS broken,
          p_partkey % 27 = 0 AS no_z FROM part),
-       judged AS (SELECT *, CASE WHEN broken THEN 'invalid_fullname' WHEN fam = 'fam' THEN 'invalid_family'
+       z_judged AS (SELECT *, CASE WHEN broken THEN 'invalid_fullname' WHEN fam = 'fam' THEN 'invalid_family'
          WHEN did % 50 = 7 THEN 'ambiguous_protein_sequence' WHEN s IS NULL THEN 'missing_protein_sequence'
          WHEN stop0 > length(s) OR stop0 <= start0 THEN 'out_of_bounds_align'
          WHEN no_z OR p_partkey NOT IN (SELECT id FROM counted) THEN 'missing_zscore' END AS reason
          FROM meta LEFT JOIN (SELECT * FROM docs WHERE length(s) > 0) docs ON did = doc_id),
-       firsts AS (SELECT pid, arg_min(fam, p_partkey) AS fixed FROM judged WHERE reason IS NULL GROUP BY pid),
-       settled AS (SELECT judged.* EXCLUDE (reason), fixed, CASE WHEN reason IS NULL AND fam <> fixed
-         THEN 'conflicting_family_for_protein' ELSE reason END AS reason FROM judged LEFT JOIN firsts USING (pid)),
-       marked AS (SELECT *, CASE reason WHEN 'invalid_family' THEN pid || ':' || fam
-         WHEN 'out_of_bounds_align' THEN code || ':' || start0 || ':' || stop0 || ':' || length(s)
-         WHEN 'conflicting_family_for_protein' THEN pid || ':' || fixed || ':' || fam
-         WHEN 'invalid_fullname' THEN code WHEN 'missing_zscore' THEN code ELSE pid END AS example FROM settled),
-       per AS (SELECT reason, example, count(*) AS n, min(p_partkey) AS seen FROM marked WHERE reason IS NOT NULL
-               GROUP BY reason, example),
-       placed AS (SELECT *, row_number() OVER (PARTITION BY reason ORDER BY seen, example) AS spot FROM per)
-       SELECT reason, sum(n) AS n_rows, string_agg(example, ',' ORDER BY spot) FILTER (WHERE spot <= 20) AS examples
-       FROM placed GROUP BY reason""")
-def scored_quarantine_report(spark, d):
+       firsts AS (SELECT pid, arg_min(fam, p_partkey) AS fixed FROM z_judged WHERE reason IS NULL GROUP BY pid),
+       settled AS (SELECT z_judged.* EXCLUDE (reason), fixed, CASE WHEN reason IS NULL AND fam <> fixed
+         THEN 'conflicting_family_for_protein' ELSE reason END AS reason FROM z_judged LEFT JOIN firsts USING (pid))"""
+
+
+def scored_rows(spark, d):
+    """Judged rows of the designed library, and its sequences."""
     k, names = F.col("p_partkey"), protein_names(spark, d)
     family = F.when(k % 19 == 0, "fam").when(k % 23 == 0, (k % 7).cast("string")).otherwise((k % names).cast("string"))
     name = F.concat(F.lit("ID=D"), k % names, F.lit(" AC=A OXX=1,2,"), family)
@@ -266,8 +259,39 @@ def scored_quarantine_report(spark, d):
     plain = protein_records(spark, d).withColumn(
         "header", F.concat(F.lit("ID="), F.split("header", r"\|")[1], F.lit(" AC=A OXX=1"))
     )
-    rows = A.quarantine_scored(metadata, classes, A.scored_sequences(plain))
-    return Q.drop_report(rows).withColumn("examples", F.array_join("examples", ","))
+    sequences = A.scored_sequences(plain)
+    return A.quarantine_scored(metadata, classes, sequences), sequences
+
+
+@query("scored_quarantine_report", "reason:s n_rows:i examples:s",
+       f"""WITH docs AS (SELECT doc_id, {SQL_CLEAN} AS s FROM documents), {_SQL_SCORED},
+       marked AS (SELECT *, CASE reason WHEN 'invalid_family' THEN pid || ':' || fam
+         WHEN 'out_of_bounds_align' THEN code || ':' || start0 || ':' || stop0 || ':' || length(s)
+         WHEN 'conflicting_family_for_protein' THEN pid || ':' || fixed || ':' || fam
+         WHEN 'invalid_fullname' THEN code WHEN 'missing_zscore' THEN code ELSE pid END AS example FROM settled),
+       per AS (SELECT reason, example, count(*) AS n, min(p_partkey) AS seen FROM marked WHERE reason IS NOT NULL
+               GROUP BY reason, example),
+       placed AS (SELECT *, row_number() OVER (PARTITION BY reason ORDER BY seen, example) AS spot FROM per)
+       SELECT reason, sum(n) AS n_rows, string_agg(example, ',' ORDER BY spot) FILTER (WHERE spot <= 20) AS examples
+       FROM placed GROUP BY reason""")
+def scored_quarantine_report(spark, d):
+    return Q.drop_report(scored_rows(spark, d)[0]).withColumn("examples", F.array_join("examples", ","))
+
+
+@query("three_source_names", "Name:s Family:i n_sources:i",
+       f"""WITH {SQL_LISTED}, {SQL_CONTRACT}, {_SQL_SCORED},
+       named AS (SELECT DISTINCT 'cwp' AS kind, FullName AS Name, GroupID AS Family FROM contract
+         UNION ALL SELECT DISTINCT 'bkp', 'ID=' || ProteinID || ' AC=' || ProteinID || ' OXX=0,0,0,' || (GroupID + 100000000), GroupID + 100000000 FROM contract
+         UNION ALL SELECT DISTINCT 'pv1', 'ID=' || pid || ' AC=' || pid || ' OXX=0,0,0,' || fam, CAST(fam AS BIGINT) FROM settled WHERE reason IS NULL)
+       SELECT Name, Family, (SELECT count(DISTINCT kind) FROM named) AS n_sources FROM named GROUP BY Name, Family""")
+def three_source_names(spark, d):
+    """The embedding metadata of all three kinds of source, each prepared by its own rules, without repeats."""
+    rows, sequences = scored_rows(spark, d)
+    codes, records = code_sets(spark, d), protein_records(spark, d)
+    other = listed_metadata(spark, d).withColumnRenamed("Cluster50ID", "reClusterID_70")
+    sources = [finalize(rows, sequences, "pv1"), prepared(spark, d), prepare_listed(other, *codes, records, "bkp", 200_000_000)]
+    names = A.union_sources(*[s.embedding_names for s in sources])
+    return A.distinct_names(names).withColumn("n_sources", F.lit(len(sources)))
 
 
 # --- evaluation subset -----------------------------------------------------
