@@ -564,7 +564,7 @@ def split_report(plan: FoldPlan, support: DataFrame) -> DataFrame:
     names = ("valid_residues", "positive_residues", "negative_residues")
     joined = plan.rows.join(support.select(plan.id_col, *names), plan.id_col, "left")
     measures = {"protein_count": F.count(F.lit(1)), **{c: F.coalesce(F.sum(c), F.lit(0)) for c in names}}
-    per_role = plan.sums(joined, measures)
+    per_role = cut_lineage(plan.sums(joined, measures))  # two rows a run
     # The two sides of any run are all ids.
     every = per_role.filter("run_index = 1").agg(*[F.sum(m).alias(m) for m in measures]).select(
         F.lit(None).cast("int").alias("run_index"), F.lit("all").alias("role"), *measures)
