@@ -20,7 +20,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies (linked at a Jaccard similarity of
-    0.8 of their five-word shingles): the one with the smallest doc_id."""
+    0.8 of their five-word shingles; SimHash and MinHash propose the pairs): the one with
+    the smallest doc_id."""
     return near_copies.keep_one(docs, words=5, similarity=0.8)
 
 

@@ -1,9 +1,12 @@
-"""Near copies by exact shingle similarity: MinHash bands propose, shingle sets decide.
+"""Near copies by exact shingle similarity: SimHash and MinHash propose, shingle sets decide.
 
 Two texts are linked if the sets of their word shingles (A-Z lower-cased) have a Jaccard
-similarity of ``similarity`` or more. Every distinct text gets ``bands()`` keys of ``ROWS``
-minima each; a linked pair shares a key but for a probability of ``MISS`` at most, and no
-pair is linked unless the shingle sets (64-bit hashes of shingles) say so.
+similarity of ``similarity`` or more. Every distinct text gets a SimHash fingerprint, and
+the trie join of ``simhash`` puts fingerprints that differ in few bits into one bucket. That
+finds the closest pairs; most of those near the limit differ in more bits, so every text
+also gets ``bands()`` keys of ``ROWS`` minima each, and a linked pair shares a key but for a
+probability of ``MISS`` at most. No pair of either kind is linked unless the shingle sets
+(64-bit hashes of shingles) say so.
 
 Pairs are not enumerated where it can be spared. First each text is held against one other,
 drawn text of its buckets, and what is linked becomes one group, so a group is compared in
@@ -36,7 +39,7 @@ from pyspark.sql import functions as F
 from spanforge.session import cut_lineage
 
 from .components import components, counted
-from .simhash import keep_first
+from .simhash import fingerprint_links, fingerprints, keep_first
 
 WORDS, SIMILARITY = 5, 0.8
 #: Minima in a band key, and the share of pairs at exactly ``similarity`` that may share no key.
@@ -165,6 +168,13 @@ def _pairs(members: DataFrame, sharing: DataFrame, similarity: float) -> DataFra
     return frequent.unionAll(rare.select("a", "b", "ra", "rb")).distinct()
 
 
+def _by_print(nodes: DataFrame) -> DataFrame:
+    """node, bucket: texts whose SimHash fingerprints are linked, directly or by others, share a bucket."""
+    prints = cut_lineage(nodes.select("fp").distinct())
+    roots = counted(components(fingerprint_links(prints)).select(F.col("node").alias("fp"), "root"))
+    return nodes.join(roots, "fp", "left").select("node", F.xxhash64(F.lit("fp"), F.coalesce("root", "fp")).alias("bucket"))
+
+
 def near_copies(
     docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, similarity: float = SIMILARITY,
 ) -> DataFrame:
@@ -172,10 +182,12 @@ def near_copies(
     times = bands(similarity)
     digest = F.md5(F.coalesce(F.col(text), F.lit("")))
     keys_of = _column(lambda t: band_keys(shingles(t, words), times))
-    rows = cut_lineage(docs.select(F.col(key).alias("key"), digest.alias("digest"), keys_of(F.col(text)).alias("keys")))
+    rows = cut_lineage(docs.select(
+        F.col(key).alias("key"), digest.alias("digest"), fingerprints(words)(F.col(text)).alias("fp"), keys_of(F.col(text)).alias("keys")))
     # numbers are fixed by writing the table
-    nodes = cut_lineage(rows.groupBy("digest").agg(F.first("keys").alias("keys")).withColumn("node", F.monotonically_increasing_id()))
-    every = nodes.select("node", F.explode("keys").alias("bucket"))
+    nodes = cut_lineage(
+        rows.groupBy("digest").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys")).withColumn("node", F.monotonically_increasing_id()))
+    every = nodes.select("node", F.explode("keys").alias("bucket")).unionAll(_by_print(nodes))
     shared = counted(every.groupBy("bucket").count().filter("count > 1").select("bucket"))
     members = cut_lineage(every.join(shared, "bucket").select("node", "bucket"))
     texts = counted(members.select("node").distinct().join(nodes, "node").select("node", F.col("digest").alias("__digest")))

@@ -2,8 +2,12 @@
 
 import random
 
+import numpy as np
+import xxhash
+
 import corpus_pipeline
 from spanforge.llm import near_copies
+from spanforge.llm.simhash import fingerprint
 
 
 def _shingles(text, k=5):
@@ -98,3 +102,21 @@ def test_texts_of_one_base_that_are_not_linked_make_no_pairs(spark, monkeypatch)
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     assert near_copies.keep_one(frame).count() == 80 == len(set(_groups(texts)))
     assert sum(made) == 0
+
+
+def test_simhash_proposes_pairs_and_sets_decide(spark, monkeypatch):
+    """With band keys that no two texts share, only texts with close fingerprints meet; of these, only similar ones are linked."""
+    monkeypatch.setattr(near_copies, "band_keys", lambda found, times: np.array([xxhash.xxh64_intdigest(found.tobytes())], np.uint64))
+    rng = random.Random(11)
+    texts = []
+    for k in range(20):
+        words = [f"w{rng.randrange(3000)}" for _ in range(800)]
+        texts += [" ".join(words), " ".join([*words, f"x{k}"])]
+    # five shingles, ever again, settle the fingerprint; most shingles of the set are others
+    texts += [" ".join(["p q r s t"] * 200 + [f"y{rng.random()}" for _ in range(30)]) for _ in range(2)]
+    prints = [fingerprint(t, 5) & (1 << 64) - 1 for t in texts]
+    close = [k for k in range(0, len(texts), 2) if (prints[k] ^ prints[k + 1]).bit_count() <= 3]
+    assert close[-1] == 40 and len(close) > 10
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    kept = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, frame, "").collect())
+    assert kept == sorted(set(range(42)) - {k + 1 for k in close[:-1]})
