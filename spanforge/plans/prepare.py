@@ -205,8 +205,6 @@ def prepare_evaluation(
         whole_number(first_numeric(stops)).alias("AlignStop"),
         "source_order",
     )
-    flat = rows.filter(F.col("AlignStop") - F.col("AlignStart") <= 0)
-    guard_empty(flat, "non-positive peptide lengths", "CodeName")
     sequences = resolve_sequences(records.select(first_token(F.col("header")).alias("ProteinID"), "sequence"),
                                   "ProteinID")
     rows = rows.join(sequences, "ProteinID", "left")
@@ -218,6 +216,8 @@ def prepare_evaluation(
         ("out_of_bounds_align", bad_bounds(start, stop, length), F.col("CodeName")),
     ])
     judged = cut_lineage(rows.withColumn("reason", reason).withColumn("example", example).drop("sequence", "ambiguous", "length"))
+    flat = judged.filter(F.col("AlignStop") - F.col("AlignStart") <= 0)  # of what is written, so the rows are made once
+    guard_empty(flat, "non-positive peptide lengths", "CodeName")
     bad_codes = judged.filter(F.col("reason") == "out_of_bounds_align").select("CodeName").distinct()
     bad_codes = bad_codes.withColumn("_bad", F.lit(True))
     judged = judged.join(bad_codes, "CodeName", "left")

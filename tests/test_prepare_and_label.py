@@ -3,7 +3,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from spanforge.functions import text as T
 from spanforge.operators import intervals as I
+from spanforge.operators import quality as Q
 from spanforge.operators import splits as S
 from spanforge.operators.assay import classify_reactivity, distinct_names, union_sources
 from spanforge.plans.label import build_labels
@@ -123,3 +125,28 @@ def test_label_builder_rejects_bad_rows(spark):
         build_labels(contract, lengths).segments.collect()
     with pytest.raises(ValueError, match="no peptide"):
         build_labels(contract, lengths.filter("id = 'Q'"), restrict_to_lengths=True)
+
+
+def test_a_guard_over_many_partitions_is_one_job(spark):
+    """Nothing to find: all partitions are tried at once, not a few and then a few more."""
+    rows = spark.range(0, 6400, 1, 64).select(F.col("id").cast("string").alias("CodeName"), "id")
+    context = spark.sparkContext
+    try:
+        context.setJobGroup("guard", "guard")
+        Q.guard_empty(rows.filter("id < 0"), "wrong", "CodeName")
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert len(context.statusTracker().getJobIdsForGroup("guard")) == 1
+    with pytest.raises(ValueError, match=r"wrong, examples: \['0', '1', '10'\]"):
+        Q.guard_empty(rows.filter("id <= 10 and id <> 2"), "wrong", "CodeName", limit=3)
+
+
+def test_cells_are_stripped_without_a_pattern(spark):
+    cells = [None, "", " ", " \t\n\x0b\f\r", " 1.5\n", "\tnan ", "NaN", "x", "7", " a b ", "\u00a0q"]
+    frame = spark.createDataFrame([(c,) for c in cells], "c string")
+    got = frame.select(T.strip(F.col("c")), T.numeric(F.col("c")), T.clean_text(F.col("c")))
+    assert "regexp" not in got._jdf.queryExecution().optimizedPlan().toString()
+    space = " \t\n\x0b\f\r"
+    stripped = [None if c is None else c.strip(space) for c in cells]
+    numbers = [{"1.5": 1.5, "7": 7.0}.get(c) for c in stripped]
+    assert [tuple(r) for r in got.collect()] == list(zip(stripped, numbers, ["" if (c or "").lower() in ("", "nan") else c for c in stripped]))
