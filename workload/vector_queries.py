@@ -163,7 +163,8 @@ def embedding_index(spark, d):
     for run, rows in (("first", records.filter("protein_id % 3 = 0")), ("second", records)):
         embed_missing(rows, letter_codes, store, run, feature="raw", model="letters")
     vectors = stored_vectors(stored_blocks(spark, store))
-    totals = vectors.groupBy("id").agg(F.sum(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x)).alias("total"))
+    whole = sum((F.col("vec")[i] for i in range(3)), F.lit(0.0))  # letter, place and length: plain sums, no loop in each row
+    totals = vectors.groupBy("id").agg(F.sum(whole).alias("total"))
     within = F.regexp_extract("file_path", "(blocks/run=[^/]*)$", 1)
     return read_index(spark, store).withColumn("file_path", within).join(totals, "id")
 
