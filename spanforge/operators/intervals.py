@@ -254,8 +254,8 @@ def label_strings(segments: DataFrame, *, id_col: str = "id", chunk: int | None
         )
         keys = [id_col, "chunk"]
     run = F.repeat(letter, (F.col("stop") - F.col("start")).cast("int"))
-    ordered = F.array_sort(F.collect_list(F.struct("start", run.alias("run"))))
-    return source.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda s: s["run"]), "").alias("labels"))
+    ordered = F.sort_array(F.collect_list(F.struct("start", run.alias("run"))))
+    return source.groupBy(*keys).agg(F.array_join(ordered["run"], "").alias("labels"))
 
 
 def training_windows(
@@ -306,7 +306,7 @@ def peptide_lists(
         peptides = peptides.withColumn("part", F.pmod(F.xxhash64(order), F.lit(parts)))
         keys = [id_col, "part"]
     grouped = peptides.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(row)), lambda s: s["p"]).alias("peptides")
+        F.sort_array(F.collect_list(row))["p"].alias("peptides")
     )
     if names is None:
         grouped = grouped.withColumn("_name", F.col("peptides")[0]["fullname"])
