@@ -18,6 +18,10 @@ from spanforge.session import cut_lineage
 # Longest input in tokens, and the window geometry beyond it.
 MAX_TOKENS = 1022
 WINDOW, STRIDE = 1000, 900
+#: Blocks (of a window's positions at most) that are unpacked into rows together.
+UNPACKED = 32
+#: Bytes of vectors a task gathers before it hands them on.
+HELD = 4 << 20
 
 
 def average_vectors(pieces: DataFrame, keys: Sequence[str] = ("id", "pos"), vector: str = "vec") -> DataFrame:
@@ -58,20 +62,21 @@ def _sql_type(df: DataFrame, column: str) -> str:
 def window_texts(sequences: DataFrame, max_tokens: int = MAX_TOKENS, window: int = WINDOW, stride: int = STRIDE) -> DataFrame:
     """The windows ``(id, start, length, sequence)`` of non-empty sequences, similar lengths together."""
     n = F.length("sequence").cast("bigint")
-    sized = sequences.filter(n > 0).select("id", "sequence", n.alias("length"))
-    spans = F.when(n <= max_tokens, window_spans(F.col("length"), None)).otherwise(
-        window_spans(F.col("length"), window, stride)
-    )
-    # Window texts are cut inside the row, so no copy of the whole text per window.
-    texts = F.transform(
-        spans,
-        lambda w: F.struct(w["start"].alias("start"), F.substring(
-            F.col("sequence"), (w["start"] + 1).cast("int"), (w["stop"] - w["start"]).cast("int")).alias("sequence")),
-    )
+    sized = sequences.select("id", "sequence", n.alias("length"), (F.octet_length("sequence") == n).alias("plain"))
+    # Empty texts have no spans. A filter would be moved ahead of the caller's cleaning and clean every text twice.
+    spans = F.when(F.col("length").between(1, max_tokens), window_spans(F.col("length"), None)).when(
+        F.col("length") > max_tokens, window_spans(F.col("length"), window, stride))
+    # Window texts are cut inside the row, so no copy of the whole text per window. In a text of one byte per
+    # letter they are cut by bytes: to find a letter, the text would be read from its beginning for every window.
+    def cut(w: Column) -> Column:
+        at, size = (w["start"] + 1).cast("int"), (w["stop"] - w["start"]).cast("int")
+        by_bytes = F.substring(F.col("sequence").cast("binary"), at, size).cast("string")
+        return F.struct(w["start"].alias("start"), F.when(F.col("plain"), by_bytes).otherwise(F.substring("sequence", at, size)).alias("sequence"))
+
+    texts = F.transform(spans, cut)
     work = sized.select("id", "length", F.explode(texts).alias("w")).select("id", "w.start", "length", "w.sequence")
-    return work.repartitionByRange(F.length("sequence"), F.xxhash64("id", "start")).sortWithinPartitions(
-        F.length("sequence")
-    )
+    # Dealt by key, not by range: ranges would be sampled, and the texts cleaned and cut once more for that.
+    return work.repartition("id", "start").sortWithinPartitions(F.length("sequence"))
 
 
 def attempt_batch(embed: Callable[[Sequence[str]], Sequence[np.ndarray]], texts: list[str]) -> list:
@@ -106,13 +111,15 @@ def embed_windows(
     window: int = WINDOW,
     stride: int = STRIDE,
 ) -> DataFrame:
-    """Embed every sequence: ``(id, pos, share, vec, error)`` per window position.
+    """Embed every sequence: packed pieces ``(id, start, n, dim, share, block, error)`` of its windows.
 
     Short sequences are one window. Long ones are cut into overlapping windows
-    first, so a very long sequence spreads over tasks; ``share`` is 0 where one
-    window alone covers the position, else the 1-based number of this window
-    among those that do. The length ``feature`` is appended where the vectors are made. Tasks
-    hold windows of similar length, fill token-packed batches and turn a failing item into one error row instead
+    first, so a very long sequence spreads over tasks. A piece is a run of ``n`` positions
+    from ``start`` with equal ``share``: 0 where one window alone covers them, else the
+    1-based number of this window among those that do. Its ``block`` has their vectors as
+    64-bit values, so what is written and shuffled is a few rows per window. The length
+    ``feature`` is appended where the vectors are made. Tasks go through windows of similar
+    length, fill token-packed batches and turn a failing item into one error row instead
     of failing the job.
     """
     work = window_texts(sequences, max_tokens, window, stride)
@@ -125,31 +132,38 @@ def embed_windows(
             texts, starts = batch.column("sequence").to_pylist(), batch.column("start").to_pylist()
             lengths, ids = batch.column("length").to_pylist(), batch.column("id")
             packed = np.array(packed_batches([len(t) for t in texts], budget, max_tokens))
-            for number in range(packed[-1] + 1):
-                rows = np.flatnonzero(packed == number)
-                found = attempt_batch(embed, [texts[i] for i in rows])
-                good = [(i, with_length(np.asarray(v, dtype=float), lengths[i], feature)) for i, v in zip(rows, found) if not isinstance(v, str)]
-                bad = [(i, v) for i, v in zip(rows, found) if isinstance(v, str)]
-                if good:
-                    owner = np.repeat([i for i, _ in good], [len(v) for _, v in good])
-                    pos = np.concatenate([starts[i] + np.arange(len(v)) for i, v in good])
-                    total = np.array(lengths)[owner]
-                    low, high = covering_windows(pos, total, window, stride)
-                    among = np.array(starts)[owner] // stride - low + 1
-                    share = np.where((total > max_tokens) & (high > low), among, 0).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array(owner)), pa.array(pos), pa.array(share), _vector_list(np.concatenate([v for _, v in good])), pa.nulls(len(pos), pa.string())],
-                        ["id", "pos", "share", "vec", "error"],
-                    )
-                if bad:
-                    yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array([i for i, _ in bad])), pa.nulls(len(bad), pa.int64()),
-                         pa.nulls(len(bad), pa.int32()), pa.nulls(len(bad), pa.list_(pa.float64())),
-                         pa.array([v for _, v in bad], pa.string())],
-                        ["id", "pos", "share", "vec", "error"],
-                    )
-
-    return work.mapInArrow(run, f"id {id_type}, pos bigint, share int, vec array<double>, error string")
+            ends = np.append(np.flatnonzero(np.diff(packed)) + 1, len(texts))
+            begin, out, held = 0, [], 0
+            for end in ends:
+                for i, found in enumerate(attempt_batch(embed, texts[begin:end]), begin):
+                    if isinstance(found, str):
+                        out.append((i, None, None, None, None, None, found))
+                        continue
+                    x = with_length(np.asarray(found, dtype=float), lengths[i], feature)
+                    for low, high, share in _pieces(starts[i], len(x), lengths[i], max_tokens, window, stride):
+                        out.append((i, starts[i] + low, high - low, x.shape[1], share, x[low:high].astype("<f8", copy=False).tobytes(), None))
+                    held += x.nbytes
+                begin = end
+                if not out or (held < HELD and end < len(texts)):
+                    continue
+                owner, *columns = zip(*out)
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(pa.array(owner)), *(pa.array(c, k) for c, k in zip(columns, kinds))],
+                    ["id", "start", "n", "dim", "share", "block", "error"])
+                out, held = [], 0
+
+    return work.mapInArrow(run, f"id {id_type}, start bigint, n int, dim int, share int, block binary, error string")
+
+
+def _pieces(start: int, n: int, length: int, max_tokens: int, window: int, stride: int) -> list[tuple[int, int, int]]:
+    """Runs ``(from, to, share)`` of a window of ``n`` positions, within the window."""
+    if length <= max_tokens:
+        return [(0, n, 0)] if n else []
+    low, high = covering_windows(start + np.arange(n), np.full(n, length), window, stride)
+    share = np.where(high > low, start // stride - low + 1, 0)
+    cuts = [0, *(np.flatnonzero(np.diff(share)) + 1).tolist(), n]
+    return [(a, b, int(share[a])) for a, b in zip(cuts, cuts[1:]) if a < b]
 
 
 def covering_windows(pos: np.ndarray, length: np.ndarray, window: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
@@ -164,20 +178,15 @@ def stitch(
 ) -> DataFrame:
     """Position vectors ``(id, pos, vec)``; positions in several windows are averaged.
 
-    Only those positions shuffle: all others are final where they were computed.
-    With at most two windows per position the average is a join of the two.
+    Only pieces with those positions shuffle: all others are final where they were computed.
+    Rows per position are made last.
     """
-    rows = windows.filter(F.col("error").isNull())
-    single = rows.filter(F.col("share") == 0).select("id", "pos", "vec")
-    shared = rows.filter(F.col("share") > 0)
     if window <= 2 * stride:
-        first = shared.filter(F.col("share") == 1).select("id", "pos", F.col("vec").alias("_a"))
-        second = shared.filter(F.col("share") == 2).select("id", "pos", F.col("vec").alias("_b"))
-        mean = F.zip_with("_a", "_b", lambda x, y: (x + y) / 2.0)
-        merged = first.join(second, ["id", "pos"]).select("id", "pos", mean.alias("vec"))
+        out = unpack_blocks(stitch_blocks(windows, window=window, stride=stride), "double")
     else:
-        merged = average_vectors(shared).select("id", "pos", "vec")
-    out = single.unionByName(merged)
+        rows = windows.filter(F.col("error").isNull())
+        merged = average_vectors(unpack_blocks(rows.filter(F.col("share") > 0), "double")).select("id", "pos", "vec")
+        out = unpack_blocks(rows.filter(F.col("share") == 0), "double").unionByName(merged)
     if feature == "none":
         return out
     if lengths is None:
@@ -187,6 +196,68 @@ def stitch(
     )
 
 
+def stitch_blocks(windows: DataFrame, *, window: int = WINDOW, stride: int = STRIDE) -> DataFrame:
+    """Packed position vectors ``(id, start, n, dim, block)``; with at most two windows per
+    position the average is a join of the two, block by block."""
+    if window > 2 * stride:
+        raise ValueError("windows must overlap by half at most to be stitched as blocks")
+    rows = windows.filter(F.col("error").isNull())
+    single = rows.filter(F.col("share") == 0).select("id", "start", "n", "dim", "block")
+    first = rows.filter(F.col("share") == 1).select("id", "start", "n", "dim", F.col("block").alias("_a"))
+    second = rows.filter(F.col("share") == 2).select("id", "start", F.col("block").alias("_b"))
+    return single.unionByName(_mean_blocks(first.join(second, ["id", "start"])))
+
+
+def block_totals(blocks: DataFrame) -> DataFrame:
+    """``(id, start, n, total, last)`` of packed 64-bit blocks: the sum of their vectors and the last one."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            parts = [np.frombuffer(b, "<f8").reshape(-1, dim) for b, dim in zip(batch.column("block").to_pylist(), batch.column("dim").to_pylist())]
+            kind = pa.list_(pa.float64())
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("id", "start", "n")), pa.array([x.sum(axis=0) for x in parts], kind), pa.array([x[-1] for x in parts], kind)],
+                ["id", "start", "n", "total", "last"])
+
+    return blocks.select("id", "start", "n", "dim", "block").mapInArrow(
+        run, f"id {_sql_type(blocks, 'id')}, start bigint, n int, total array<double>, last array<double>")
+
+
+def _mean_blocks(pairs: DataFrame) -> DataFrame:
+    """Packed pieces whose vectors are the means of two windows' blocks ``_a`` and ``_b``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = zip(batch.column("_a").to_pylist(), batch.column("_b").to_pylist())
+            mean = [((np.frombuffer(a, "<f8") + np.frombuffer(b, "<f8")) / 2.0).tobytes() for a, b in both]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "start", "n", "dim")), pa.array(mean, pa.binary())],
+                                             ["id", "start", "n", "dim", "block"])
+
+    return pairs.mapInArrow(run, f"id {_sql_type(pairs, 'id')}, start bigint, n int, dim int, block binary")
+
+
+def unpack_blocks(blocks: DataFrame, kind: str) -> DataFrame:
+    """``(id, pos, vec)`` of packed ``(id, start, n, dim, block)`` of ``kind`` float or double, for what works on positions."""
+    width = {"float": "<f4", "double": "<f8"}[kind]
+
+    def unpacked(part):
+        n, dim = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n", "dim"))
+        owner = np.repeat(np.arange(len(n)), n)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+        ends = np.concatenate([[0], np.cumsum(dim[owner])]).astype(np.int32)
+        flat = np.frombuffer(b"".join(part.column("block").to_pylist()), width)
+        pos = part.column("start").to_numpy(zero_copy_only=False)[owner] + place
+        return pa.RecordBatch.from_arrays(
+            [part.column("id").take(pa.array(owner)), pa.array(pos), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["id", "pos", "vec"])
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, UNPACKED):
+                yield unpacked(batch.slice(at, UNPACKED))
+
+    return blocks.select("id", "start", "n", "dim", "block").mapInArrow(run, f"id {_sql_type(blocks, 'id')}, pos bigint, vec array<{kind}>")
+
+
 def vector_index(vectors: DataFrame, *, feature: str = "none", model: str = "") -> DataFrame:
     """Index row per id of a position-vector table."""
     extra = 0 if feature == "none" else 1

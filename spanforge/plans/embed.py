@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
-import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 from spanforge.functions.text import build_key, clean_sequence, strip
 from spanforge.operators.blocks import STORED, all_stretches, finish_windows, store as store_block
 from spanforge.operators.quality import guard_empty
-from spanforge.operators.scoring import MAX_TOKENS
+from spanforge.operators.scoring import MAX_TOKENS, unpack_blocks
 from spanforge.session import cut_lineage
 
 # The columns of the index, and the kinds of keys.
@@ -29,8 +28,6 @@ INDEX = (
     "original_seq_len bigint, seq_len_feature string, handle string, model string, storage string, file_path string")
 KEY_MODES = ("id", "id-family")
 STORAGE = "parquet"
-#: Blocks (of a window's positions at most) that are unpacked into rows together.
-UNPACKED = 32
 
 
 def read_index(spark: SparkSession, store: str) -> DataFrame:
@@ -123,19 +120,4 @@ def stored_blocks(spark: SparkSession, store: str) -> DataFrame:
 
 def stored_vectors(blocks: DataFrame) -> DataFrame:
     """``(id, pos, vec)`` of packed blocks, for what works on positions."""
-    def unpacked(part):
-        n, dim = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n", "dim"))
-        owner = np.repeat(np.arange(len(n)), n)
-        place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-        ends = np.concatenate([[0], np.cumsum(dim[owner])]).astype(np.int32)
-        flat = np.frombuffer(b"".join(part.column("block").to_pylist()), "<f4")
-        pos = part.column("start").to_numpy(zero_copy_only=False)[owner] + place
-        return pa.RecordBatch.from_arrays(
-            [part.column("id").take(pa.array(owner)), pa.array(pos), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["id", "pos", "vec"])
-
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, UNPACKED):
-                yield unpacked(batch.slice(at, UNPACKED))
-
-    return blocks.select("id", "start", "n", "dim", "block").mapInArrow(run, "id string, pos bigint, vec array<float>")
+    return unpack_blocks(blocks, "float")

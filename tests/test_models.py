@@ -341,3 +341,28 @@ def test_sweep(spark):
             sweep(examples, plan, {"regParam": [.1]}, **bad)
     with pytest.raises(ValueError, match="number of trials"):
         sweep(examples, plan, {"regParam": ("log", .1, 1)})
+
+
+def test_windows_travel_packed(spark):
+    """Texts are cleaned once, dealt without sampling, and a window is a few rows, not one per position."""
+    texts = {"a": "ACDEF" * 500, "b": "A" * 1022, "c": "", "d": "C" * 1023, "e": "ÄÖ" * 700, "f": None}
+    seqs = spark.createDataFrame(list(texts.items()), "id string, sequence string")
+    cleaned = seqs.select("id", F.regexp_replace("sequence", "-", "").alias("sequence"))
+    plan = V.window_texts(cleaned)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1
+    assert "rangepartitioning" not in V.window_texts(cleaned)._jdf.queryExecution().executedPlan().toString()
+    cut = {(r["id"], r["start"]): r["sequence"] for r in V.window_texts(cleaned).collect()}
+    assert cut == {(i, at): t[at:at + (1000 if len(t) > 1022 else 1022)] for i, t in texts.items() if t
+                   for at in ([0] if len(t) <= 1022 else range(0, len(t) - 100, 900))}
+    codes = lambda batch: [np.stack([[float(ord(c)) for c in t], np.arange(len(t))], axis=1) for t in batch]
+    pieces = V.embed_windows(seqs, codes)
+    assert pieces.count() == sum(1 if len(t) <= 1022 else 1 + 3 * ((len(t) - 1000 + 899) // 900) for t in texts.values() if t)
+    totals = V.block_totals(V.stitch_blocks(pieces)).groupBy("id").agg(
+        F.sum("n").alias("n"), F.sum(F.col("total")[1]).alias("places"), F.max_by(F.col("last")[1], "start").alias("end")).collect()
+    rows: dict = {}
+    for r in V.stitch(pieces).orderBy("id", "pos").collect():
+        rows.setdefault(r["id"], []).append(r["vec"][1])
+    assert {r["id"]: (r["n"], r["places"], r["end"]) for r in totals} == {i: (len(v), sum(v), v[-1]) for i, v in rows.items()}
+    assert {i: len(v) for i, v in rows.items()} == {i: len(t) for i, t in texts.items() if t}
+    with pytest.raises(ValueError, match="half"):
+        V.stitch_blocks(pieces, window=20, stride=6)

@@ -138,10 +138,11 @@ _SQL_DOCS = f"docs AS (SELECT doc_id AS id, {SQL_CLEAN} AS s FROM documents)"
        SELECT id, count(*) AS length, sum(code) AS codes, sum(place) AS places, arg_max(place, pos) AS last_place
        FROM placed GROUP BY id""")
 def embedding_job(spark, d):
-    rows = V.stitch(cut_lineage(V.embed_windows(sequences(spark, d), letter_codes)))
-    return rows.groupBy("id").agg(
-        F.count(F.lit(1)).alias("length"), F.sum(F.col("vec")[0]).alias("codes"), F.sum(F.col("vec")[1]).alias("places"),
-        F.max_by(F.col("vec")[1], "pos").alias("last_place"),
+    """Vectors are embedded, written, stitched and summed as packed blocks."""
+    stitched = V.stitch_blocks(cut_lineage(V.embed_windows(sequences(spark, d), letter_codes)))
+    return V.block_totals(stitched).groupBy("id").agg(
+        F.sum("n").alias("length"), F.sum(F.col("total")[0]).alias("codes"), F.sum(F.col("total")[1]).alias("places"),
+        F.max_by(F.col("last")[1], "start").alias("last_place"),
     )
 
 
