@@ -10,8 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanforge.session import shuffle_width
+
 BLOCK = 65_536
 CHUNK = 256
+#: Intervals whose events one task of the painting sorts.
+TASK_ROWS = 1 << 20
 
 
 def _blocks(start: Column, stop: Column, size: int) -> Column:
@@ -30,13 +34,17 @@ def checked_bounds(intervals: DataFrame, lengths: DataFrame, *, id_col: str = "i
     return joined.withColumn("start", start).drop("length")
 
 
-def paint(intervals: DataFrame, lengths: DataFrame, *, id_col: str = "id", block: int = BLOCK) -> DataFrame:
+def paint(
+    intervals: DataFrame, lengths: DataFrame, *, id_col: str = "id", block: int = BLOCK, rows: int | None = None, blocks: bool = False
+) -> DataFrame:
     """Label every position: def beats not beats uncertain, the default.
 
     ``intervals`` is ``(id, start, stop, label)``, ``lengths`` is ``(id,
     length)``. Intervals become signed events; events are summed per position
     before the sort, so any number of copies of one interval is one event pair.
-    Returns gap-free segments ``(id, start, stop, label)``.
+    Returns gap-free segments ``(id, start, stop, label)``, with ``blocks`` also the number
+    of the ``block`` they lie in. The sort is dealt to tasks of ``TASK_ROWS`` intervals or so,
+    by their number ``rows`` (counted here if it is not given), not by a fixed number of tasks.
     """
     edge = F.lit(block).cast("bigint")
     marks = intervals.filter(F.col("label").isin("def", "not")).select(
@@ -47,16 +55,13 @@ def paint(intervals: DataFrame, lengths: DataFrame, *, id_col: str = "id", block
         (F.col("label") == "not").cast("int").alias("n"),
     )
 
-    def pair(b: Column) -> Column:
-        low, high = F.greatest(F.col("start"), b * edge), F.least(F.col("stop"), (b + 1) * edge)
-        return F.array(
-            F.struct(b.alias("block"), low.alias("pos"), F.col("d").alias("d"), F.col("n").alias("n")),
-            F.struct(b.alias("block"), high.alias("pos"), (-F.col("d")).alias("d"), (-F.col("n")).alias("n")),
-        )
-
-    events = marks.select(
-        id_col, F.explode(F.flatten(F.transform(_blocks(F.col("start"), F.col("stop"), block), pair))).alias("e")
+    low, high = F.greatest(F.col("start"), F.col("block") * edge), F.least(F.col("stop"), (F.col("block") + 1) * edge)
+    pair = F.array(
+        F.struct("block", low.alias("pos"), "d", "n"),
+        F.struct("block", high.alias("pos"), (-F.col("d")).alias("d"), (-F.col("n")).alias("n")),
     )
+    events = marks.select("*", F.explode(_blocks(F.col("start"), F.col("stop"), block)).alias("block")).select(
+        id_col, F.explode(pair).alias("e"))
     sizes = lengths.filter(F.col("length") > 0).select(id_col, F.col("length").cast("bigint").alias("length"))
     spans = sizes.select(id_col, "length", F.explode(_blocks(F.lit(0), F.col("length"), block)).alias("block"))
 
@@ -74,29 +79,35 @@ def paint(intervals: DataFrame, lengths: DataFrame, *, id_col: str = "id", block
         .groupBy(id_col, "block", "pos")
         .agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
     )
+    if rows is None:
+        rows = intervals.count()
+    tasks = max(shuffle_width(intervals), -(-rows // TASK_ROWS))
     along = Window.partitionBy(id_col, "block").orderBy("pos")
     running = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     open_def, open_not = F.sum("d").over(running), F.sum("n").over(running)
-    return summed.select(
+    return summed.repartition(tasks, id_col, "block").select(
         id_col,
         F.col("pos").alias("start"),
         F.lead("pos").over(along).alias("stop"),
         F.when(open_def > 0, "def").when(open_not > 0, "not").otherwise("uncertain").alias("label"),
+        *(["block"] if blocks else []),
     ).filter(F.col("stop").isNotNull())
 
 
 def merge_segments(segments: DataFrame, *, id_col: str = "id", block: int = BLOCK) -> DataFrame:
-    """Join touching equal-label segments within each block (for compact output)."""
+    """Join touching equal-label segments within each block (for compact output).
+
+    Segments that carry their ``block`` are merged where they are. A run is its first and its
+    last segment, side by side once those between are gone: no table of runs is held.
+    """
+    tagged = segments.withColumn("_b", F.col("block") if "block" in segments.columns else F.floor(F.col("start") / block))
     place = Window.partitionBy(id_col, "_b").orderBy("start")
-    tagged = segments.withColumn("_b", F.floor(F.col("start") / block))
-    fresh = F.coalesce(
+    first = F.coalesce(
         (F.lag("label").over(place) != F.col("label")) | (F.lag("stop").over(place) != F.col("start")), F.lit(True)
     )
-    run = F.sum(F.col("_new").cast("int")).over(place.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    numbered = tagged.withColumn("_new", fresh).withColumn("_run", run)
-    return numbered.groupBy(id_col, "_b", "_run", "label").agg(
-        F.min("start").alias("start"), F.max("stop").alias("stop")
-    ).select(id_col, "start", "stop", "label")
+    ends = tagged.withColumn("_first", first).withColumn("_last", F.coalesce(F.lead("_first").over(place), F.lit(True)))
+    kept = ends.filter("_first OR _last").withColumn("_stop", F.when(F.col("_last"), F.col("stop")).otherwise(F.lead("stop").over(place)))
+    return kept.filter("_first").select(id_col, "start", F.col("_stop").alias("stop"), "label")
 
 
 def segments_from_labels(labels: DataFrame, *, id_col: str = "id") -> DataFrame:

@@ -55,5 +55,5 @@ def build_labels(
             raise ValueError("no peptide belongs to an embedded sequence")
     rows = checked_bounds(rows, lengths, name="code_name")
     labelled = lengths.join(rows.select("id").distinct(), "id", "left_semi")
-    segments = paint(rows, labelled)
+    segments = paint(rows, labelled, rows=contract.count())  # at most so many: nothing joined is counted
     return Labels(segments, peptide_lists(rows, parts=list_parts), class_stats(segments))

@@ -56,6 +56,26 @@ def test_paint_against_positions(spark, block):
     assert merged == got
 
 
+def test_merging_stays_in_the_painted_tasks(spark, monkeypatch):
+    """Tasks follow the number of intervals, and runs are merged in them: no exchange, no table of runs."""
+    rows = [(i, s, s + w, label) for i in range(40) for s, w, label in ((0, 3, "def"), (3, 4, "def"), (2, 9, "not"), (70, 5, "not"), (60, 20, "def"))]
+    spans = spark.createDataFrame(rows, "id long, start int, stop int, label string")
+    sizes = spark.createDataFrame([(i, 100) for i in range(41)], "id long, length int")
+    monkeypatch.setattr(I, "TASK_ROWS", 20)
+    painted = I.paint(spans, sizes, block=64, blocks=True)
+    merged = I.merge_segments(painted, block=64)
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (painted, merged)]
+    assert plans[0].count("Exchange") == plans[1].count("Exchange") == 2 and "_run" not in plans[1]
+    assert painted.rdd.getNumPartitions() == 10
+    got: dict = {}
+    for r in merged.orderBy("id", "start").collect():
+        got.setdefault(r["id"], []).append((r["start"], r["stop"], r["label"]))
+    want = [(0, 7, "def"), (7, 11, "not"), (11, 60, "uncertain"), (60, 64, "def"), (64, 80, "def"), (80, 100, "uncertain")]
+    assert got == {i: want for i in range(40)} | {40: [(0, 64, "uncertain"), (64, 100, "uncertain")]}
+    plain = I.merge_segments(I.paint(spans, sizes, block=64, rows=len(rows)), block=64)
+    assert sorted(plain.collect()) == sorted(merged.collect())
+
+
 def test_overlap_sum(spark):
     segments = spark.createDataFrame([("a", 0, 300, "def"), ("a", 300, 320, "not"), ("a", 320, 900, "def")],
                                      "id string, start int, stop int, label string")

@@ -58,7 +58,7 @@ SQL_POS = f"""{SQL_ITEMS},
            runs AS (SELECT *, sum(f) OVER (PARTITION BY id ORDER BY pos) AS run FROM fresh)
            SELECT id, min(pos) AS start, max(pos) + 1 AS stop, label FROM runs GROUP BY id, run, label""")
 def painted_segments(spark, d):
-    return I.merge_segments(segments(spark, d))
+    return I.merge_segments(I.paint(intervals(spark, d), lengths(spark, d), blocks=True))
 
 
 @query("painted_segments_small_blocks", "label:s n_positions:i",
