@@ -7,6 +7,11 @@ are cut into fixed position blocks, so one sequence never has to fit one task.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +19,8 @@ from spanforge.session import shuffle_width
 
 BLOCK = 65_536
 CHUNK = 256
+#: Positions of training windows that a task turns into arrays together.
+GATHERED = 1 << 20
 #: Intervals whose events one task of the painting sorts.
 TASK_ROWS = 1 << 20
 
@@ -282,15 +289,34 @@ def training_windows(
         lambda w: F.struct(w["start"].alias("start"), w["stop"].alias("stop"), F.substring(
             F.col("labels"), (w["start"] + 1).cast("int"), (w["stop"] - w["start"]).cast("int")).alias("labels")),
     )
-    spans = labels.select(id_col, F.explode(texts).alias("w"))
-    cut = spans.select(id_col, "w.start", "w.stop", F.split(F.col("w.labels"), "").alias("c"))
-    y = F.transform("c", lambda ch: (ch == "d").cast("int"))
-    mask = F.transform("c", lambda ch: (ch != "u").cast("int"))
-    if pad and window:
-        room = F.greatest(F.lit(window) - F.size("c"), F.lit(0))
-        y = F.concat(y, F.array_repeat(F.lit(0), room))
-        mask = F.concat(mask, F.array_repeat(F.lit(0), room))
-    return cut.select(id_col, "start", "stop", y.alias("y"), mask.alias("mask"))
+    cut = labels.select(id_col, F.explode(texts).alias("w")).select(id_col, "w.start", "w.stop", "w.labels")
+    width = window if pad and window else 0
+
+    def targets(part: pa.RecordBatch) -> pa.RecordBatch:
+        column = part.column("labels")
+        n = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+        letters = np.frombuffer("".join(column.to_pylist()).encode(), np.uint8)
+        ends = np.concatenate([[0], np.cumsum(np.maximum(n, width))])
+        # Every letter goes to its place in the padded rows; what no letter fills stays 0.
+        at = np.arange(len(letters)) + np.repeat(ends[:-1] - (np.cumsum(n) - n), n)
+        lists = []
+        for hit in (letters == ord("d"), letters != ord("u")):
+            flat = np.zeros(ends[-1], np.int32)
+            flat[at] = hit
+            lists.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat)))
+        return pa.RecordBatch.from_arrays([*(part.column(c) for c in (id_col, "start", "stop")), *lists], [id_col, "start", "stop", "y", "mask"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = np.maximum(pc.binary_length(batch.column("labels")).to_numpy(zero_copy_only=False), width)
+            part = np.cumsum(size) // GATHERED  # rows of a bounded number of positions are handled together
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+            for low, high in zip(cuts, cuts[1:]):
+                if low < high:
+                    yield targets(batch.slice(low, high - low))
+
+    kind = labels.schema[id_col].dataType.simpleString()
+    return cut.mapInArrow(run, f"`{id_col}` {kind}, start bigint, stop bigint, y array<int>, mask array<int>")
 
 
 def peptide_lists(

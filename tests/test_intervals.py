@@ -94,6 +94,23 @@ def test_training_windows_and_mask(spark):
     assert (whole["start"], whole["stop"]) == (0, 5)
 
 
+def test_training_windows_are_filled_by_batch(spark, monkeypatch):
+    """Targets come from whole batches of letters, cut at any row, not from a loop over each letter."""
+    texts = {"a": "dun" * 7, "b": "", "c": "d", "e": "u" * 4, "f": "n" * 9}
+    labels = spark.createDataFrame(list(texts.items()), "key string, labels string")
+    for gathered in (1, 7, 1 << 20):
+        monkeypatch.setattr(I, "GATHERED", gathered)
+        for window, stride, pad in ((4, 3, True), (4, 3, False), (None, None, True)):
+            rows = I.training_windows(labels, id_col="key", window=window, stride=stride, pad=pad)
+            assert "split(" not in rows._jdf.queryExecution().optimizedPlan().toString()
+            got = rows.collect()
+            assert len({(r["key"], r["start"]) for r in got}) == len(got) and {r["key"] for r in got} - {"b"} == {"a", "c", "e", "f"}
+            for r in got:
+                cut = texts[r["key"]][r["start"]:r["stop"]]
+                room = [0] * (window - len(cut)) if pad and window else []
+                assert r["y"] == [int(c == "d") for c in cut] + room and r["mask"] == [int(c != "u") for c in cut] + room
+
+
 def test_support_and_weights(spark):
     segments = spark.createDataFrame([("b", 0, 2, "def"), ("b", 2, 4, "not"), ("u", 0, 2, "uncertain")],
                                      "id string, start int, stop int, label string")
