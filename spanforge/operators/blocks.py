@@ -38,8 +38,10 @@ _PIECE = "id {id}, start bigint, {columns}, border bigint, side string, strip bi
 VOTES = "bits string, ones bigint, p_sum double, p_max double"
 STORED = "n bigint, dim_out int, block binary"
 
-#: What finishes a stretch, made inside a task: consecutive vectors and the part to finish -> columns.
-Finish = Callable[[np.ndarray, slice], dict]
+#: What finishes stretches, made inside a task: consecutive vectors and the part to finish, of each -> columns of each.
+Finish = Callable[[Sequence[tuple[np.ndarray, slice]]], list[dict]]
+#: Values of vectors that are finished together.
+TOGETHER = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -80,17 +82,45 @@ def _unpack(strip: bytes, dim: int) -> np.ndarray:
 
 def voter(heads: Sequence[Mapping], rule: Rule) -> Finish:
     """Votes of a stretch, in the columns of ``VOTES``."""
-    def finish(x: np.ndarray, take: slice) -> dict:
-        mean, hit = rule.vote(member_probabilities(x, heads)[:, take])
-        bits = (hit.astype(np.uint8) + ord("0")).tobytes().decode()
-        return {"bits": bits, "ones": int(hit.sum()), "p_sum": float(mean.sum()), "p_max": float(mean.max())}
+    local = any("conv" in head for head in heads)
+
+    def finish(stretches: Sequence[tuple[np.ndarray, slice]]) -> list[dict]:
+        if local:  # kernels look around within a stretch
+            ps = [member_probabilities(x, heads)[:, take] for x, take in stretches]
+            sizes, ps = [p.shape[1] for p in ps], np.concatenate(ps, axis=1)
+        else:
+            parts = [x[take] for x, take in stretches]
+            sizes, ps = [len(x) for x in parts], member_probabilities(np.concatenate(parts), heads)
+        mean, hit = rule.vote(ps)
+        bits, ends = (hit.astype(np.uint8) + ord("0")).tobytes().decode(), np.cumsum(sizes).tolist()
+        return [{"bits": bits[a:b], "ones": int(hit[a:b].sum()), "p_sum": float(mean[a:b].sum()), "p_max": float(mean[a:b].max())}
+                for a, b in zip([0, *ends], ends)]
 
     return finish
 
 
-def store(x: np.ndarray, take: slice) -> dict:
-    """A stretch of vectors as a block, in the columns of ``STORED``."""
-    return {"n": len(x[take]), "dim_out": x.shape[1], "block": _pack(x[take])}
+def store(stretches: Sequence[tuple[np.ndarray, slice]]) -> list[dict]:
+    """Stretches of vectors as blocks, in the columns of ``STORED``."""
+    return [{"n": len(x[take]), "dim_out": x.shape[1], "block": _pack(x[take])} for x, take in stretches]
+
+
+class _Pending:
+    """Rows whose stretches wait to be finished together, up to a number of values."""
+
+    def __init__(self, done: Finish, out: list[dict]):
+        self.done, self.out, self.rows, self.stretches, self.held = done, out, [], [], 0
+
+    def add(self, row: dict, x: np.ndarray, take: slice) -> None:
+        if self.rows and (self.held + x.size > TOGETHER or x.shape[1] != self.stretches[0][0].shape[1]):
+            self.flush()
+        self.rows.append(row)
+        self.stretches.append((x, take))
+        self.held += x.size
+
+    def flush(self) -> None:
+        if self.rows:
+            self.out += [row | columns for row, columns in zip(self.rows, self.done(self.stretches))]
+        self.rows, self.stretches, self.held = [], [], 0
 
 
 def finish_windows(
@@ -126,16 +156,18 @@ def finish_windows(
             groups: dict[int, list] = {}
             for number, row in zip(packed, rows):
                 groups.setdefault(number, []).append(row)
-            out = []
+            out: list[dict] = []
+            pending = _Pending(done, out)
             for group in groups.values():
                 for row, found in zip(group, attempt_batch(embed, [r["sequence"] for r in group])):
                     if isinstance(found, str):
                         out.append({"id": row["id"], "error": found})
                         continue
-                    out += pieces(row, np.asarray(found, dtype=np.float32), done)
+                    out += pieces(row, np.asarray(found, dtype=np.float32), pending)
+            pending.flush()
             yield pa.RecordBatch.from_pylist(out, arrow)
 
-    def pieces(row: dict, raw: np.ndarray, done: Finish) -> list[dict]:
+    def pieces(row: dict, raw: np.ndarray, pending: _Pending) -> list[dict]:
         start, length, n = row["start"], row["length"], len(raw)
         first, last = start == 0, start + n >= length
         x = with_length(raw.astype(float), length, feature)
@@ -144,7 +176,7 @@ def finish_windows(
         common = {"id": row["id"], "length": length, "dim": raw.shape[1]}
         out = []
         if begin < end:
-            out.append(common | {"start": start + begin} | done(x[low:high], slice(begin - low, end - low)))
+            pending.add(common | {"start": start + begin}, x[low:high], slice(begin - low, end - low))
         number = start // stride
         if not first:
             out.append(common | {"border": number, "side": "after", "strip": _pack(raw[: overlap + 2 * reach])})
@@ -170,7 +202,8 @@ def finish_borders(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = finish()
         for batch in batches:
-            out = []
+            out: list[dict] = []
+            pending = _Pending(done, out)
             for row in batch.to_pylist():
                 left, right = _unpack(row["before"], row["dim"]), _unpack(row["after"], row["dim"])
                 both = (left[2 * reach :] + right[:overlap]) / 2.0
@@ -178,7 +211,8 @@ def finish_borders(
                 at = row["border"] * stride
                 stop = min(row["length"], at + overlap + reach)
                 take = slice(reach, stop - at + 2 * reach)
-                out.append({"id": row["id"], "start": at - reach} | done(x, take))
+                pending.add({"id": row["id"], "start": at - reach}, x, take)
+            pending.flush()
             yield pa.RecordBatch.from_pylist(out, arrow)
 
     return before.join(after, ["id", "border"]).mapInArrow(run, schema)

@@ -242,3 +242,22 @@ def test_mask_directory(spark):
     assert directory.agg(F.max(F.length("bits"))).first()[0] == C.MASK_CHUNK
     with pytest.raises(Exception, match="no comparable rows"):
         C.comparison_summary(compared.filter("CodeName = 'x'")).collect()
+
+
+def test_stretches_are_finished_together():
+    """One call of the heads serves many stretches, in the rows of one call each."""
+    calls = []
+    stretches = [(RNG.normal(size=(n, 2)), slice(a, b)) for n, a, b in ((9, 0, 9), (1, 0, 1), (30, 4, 20), (5, 5 - 2, 5))]
+    for heads in ([_dense(2), _dense(2)], [_conv(2), _dense(2)]):
+        vote = B.voter(heads, B.Rule((.4, .6)))
+        want = [vote([s])[0] for s in stretches]
+        out: list = []
+        pending = B._Pending(lambda s: calls.append(len(s)) or vote(s), out)
+        for i, (x, take) in enumerate(stretches):
+            pending.add({"id": i}, x, take)
+        pending.flush()
+        pending.flush()
+        assert [r["id"] for r in out] == [0, 1, 2, 3] and [len(r["bits"]) for r in out] == [9, 1, 16, 2]
+        for r, w in zip(out, want):
+            assert (r["bits"], r["ones"]) == (w["bits"], w["ones"]) and r["p_sum"] == pytest.approx(w["p_sum"]) and r["p_max"] == pytest.approx(w["p_max"])
+    assert calls == [4, 4]
