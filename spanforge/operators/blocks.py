@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from spanforge.operators.ensemble import votes_needed
 from spanforge.operators.scoring import (
+    HELD,
     MAX_TOKENS,
     STRIDE,
     WINDOW,
@@ -28,8 +29,10 @@ from spanforge.operators.scoring import (
     conv_features,
     dense_forward,
     kernel_reach,
+    pack_planes,
     packed_batches,
     sigmoid_of,
+    unpack_planes,
     window_texts,
     with_length,
 )
@@ -72,12 +75,9 @@ def member_probabilities(x: np.ndarray, heads: Sequence[Mapping]) -> np.ndarray:
     return np.stack(out)
 
 
-def _pack(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x, dtype="<f4").tobytes()
-
-
-def _unpack(strip: bytes, dim: int) -> np.ndarray:
-    return np.frombuffer(strip, "<f4").reshape(-1, dim).astype(float)
+def pieces_schema(id_type: str, columns: str) -> str:
+    """Schema of what ``finish_windows`` makes; ``finish_borders`` makes its stretches' columns alone."""
+    return _PIECE.format(id=id_type, columns=columns)
 
 
 def voter(heads: Sequence[Mapping], rule: Rule) -> Finish:
@@ -101,7 +101,7 @@ def voter(heads: Sequence[Mapping], rule: Rule) -> Finish:
 
 def store(stretches: Sequence[tuple[np.ndarray, slice]]) -> list[dict]:
     """Stretches of vectors as blocks, in the columns of ``STORED``."""
-    return [{"n": len(x[take]), "dim_out": x.shape[1], "block": _pack(x[take])} for x, take in stretches]
+    return [{"n": len(x[take]), "dim_out": x.shape[1], "block": pack_planes(x[take])} for x, take in stretches]
 
 
 class _Pending:
@@ -135,17 +135,17 @@ def finish_windows(
     max_tokens: int = MAX_TOKENS,
     window: int = WINDOW,
     stride: int = STRIDE,
+    keep: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Finished stretches, border strips and errors of every window of ``(id, sequence)``.
 
-    ``finish`` gives ``columns`` of a stretch, ``reach`` is how far its kernels look. The
-    result is costly and read three times: write it before handing it on.
+    ``finish`` gives ``columns`` of a stretch, ``reach`` is how far its kernels look, ``keep``
+    may drop windows ``(id, start, length, sequence)``. The result is costly and read three times: write it before handing it on.
     """
     overlap = window - stride
     if overlap > stride or 4 * reach > window - 2 * overlap:
         raise ValueError("windows must overlap by half at most and hold twice the kernels' reach at both ends")
-    kind = sequences.schema["id"].dataType.simpleString()
-    schema = _PIECE.format(id=kind, columns=columns)
+    schema = pieces_schema(sequences.schema["id"].dataType.simpleString(), columns)
     arrow = _arrow(sequences, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,13 +157,20 @@ def finish_windows(
             for number, row in zip(packed, rows):
                 groups.setdefault(number, []).append(row)
             out: list[dict] = []
-            pending = _Pending(done, out)
+            pending, held = _Pending(done, out), 0
             for group in groups.values():
                 for row, found in zip(group, attempt_batch(embed, [r["sequence"] for r in group])):
                     if isinstance(found, str):
                         out.append({"id": row["id"], "error": found})
                         continue
-                    out += pieces(row, np.asarray(found, dtype=np.float32), pending)
+                    x = np.asarray(found, dtype=np.float32)
+                    out += pieces(row, x, pending)
+                    held += x.nbytes
+                if held >= HELD:
+                    pending.flush()
+                    yield pa.RecordBatch.from_pylist(out, arrow)
+                    out.clear()
+                    held = 0
             pending.flush()
             yield pa.RecordBatch.from_pylist(out, arrow)
 
@@ -179,12 +186,12 @@ def finish_windows(
             pending.add(common | {"start": start + begin}, x[low:high], slice(begin - low, end - low))
         number = start // stride
         if not first:
-            out.append(common | {"border": number, "side": "after", "strip": _pack(raw[: overlap + 2 * reach])})
+            out.append(common | {"border": number, "side": "after", "strip": pack_planes(raw[: overlap + 2 * reach])})
         if not last:
-            out.append(common | {"border": number + 1, "side": "before", "strip": _pack(raw[n - overlap - 2 * reach :])})
+            out.append(common | {"border": number + 1, "side": "before", "strip": pack_planes(raw[n - overlap - 2 * reach :])})
         return out
 
-    return window_texts(sequences, max_tokens, window, stride).mapInArrow(run, schema)
+    return window_texts(sequences, max_tokens, window, stride, keep).mapInArrow(run, schema)
 
 
 def finish_borders(
@@ -205,7 +212,7 @@ def finish_borders(
             out: list[dict] = []
             pending = _Pending(done, out)
             for row in batch.to_pylist():
-                left, right = _unpack(row["before"], row["dim"]), _unpack(row["after"], row["dim"])
+                left, right = (unpack_planes(row[side], row["dim"]).astype(float) for side in ("before", "after"))
                 both = (left[2 * reach :] + right[:overlap]) / 2.0
                 x = with_length(np.concatenate([left[: 2 * reach], both, right[overlap:]]), row["length"], feature)
                 at = row["border"] * stride
@@ -232,12 +239,15 @@ def assemble(stretches: DataFrame, threshold: float | None) -> DataFrame:
 def all_stretches(written: DataFrame, finish: Callable[[], Finish], columns: str, **shape) -> tuple[DataFrame, DataFrame]:
     """(stretches, failures) of a written table of ``finish_windows``: an id with a failed window is a failure."""
     failures = written.filter(F.col("error").isNotNull()).groupBy("id").agg(F.min("error").alias("error"))
-    names = [c.split()[0] for c in columns.split(", ")]
-    alone = written.filter(F.col("start").isNotNull()).select("id", "start", *names)
+    alone = written.filter(F.col("start").isNotNull()).select("id", "start", *column_names(columns))
     every = alone.unionByName(finish_borders(written, finish, columns, **shape))
     return every.join(failures.select("id"), "id", "left_anti"), failures
 
 
+def column_names(columns: str) -> list[str]:
+    return [c.split()[0] for c in columns.split(", ")]
+
+
 def reach_of(heads: Sequence[Mapping]) -> int:
     return max((kernel_reach(h) for h in heads), default=0)
 

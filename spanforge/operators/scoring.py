@@ -59,13 +59,21 @@ def _sql_type(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
-def window_texts(sequences: DataFrame, max_tokens: int = MAX_TOKENS, window: int = WINDOW, stride: int = STRIDE) -> DataFrame:
-    """The windows ``(id, start, length, sequence)`` of non-empty sequences, similar lengths together."""
+def spans_of(length: Column, max_tokens: int = MAX_TOKENS, window: int = WINDOW, stride: int = STRIDE) -> Column:
+    """The windows of a sequence as (start, stop) pairs; null for an empty one."""
+    return F.when(length.between(1, max_tokens), window_spans(length, None)).when(length > max_tokens, window_spans(length, window, stride))
+
+
+def window_texts(
+    sequences: DataFrame, max_tokens: int = MAX_TOKENS, window: int = WINDOW, stride: int = STRIDE,
+    keep: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """The windows ``(id, start, length, sequence)`` of non-empty sequences, similar lengths together.
+    ``keep`` may drop windows before they are dealt."""
     n = F.length("sequence").cast("bigint")
     sized = sequences.select("id", "sequence", n.alias("length"), (F.octet_length("sequence") == n).alias("plain"))
     # Empty texts have no spans. A filter would be moved ahead of the caller's cleaning and clean every text twice.
-    spans = F.when(F.col("length").between(1, max_tokens), window_spans(F.col("length"), None)).when(
-        F.col("length") > max_tokens, window_spans(F.col("length"), window, stride))
+    spans = spans_of(F.col("length"), max_tokens, window, stride)
     # Window texts are cut inside the row, so no copy of the whole text per window. In a text of one byte per
     # letter they are cut by bytes: to find a letter, the text would be read from its beginning for every window.
     def cut(w: Column) -> Column:
@@ -75,6 +83,7 @@ def window_texts(sequences: DataFrame, max_tokens: int = MAX_TOKENS, window: int
 
     texts = F.transform(spans, cut)
     work = sized.select("id", "length", F.explode(texts).alias("w")).select("id", "w.start", "length", "w.sequence")
+    work = keep(work) if keep else work
     # Dealt by key, not by range: ranges would be sampled, and the texts cleaned and cut once more for that.
     return work.repartition("id", "start").sortWithinPartitions(F.length("sequence"))
 
@@ -236,26 +245,41 @@ def _mean_blocks(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, f"id {_sql_type(pairs, 'id')}, start bigint, n int, dim int, block binary")
 
 
+def pack_planes(x: np.ndarray) -> bytes:
+    """Vectors as 32-bit values, byte by byte: the first byte of each position, then the second of each, and so on.
+    Bytes that are alike lie together, which a codec packs several times smaller than whole values."""
+    return np.ascontiguousarray(x, dtype="<f4").view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def unpack_planes(block: bytes, dim: int) -> np.ndarray:
+    """The (n, dim) vectors of ``pack_planes``."""
+    return np.ascontiguousarray(np.frombuffer(block, np.uint8).reshape(4 * dim, -1).T).view("<f4")
+
+
 def unpack_blocks(blocks: DataFrame, kind: str) -> DataFrame:
-    """``(id, pos, vec)`` of packed ``(id, start, n, dim, block)`` of ``kind`` float or double, for what works on positions."""
-    width = {"float": "<f4", "double": "<f8"}[kind]
+    """``(id, pos, vec)`` of packed ``(id, start, n, dim, block)``, for what works on positions: blocks of 64-bit
+    values of ``kind`` double, or of ``pack_planes`` of ``kind`` float."""
+    values = {
+        "float": lambda block, dim: unpack_planes(block, dim).reshape(-1),
+        "double": lambda block, dim: np.frombuffer(block, "<f8"),
+    }[kind]
 
     def unpacked(part):
         n, dim = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n", "dim"))
-        owner = np.repeat(np.arange(len(n)), n)
-        place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-        ends = np.concatenate([[0], np.cumsum(dim[owner])]).astype(np.int32)
-        flat = np.frombuffer(b"".join(part.column("block").to_pylist()), width)
-        pos = part.column("start").to_numpy(zero_copy_only=False)[owner] + place
-        return pa.RecordBatch.from_arrays(
-            [part.column("id").take(pa.array(owner)), pa.array(pos), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["id", "pos", "vec"])
+        ends = np.concatenate([[0], np.cumsum(np.repeat(dim, n))]).astype(np.int32)
+        flat = np.concatenate([values(b, d) for b, d in zip(part.column("block").to_pylist(), dim.tolist())])
+        vectors = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+        whole = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), vectors)
+        return pa.RecordBatch.from_arrays([part.column("id"), part.column("start"), whole], ["id", "start", "vecs"])
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, UNPACKED):
                 yield unpacked(batch.slice(at, UNPACKED))
 
-    return blocks.select("id", "start", "n", "dim", "block").mapInArrow(run, f"id {_sql_type(blocks, 'id')}, pos bigint, vec array<{kind}>")
+    # A row per block leaves Python; Spark makes the rows per position, without a copy of id and vector for each.
+    arrays = blocks.select("id", "start", "n", "dim", "block").mapInArrow(run, f"id {_sql_type(blocks, 'id')}, start bigint, vecs array<array<{kind}>>")
+    return arrays.select("id", "start", F.posexplode("vecs").alias("at", "vec")).select("id", (F.col("start") + F.col("at")).alias("pos"), "vec")
 
 
 def vector_index(vectors: DataFrame, *, feature: str = "none", model: str = "") -> DataFrame:
