@@ -76,12 +76,13 @@ def guard_keys(keys: DataFrame, index: DataFrame) -> None:
 def wanted(texts: DataFrame, keys: DataFrame, max_tokens: int = MAX_TOKENS) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """``(texts, keep)``: of the texts ``(id, sequence)`` and their windows those of the keys ``(id, n, n_records)``,
     one where several records have a key. No text is shuffled for that: a few keys go to all tasks, and of many
-    the windows are matched in the exchange that deals them."""
+    the windows are matched in the exchange that deals them (never by a broadcast: Spark would judge the size of
+    their list by the packed file)."""
     starts = keys.select("id", F.explode(spans_of(F.col("n"), max_tokens)).alias("w")).select("id", "w.start")
     few, repeated = keys.count() <= BROADCAST_KEYS, not keys.filter("n_records > 1").isEmpty()
 
     def keep(windows: DataFrame) -> DataFrame:
-        kept = windows if few else windows.join(starts, ["id", "start"], "left_semi")
+        kept = windows if few else windows.join(starts.hint("merge"), ["id", "start"], "left_semi")
         return kept.dropDuplicates(["id", "start"]) if repeated else kept
 
     return texts.join(F.broadcast(keys.select("id")), "id", "left_semi") if few else texts, keep
