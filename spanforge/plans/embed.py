@@ -128,7 +128,8 @@ def embed_missing(
     pieces.write.option("compression", CODEC).mode("overwrite").parquet(path)
     written = spark.read.schema(PIECES).parquet(path)
     finish_borders(written, finish, STORED, feature=feature).write.option("compression", CODEC).mode("append").parquet(path)
-    failures = written.filter(F.col("error").isNotNull()).groupBy("id").agg(F.min("error").alias("error"))
+    # Written on their own: a run of which nothing was committed may be started again, over its folder.
+    failures = cut_lineage(written.filter(F.col("error").isNotNull()).groupBy("id").agg(F.min("error").alias("error")))
     sizes = _run_blocks(spark, path).groupBy("id").agg(F.sum("n").alias("length"), F.max("dim").alias("embed_dim"))
     text = lambda value: F.lit(value)
     n = F.col("n")

@@ -119,6 +119,14 @@ def _written(rows, folder):
     return f"{folder}/records"
 
 
+def test_failures_outlive_a_restart(spark, tmp_path):
+    """A run of which nothing was committed may be started again; its failures stay readable."""
+    store = f"{tmp_path}/store"
+    failed = J.embed_missing(_records(spark, [("a", "1", "AWWWA")]), letters, store, "one")
+    assert J.embed_missing(_records(spark, [("a", "1", "AWWA")]), letters, store, "one").count() == 0
+    assert [r["id"] for r in failed.collect()] == ["a-1"] and J.read_index(spark, store).count() == 1
+
+
 def test_an_older_layout_is_not_misread(spark, tmp_path):
     store = f"{tmp_path}/store"
     J.embed_missing(_records(spark, [("a", "1", "ACD")]), letters, store, "one")
